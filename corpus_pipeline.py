@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import common, line_dedup, quality
+from quillmill.llm import common, decontaminate, line_dedup, packing, quality, simhash
 
 STAGES = [
     ("quality", quality.stage_quality),
     ("line_dedup", line_dedup.stage_line_dedup),
+    ("simhash", simhash.stage_simhash),
+    ("decontaminate", decontaminate.stage_decontaminate),
+    ("packing", packing.stage_packing),
 ]
 
 #: Packing and near-duplicate removal cannot be stated in SQL; tests hold the stages against brute force.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import decontaminate, line_dedup, packing, quality, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLES = line_dedup.ORACLE | quality.ORACLE
