@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality, simhash
+from . import decontaminate, line_dedup, packing, pseudonyms, quality, secrets, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_pseudonyms": pseudonyms.op8_pseudonyms,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
