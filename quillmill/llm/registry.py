@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, pseudonyms, quality, secrets, simhash
+from . import decontaminate, line_dedup, packing, preferences, pseudonyms, quality, secrets, simhash
 
 QUERIES = {
+    "op1_preferences": preferences.op1_preferences,
     "op2_packing": packing.op2_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
-ORACLES = line_dedup.ORACLE | quality.ORACLE
+ORACLES = preferences.ORACLE | line_dedup.ORACLE | quality.ORACLE
