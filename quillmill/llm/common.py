@@ -101,15 +101,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return ends.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def tiled(df: DataFrame, key: str, order: list[str], tile: int) -> DataFrame:
+def tiled(df: DataFrame, key: str, order: list[str], tile: int, least: int = 1) -> DataFrame:
     """Deal rows of each key into pairs of tiles of at most `tile` rows: adds _a, _b (the pair) and _side.
 
     A key with no more than `tile` rows has the one pair (0, 0). A larger one is split: every pair of
     its tiles (a <= b) becomes a group of its own, so any two rows of a key meet in some group and no
     group holds more than two tiles. Tile sizes come from a partial count, ranks from a hash of the
-    row, so no key is ever gathered in one task.
+    row, so no key is ever gathered in one task. Keys of under `least` rows go.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     spread = df.join(counts, key).withColumn("_t", F.ceil(F.col("_n") * F.lit(2.0) / tile).cast("int"))
     one = F.col("_n") <= tile
     mine = F.pmod(F.xxhash64(*order), F.greatest(F.col("_t"), F.lit(1))).cast("int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, preferences, pseudonyms, quality, secrets, simhash
+from . import decontaminate, line_dedup, packing, preferences, pseudonyms, quality, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_preferences": preferences.op1_preferences,
     "op2_packing": packing.op2_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
