@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_curate  # noqa: F401
+from . import q_curate, q_search  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
