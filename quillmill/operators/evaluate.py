@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, pos: str = "rank") -> DataFrame:
@@ -69,7 +70,7 @@ def exact_p(b: int, c: int) -> float:
     return min(1.0, 2 * sum(map(math.exp, log)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([exact_p(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype=float)
 

@@ -178,17 +178,17 @@ def mcnemar_chi2(spark, sf):
 _P = "least(1.0, 2 * list_sum(list_transform(range(0, least(cw, wc) + 1), lambda i: exp(lgamma(cw + wc + 1) - lgamma(i + 1) - lgamma(cw + wc - i + 1) - (cw + wc) * ln(2)))))"
 
 
-@query("mcnemar_exact", f"WITH {RES}, q AS (SELECT task, {_Q} FROM res GROUP BY 1) SELECT task, cw, wc, round(CASE WHEN cw + wc = 0 THEN 1.0 ELSE {_P} END, 6) AS p FROM q")
+@query("mcnemar_exact", f"WITH {RES}, q AS (SELECT task, {_Q} FROM res GROUP BY 1) SELECT task, cw, wc, round(CASE WHEN cw + wc = 0 THEN 1.0 ELSE {_P} END, 9) AS p FROM q")
 def mcnemar_exact(spark, sf):
     q = results(spark, sf).groupBy("task").agg(*E.quadrants(F.col("a"), F.col("b")))
-    return q.select("task", "cw", "wc", F.round(E.mcnemar_exact("cw", "wc"), 6).alias("p"))
+    return q.select("task", "cw", "wc", F.round(E.mcnemar_exact("cw", "wc"), 9).alias("p"))
 
 
-@query("paired_stats", f"WITH {RES}, q AS (SELECT scene, count(*) AS n, {_Q} FROM res GROUP BY 1) SELECT scene, n, round((cc + cw) / n, 6) AS acc_a, round((cc + wc) / n, 6) AS acc_b, round((wc - cw) / n, 6) AS delta, round(CASE WHEN cw + wc = 0 THEN 1.0 ELSE {_P} END, 6) AS p FROM q")
+@query("paired_stats", f"WITH {RES}, q AS (SELECT scene, count(*) AS n, {_Q} FROM res GROUP BY 1) SELECT scene, n, round((cc + cw) / n, 6) AS acc_a, round((cc + wc) / n, 6) AS acc_b, round((wc - cw) / n, 6) AS delta, round(CASE WHEN cw + wc = 0 THEN 1.0 ELSE {_P} END, 9) AS p FROM q")
 def paired_stats(spark, sf):
     q = results(spark, sf).groupBy("scene").agg(n().alias("n"), *E.quadrants(F.col("a"), F.col("b")))
     r = lambda c: F.round(c / F.col("n"), 6)
-    return q.select("scene", "n", r(F.col("cc") + F.col("cw")).alias("acc_a"), r(F.col("cc") + F.col("wc")).alias("acc_b"), r(F.col("wc") - F.col("cw")).alias("delta"), F.round(E.mcnemar_exact("cw", "wc"), 6).alias("p"))
+    return q.select("scene", "n", r(F.col("cc") + F.col("cw")).alias("acc_a"), r(F.col("cc") + F.col("wc")).alias("acc_b"), r(F.col("wc") - F.col("cw")).alias("delta"), F.round(E.mcnemar_exact("cw", "wc"), 9).alias("p"))
 
 
 @query("significance_stars", f"WITH {RES}, q AS (SELECT task, {_Q} FROM res GROUP BY 1), p AS (SELECT task, CASE WHEN cw + wc = 0 THEN 1.0 ELSE {_P} END AS p FROM q) SELECT task, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p")
