@@ -9,19 +9,19 @@ SCHEMES = ("drop", "raise", "count")
 
 
 def read_json(spark: SparkSession, path: str, schema: str, bad: str = "drop", recursive: bool = False) -> DataFrame:
-    """JSON lines (or one document a file, with multiLine files named .json) by a declared schema.
+    """JSON lines by a declared schema; blank lines are skipped.
 
     bad: drop skips lines that do not parse, raise fails the read, count keeps them with their text in _corrupt_record.
     """
     if bad not in SCHEMES:
         raise ValueError(f"bad must be one of {SCHEMES}")
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("mode", "FAILFAST" if bad == "raise" else "PERMISSIVE")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if recursive:
         reader = reader.option("pathGlobFilter", "*.json*")
-    if bad == "raise":
-        return reader.schema(schema).json(path)
-    raw = reader.schema(f"{schema}, _corrupt_record string").json(path)
-    return raw if bad == "count" else raw.where("_corrupt_record is null").drop("_corrupt_record")
+    mode = {"mode": "FAILFAST" if bad == "raise" else "PERMISSIVE"}
+    full = schema if bad == "raise" else f"{schema}, _corrupt_record string"
+    rows = reader.text(path).where(F.trim("value") != "").select(F.from_json("value", full, mode).alias("j")).select("j.*")
+    return rows.where("_corrupt_record is null").drop("_corrupt_record") if bad == "drop" else rows
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -82,5 +82,5 @@ def write_shards(rows: DataFrame, path: str, per_file: int) -> DataFrame:
     """Write JSON lines, at most per_file a file; file, n, sha256 of what was written (files by name, lines in order)."""
     rows.write.option("maxRecordsPerFile", per_file).json(path)
     spark = rows.sparkSession
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return lines.select("file", F.regexp_count("value", F.lit("\n")).alias("n"), F.sha2("value", 256).alias("sha256"))
