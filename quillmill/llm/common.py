@@ -67,6 +67,15 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held(c: Column) -> Column:
+    """c, computed once: a caller's filter on it is not pushed down into what it is made of.
+
+    Catalyst moves a filter below deterministic projections by substituting their expressions, which would compute an
+    array again for each of its elements. A condition that counts as non-deterministic, and always holds, ends that.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns as one struct, so that no column of the caller's clashes with a working column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

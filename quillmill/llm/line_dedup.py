@@ -44,7 +44,7 @@ def _local_filters(bits: int, hashes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_positions(np.fromiter((h for t in b.column(0).to_pylist() for h in hashes(t)), np.uint64), bits) for b in batches]
-        if not parts:
+        if not sum(map(len, parts)):
             return
         at, n = np.unique(np.concatenate(parts), return_counts=True)
         block = (at // BLOCK).astype(np.int32)
@@ -126,6 +126,8 @@ def dedup_lines(docs: DataFrame, min_key: int = 10, bits_per_doc: int = 256, mos
 
     found = C.stage(texts.mapInArrow(suspects, "id long, key binary"), "lines")
     firsts = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    # staged, so that both sides of the join have an exchange of their own and a common line's rows can be split
+    firsts = C.stage(firsts, "firsts")
     drops = found.join(firsts, "key").where("id > first").groupBy("id").agg(F.collect_set("key").alias("_drops"))
     rows = C.packed(docs).withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(C.NO_ID)))
     joined = rows.join(drops.withColumnRenamed("id", "_id"), "_id", "left")

@@ -139,7 +139,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("_p", pieces).withColumn("_k", F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
     rows = rows.withColumn("_n", F.transform("_k", lambda x: F.struct(x["k"].alias("k"), F.length(x["m"]).alias("len"), F.when(x["k"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["k"], key)).alias("new"))))
     text = F.when(F.size("_n") == 0, F.col("_row.text").cast("string")).otherwise(F.array_join(F.flatten(F.zip_with("_p", "_n", lambda p, n: F.array(p, F.coalesce(n["new"], F.lit(""))))), ""))
-    return rows.select("_row", text.alias("new_text"), F.filter("_n", lambda n: n["k"].isNotNull()).alias("found"))
+    return rows.select("_row", text.alias("new_text"), C.held(F.filter("_n", lambda n: n["k"].isNotNull())).alias("found"))
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ MEASURES = (("sym", False, 10), ("caps", False, 15), ("bang", False, 5), ("wlen"
 FACTOR = 4
 CAP = 2000
 LEAST_GROUP = 100
+#: Groups (rows of thresholds, some 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: The characters that count as symbols, in a regex class.
 SYMBOLS = "#*$%&|<>"
 
@@ -103,7 +105,9 @@ def judge(docs: DataFrame, **limits: int) -> DataFrame:
     a first pass over the text; a second pass measures and filters. An empty table gives an empty table.
     """
     first = docs.select(F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), C.text_or_empty().alias("_text"))
-    fences = thresholds(_measures(first).select("_lang", "_source", *[f"m_{m}" for m, _, _ in MEASURES]), **limits)
+    fences = C.stage(thresholds(_measures(first).select("_lang", "_source", *[f"m_{m}" for m, _, _ in MEASURES]), **limits), "fences")
+    if fences.count() <= MOST_BROADCAST:
+        fences = F.broadcast(fences)
     rows = C.packed(docs).select("_row", F.col("_row.lang").cast("string").alias("_lang"), F.col("_row.source").cast("string").alias("_source"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("_text"))
     rows = _measures(rows.withColumn("_words", words_of(F.col("_text")))).drop("_full")
     rows = rows.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long")})
@@ -113,7 +117,7 @@ def judge(docs: DataFrame, **limits: int) -> DataFrame:
     for m, _, _ in MEASURES:
         fits = fits & (F.col(f"m_{m}") <= F.col(f"high_{m}")) & (F.col(f"m_{m}") >= F.col(f"low_{m}"))
     facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return j.select("_row", F.struct(*facts, failed.alias("base_failed"), (~failed & fits).alias("kept")).alias("_q"))
+    return j.select("_row", C.held(F.struct(*facts, failed.alias("base_failed"), (~failed & fits).alias("kept"))).alias("_q"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, model: list[int], threshold: int = 400) -> Dat
     table = F.lit(model)
     rows = rows.withColumn("_more", spans(F.col("_t"), TOKEN, 3, "markov", lambda m: F.length(m) >= 20))
     judged = F.filter("_more", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio_per_char(F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]), table) > threshold))
-    return rows.select("_row", "base", F.sort_array(F.concat("base", judged)).alias("spans"))
+    return rows.select("_row", "base", C.held(F.sort_array(F.concat("base", judged))).alias("spans"))
 
 
 def joined(spans: str) -> Column:
