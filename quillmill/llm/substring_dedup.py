@@ -32,6 +32,21 @@ TILE = 256
 _WORD = re.compile(r"\w+")
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered until there are MEMORY of them."""
+
+    MEMORY = 400_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MEMORY:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
 def tune_bands(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
     """The fewest bands of `rows` hashes that let a pair of this similarity collide with this probability."""
     bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
@@ -79,7 +94,7 @@ def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, WIDTH - SHINGLE + 1), np.uint32)
     if len(words) < WIDTH:
         return none
-    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, words)), np.uint64, len(words))
+    ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     h = mixed(running_hashes(ids, SHINGLE))
     at = anchors(h)
     own = h[at[:, None] + np.arange(WIDTH - SHINGLE + 1)]
@@ -163,7 +178,7 @@ def _verified(similarity: float):
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bits_per_doc: int = 2048, most_bits: int = 1 << 28) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bits_per_doc: int = 2048, most_bits: int = 1 << 29) -> DataFrame:
     """id, at, class_id, first_id of every paragraph whose class is found in two or more doc_ids.
 
     Words are lower-cased \\w+. A paragraph that a document repeats counts at its first place. Texts of under
@@ -174,9 +189,11 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bits_pe
     bits = filter_bits(docs.count(), bits_per_doc, most_bits)
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), _keys, bits))
     found = C.stage(texts.mapInArrow(_suspects(sent), "id long, at long, whole long, keys array<long>, shingles binary"), "paragraphs")
-    distinct = found.groupBy("whole").agg(F.any_value("keys").alias("keys"), F.any_value("shingles").alias("shingles"))
-    dealt = C.tiled(distinct.select("whole", "shingles", F.explode("keys").alias("key")), "key", ["whole"], TILE, least=2)
-    dealt = dealt.select("key", "_a", "_b", "whole", "shingles").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b", "whole")
+    # shingles follow only those that share a key with another paragraph
+    shared = C.tiled(found.select("whole", F.explode("keys").alias("key")).distinct(), "key", ["whole"], TILE, least=2).select("key", "_a", "_b", "whole")
+    shared = C.stage(shared, "shared")
+    texts = found.join(shared.select("whole").distinct(), "whole", "left_semi").groupBy("whole").agg(F.any_value("shingles").alias("shingles"))
+    dealt = shared.join(texts, "whole").select("key", "_a", "_b", "whole", "shingles").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b", "whole")
     parts = C.connected_components(dealt.mapInArrow(_verified(similarity), "u long, v long"))
     placed = found.select("id", "at", "whole").join(parts, F.col("whole") == F.col("node"), "left").select("id", "at", F.coalesce("component", "whole").alias("class_id"))
     placed = C.stage(placed, "classes")
