@@ -163,15 +163,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
 
 
+def _holds(sent):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(c >= COVERAGE * m for _, _, c, m in sent.value.against(t)) for t in texts], dtype=bool)
+
+    return holds
+
+
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a test item go. No shuffle: each text is judged in place."""
     rows = C.packed(docs)
     for items in blocks(C.read(spark, sf_dir, "benchmark")):
-        sent = spark.sparkContext.broadcast(Tests(items, LEAST_TILE))
-
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series([any(c >= COVERAGE * m for _, _, c, m in sent.value.against(t)) for t in texts], dtype=bool)
-
+        holds = _holds(spark.sparkContext.broadcast(Tests(items, LEAST_TILE)))
         rows = rows.where(~holds(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
     return rows.select("_row.*")
