@@ -85,7 +85,9 @@ def labelled_strings(docs: DataFrame, most_docs: int = 400, randoms: int = 1500)
     digest = F.sha2(F.concat(F.lit("labelled-"), F.col("id").cast("string")), 256)
     shapes = F.array(digest, F.base64(F.unhex(digest)), F.substring(F.upper(F.base64(F.unhex(digest))), 1, 24), F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", "abc"), 5, 30))
     secret = spark.range(randoms).select(F.explode(shapes).alias("text"), F.lit(True).alias("secret"))
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    # ids alone are ordered, so that no task gathers texts
+    wanted = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).distinct()
+    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi")
     words = F.regexp_extract_all(C.text_or_empty(), F.lit("[A-Za-z]{3,}"), F.lit(0))
     own = sample.select(words.alias("w")).select(F.explode(F.concat("w", F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b)))).alias("text"), F.lit(False).alias("secret"))
     return secret.unionByName(own)
