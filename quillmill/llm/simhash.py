@@ -162,19 +162,23 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return dealt.mapInArrow(_search(radius), "u long, v long")
 
 
+def grouped(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """id, fp, component_id (the least id of the component) of every row of texts(id, text as binary); any id that has an order."""
+    prints = C.stage(texts.mapInArrow(_fingerprints, f"id {dict(texts.dtypes)['id']}, fp long"), "prints")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    parts = C.connected_components(link_fingerprints(distinct.select("fp"), radius))
+    own = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
+    least = own.groupBy("part").agg(F.min("low").alias("component_id"))
+    return prints.join(own.join(least, "part").select("fp", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """id, fp (signed 64 bits), component_id of every row of docs.
 
     id is doc_id, with null as the largest long. Null and empty texts have fingerprint zero, linked like any
     other. Rows with one doc_id each have their own fingerprint. An empty table gives an empty table.
     """
-    ids = docs.select(C.id_or_last().alias("id"), C.text_or_empty().cast("binary").alias("text"))
-    prints = C.stage(ids.mapInArrow(_fingerprints, "id long, fp long"), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    parts = C.connected_components(link_fingerprints(distinct.select("fp"), radius))
-    own = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    least = own.groupBy("part").agg(F.min("low").alias("component_id"))
-    return prints.join(own.join(least, "part").select("fp", "component_id"), "fp")
+    return grouped(docs.select(C.id_or_last().alias("id"), C.text_or_empty().cast("binary").alias("text")), radius)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +187,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays (all rows of that doc_id)."""
-    gone = simhash_groups(docs.select("doc_id", "text")).where("component_id < id").select(F.col("id").alias("_id")).distinct()
-    rows = C.packed(docs).withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(C.NO_ID)))
-    return rows.join(gone, "_id", "left_anti").select("_row.*")
+    """Pipeline stage: of each group one row stays, the first by doc_id (null last) and then by place."""
+    rows = C.stage(C.packed(docs).withColumn("_key", F.monotonically_increasing_id()), "rows")
+    first = F.struct(C.id_or_last("_row.doc_id").alias("doc"), F.col("_key").alias("key"))
+    groups = grouped(rows.select(first.alias("id"), C.text_or_empty("_row.text").cast("binary").alias("text")))
+    gone = groups.where("component_id < id").select(F.col("id.key").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select("_row.*")
 
 
 ORACLE: dict[str, str] = {}

@@ -315,3 +315,14 @@ def test_pipeline(spark, corpus):
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] > 0
     assert {r[0] for r in d.select("doc_id").distinct().collect()} == {r[0] for r in last.select("doc_id").collect()}
     assert decontaminate.contaminated(last, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+def test_simhash_stage_removes_rows_not_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(0), "a"), (None, text(1), "b"), (None, None, "c"), (5, text(0), "d"), (None, text(2), "e"), (None, text(2), "f"), (7, text(3), "g"), (7, text(3), "h"), (7, text(4), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = simhash.stage_simhash(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    want = {(5, text(0)), (None, text(1)), (None, None), (None, text(2)), (7, text(3)), (7, text(4))}
+    assert len(got) == 6 and set(got) == want
