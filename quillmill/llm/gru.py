@@ -6,6 +6,8 @@ ends, the state being carried from window to window; scored the same way, withou
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 WINDOW = 32
@@ -15,6 +17,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
+def laid_out(docs: list[np.ndarray], lanes: int, as_given: bool = False) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Documents in lanes of about equal length, longest lane first: their order, and where each lane begins and how long it is.
+
+    A lane's documents run longest first, or in the order given.
+    """
+    lanes = max(1, min(lanes, len(docs)))
+    heads: list[list[int]] = [[] for _ in range(lanes)]
+    load = [(0, k) for k in range(lanes)]
+    for d in np.argsort([-len(x) for x in docs], kind="stable"):
+        n, k = heapq.heappop(load)
+        heads[k].append(int(d))
+        heapq.heappush(load, (n + len(docs[d]), k))
+    size = {k: n for n, k in load}
+    by_size = sorted(range(lanes), key=lambda k: -size[k])
+    long = np.array([size[k] for k in by_size])
+    return [d for k in by_size for d in (sorted(heads[k]) if as_given else heads[k])], np.append(0, np.cumsum(long)[:-1]), long
+
+
+def starts(docs: list[np.ndarray], order: list[int]) -> np.ndarray:
+    """Which tokens of the documents in this order begin one."""
+    lengths = np.array([len(docs[d]) for d in order], np.int64)
+    fresh = np.zeros(lengths.sum(), bool)
+    fresh[np.append(0, np.cumsum(lengths)[:-1])[lengths > 0]] = True
+    return fresh
+
+
 class Model:
     """Tokens 0..n-1 in order of class; bounds: the first token of each class, and n."""
 
@@ -94,68 +122,74 @@ class Model:
                 dh[rows] += e @ p["wo"][a:b]
         return out, dh
 
-    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window (steps x lanes) from state h on; the state after it; the loss per token."""
+    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients over one window (steps x lanes) from state h on, which is zero again where fresh; the state after it; the loss per token."""
         p, w = self.p, self.width
         steps, lanes = ids.shape
         table = self.inputs()
-        hs, kept = [h], []
+        hs, kept = [], []
+        fresh = np.zeros((steps, lanes), bool) if fresh is None else fresh
+        cut = fresh.any(axis=1)
         for t in range(steps):
-            h, z, r, n, rec = self.step(table[ids[t]], h)
+            before = np.where(fresh[t][:, None], np.float32(0), h) if cut[t] else h
+            h, z, r, n, rec = self.step(table[ids[t]], before)
             hs.append(h)
-            kept.append((z, r, n, rec))
+            kept.append((before, z, r, n, rec))
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         at = np.flatnonzero(valid.ravel())
-        logp, dh = self.log_probs(np.concatenate(hs[1:])[at], target.ravel()[at], grad)
+        logp, dh = self.log_probs(np.concatenate(hs)[at], target.ravel()[at], grad)
         direct = np.zeros((steps * lanes, w), np.float32)
         direct[at] = dh
         direct = direct.reshape(steps, lanes, w)
         into = np.zeros((steps, lanes, 3 * w), np.float32)
         back = np.zeros((lanes, w), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, r, n, rec = kept[t]
+            before, z, r, n, rec = kept[t]
             d = direct[t] + back
             dn = d * (1 - z) * (1 - n * n)
-            dz = d * (hs[t] - n) * z * (1 - z)
+            dz = d * (before - n) * z * (1 - z)
             dr = dn * rec * r * (1 - r)
             into[t] = np.concatenate([dz, dr, dn], axis=1)
             drec = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["wh"] += hs[t].T @ drec
+            grad["wh"] += before.T @ drec
             back = d * z + drec @ p["wh"].T
+            if cut[t]:
+                back[fresh[t]] = 0
         flat = into.reshape(-1, 3 * w)
         grad["b"] += flat.sum(axis=0)
         grad["wx"] += p["embed"][ids.ravel()].T @ flat
         np.add.at(grad["embed"], ids.ravel(), flat @ p["wx"].T)
         scale = np.float32(1 / max(1, len(at)))
-        return {k: g * scale for k, g in grad.items()}, hs[-1], -float(logp.sum()) / max(1, len(at))
+        return {k: g * scale for k, g in grad.items()}, h, -float(logp.sum()) / max(1, len(at))
 
-    def train(self, segments: list[np.ndarray], start: int, lanes: int = 128, rate: float = 0.01, window: int = WINDOW) -> int:
-        """One pass of Adam over segments, each from a zero state, its windows in order. Tokens seen."""
+    def train(self, docs: list[np.ndarray], start: int, lanes: int = 128, rate: float = 0.01, window: int = WINDOW) -> int:
+        """One pass of Adam over all tokens of docs, each from a zero state carried to its end. Tokens seen."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         steps = seen = 0
-        for k in range(0, len(segments), lanes):
-            own = segments[k : k + lanes]
-            longest = max(map(len, own))
-            h = np.zeros((len(own), self.width), np.float32)
-            for t in range(0, longest, window):
-                size = min(window, longest - t)
-                target, ids, valid = (np.zeros((size, len(own)), x) for x in (np.int64, np.int64, bool))
-                for lane, s in enumerate(own):
-                    n = max(0, min(size, len(s) - t))
-                    target[:n, lane] = s[t : t + n]
-                    ids[:n, lane] = s[t - 1 : t - 1 + n] if t else np.append(start, s[: n - 1])[:n]
-                    valid[:n, lane] = True
-                grad, h, _ = self.backward(ids, target, valid, h)
-                steps += 1
-                seen += int(valid.sum())
-                for name, g in grad.items():
-                    np.clip(g, -1, 1, out=g)
-                    m, v = first[name], second[name]
-                    m += np.float32(0.1) * (g - m)
-                    v += np.float32(0.01) * (g * g - v)
-                    step = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
-                    self.p[name] -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-6))
+        if not sum(map(len, docs)):
+            return 0
+        order, begin, long = laid_out(docs, lanes, True)
+        tokens, fresh = np.concatenate([docs[d] for d in order]), starts(docs, order)
+        h = np.zeros((len(long), self.width), np.float32)
+        for t in range(0, int(long[0]), window):
+            live = int(np.searchsorted(-long, -t, "left"))
+            at = begin[:live] + t + np.arange(min(window, int(long[0]) - t))[:, None]
+            valid = at < (begin + long)[:live]
+            at = np.where(valid, at, 0)
+            clear = fresh[at] & valid
+            target = tokens[at].astype(np.int64)
+            ids = np.where(clear, start, tokens[at - 1].astype(np.int64))
+            grad, h, _ = self.backward(ids, target, valid, h[:live], clear)
+            steps += 1
+            seen += int(valid.sum())
+            for name, g in grad.items():
+                np.clip(g, -1, 1, out=g)
+                m, v = first[name], second[name]
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                step = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
+                self.p[name] -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-6))
         return seen
 
     def score(self, docs: list[np.ndarray], start: int, lanes: int = 512, window: int = WINDOW) -> np.ndarray:
@@ -168,27 +202,13 @@ class Model:
         if not lengths.sum():
             return out
         table = self.inputs()
-        lanes = max(1, min(lanes, len(docs)))
-        heads: list[list[int]] = [[] for _ in range(lanes)]
-        load = [(0, k) for k in range(lanes)]
-        import heapq
-
-        for d in np.argsort(-lengths, kind="stable"):
-            n, k = heapq.heappop(load)
-            heads[k].append(int(d))
-            heapq.heappush(load, (n + int(lengths[d]), k))
-        size = {k: n for n, k in load}
-        by_size = sorted(range(lanes), key=lambda k: -size[k])
-        order = [d for k in by_size for d in heads[k]]
+        order, begin, long = laid_out(docs, lanes)
         target = np.concatenate([docs[d] for d in order]).astype(np.int64)
         owner = np.repeat(order, lengths[order])
-        fresh = np.zeros(len(target), bool)
-        fresh[np.append(0, np.cumsum(lengths[order])[:-1])[lengths[order] > 0]] = True
+        fresh = starts(docs, order)
         ids = np.append(start, target[:-1])
         ids[fresh] = start
-        long = np.array([size[k] for k in by_size])
-        begin = np.append(0, np.cumsum(long)[:-1])
-        h = np.zeros((lanes, self.width), np.float32)
+        h = np.zeros((len(long), self.width), np.float32)
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
             h = h[:live]

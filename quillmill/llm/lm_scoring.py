@@ -3,8 +3,8 @@
 Word counts come from every training document and stay distributed; frequent words, bounded in
 number, go to all executors, the counts of all others are joined. The recurrent model reads the most
 frequent words and one token for all others, whose own probabilities given that token come from
-the counts. Every training document gives it a segment; shards train from the
-same start and their parameters are averaged in a tree.
+the counts. It trains on every token of every training document, in consecutive windows between which
+the state is carried; shards train from the same start and their parameters are averaged in a tree.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .gru import Model
 
 #: Words whose counts are sent to all executors at most, tokens of the recurrent model, and its sizes.
 MOST_WORDS, TOKENS, CLASSES, WIDTH = 262_144, 4096, 64, 24
-#: Words of each training document's segment, documents of a shard, and rounds of averaging.
-SEGMENT, PER_SHARD, ROUNDS = 64, 20_000, 2
+#: Documents of a shard, its tokens at most (about), and rounds of averaging.
+PER_SHARD, SHARD_TOKENS, ROUNDS = 20_000, 16_000_000, 2
 #: Entries of a task's partial counts.
 PARTIAL = 250_000
 #: Bytes of text whose words a task holds at once.
@@ -93,39 +93,40 @@ def _local(key: str, make):
     return _state["value"]
 
 
-def _segments(sent, key: str, size: int):
+def _encoded(sent, key: str):
+    """Of each text its tokens to the end, and a hash of its id and words that deals it out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         index = _local(key + "index", vocabulary.index)
-        for b in batches:
+        token = np.append(vocabulary.token, 0).astype(np.uint16)
+        for b in parts(batches):
             out, mark = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
-                h = xxhash.xxh3_64_intdigest(str(i).encode())
-                at = size * (h % max(1, -(-(len(words) + 1) // size)))
-                own = words[at : at + size]
-                ids = [0 if (k := index.get(w, -1)) < 0 else int(vocabulary.token[k]) for w in own]
-                out.append(np.array(ids + [1] * (len(own) < size), np.uint16).tobytes())
-                mark.append(h >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(out, pa.binary())], ["mark", "segment"])
+                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+                out.append(np.append(token[at], np.uint16(1)).tobytes())
+                mark.append(xxhash.xxh3_64_intdigest(str(i).encode() + b" " + out[-1]) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(out, pa.binary())], ["mark", "tokens"])
 
     return run
 
 
-def fit(segments: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, width: int) -> Model:
+def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, width: int) -> Model:
     """Rounds of: every shard trains on its part from the same parameters, which are then averaged by tokens seen.
 
-    Only sums of parameters move, along a tree; the driver holds one such sum.
+    A round takes its part of the documents, all of them once over all rounds, each whole. Only sums of
+    parameters move, along a tree; the driver holds one such sum.
     """
     model = Model(vocabulary.token_counts, vocabulary.bounds, width)
-    sc = segments.sparkSession.sparkContext
-    dealt = C.stage(segments.repartition(shards, F.pmod("mark", F.lit(shards))).sortWithinPartitions("mark", "segment"), "segments")
+    sc = encoded.sparkSession.sparkContext
+    dealt = C.stage(encoded, "tokens")
     for k in range(rounds):
         sent = sc.broadcast(model)
-        own = dealt.where(F.pmod(F.floor(F.col("mark") / shards), F.lit(rounds)) == k).repartition(shards, F.pmod("mark", F.lit(shards))).sortWithinPartitions("mark", "segment").select("segment")
+        own = dealt.where(F.pmod(F.floor(F.col("mark") / shards), F.lit(rounds)) == k).repartition(shards, F.pmod("mark", F.lit(shards))).sortWithinPartitions("mark", "tokens").select("tokens")
 
         def train(rows, sent=sent, k=k):
-            found = [np.frombuffer(r[0], np.uint16).astype(np.int64) for r in rows]
+            found = [np.frombuffer(r[0], np.uint16) for r in rows]
             if found:
                 m = Model.__new__(Model)
                 m.__dict__.update(sent.value.__dict__)
@@ -137,6 +138,7 @@ def fit(segments: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, w
         total, seen = sums.treeAggregate((0.0, 0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]))
         if seen:
             model.load((total / seen).astype(np.float32))
+    C.unstage(dealt)
     return model
 
 
@@ -181,7 +183,7 @@ def _score(sent, key: str):
     return run
 
 
-def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int = TOKENS, classes: int = CLASSES, width: int = WIDTH, segment: int = SEGMENT, per_shard: int = PER_SHARD, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int = TOKENS, classes: int = CLASSES, width: int = WIDTH, per_shard: int = PER_SHARD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Words are runs without ASCII white space, A-Z lower-cased; null and empty texts are the end alone. Rows
@@ -206,8 +208,8 @@ def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int =
     words = sc.broadcast(vocabulary)
     rows = learn.count()
     key = f"{sc.applicationId}-{id(vocabulary)}-{total}-{distinct}-"
-    segments = learn.select("doc_id", "text").mapInArrow(_segments(words, key, segment), "mark long, segment binary")
-    model = fit(segments, vocabulary, max(1, -(-rows // per_shard)), rounds, width)
+    encoded = learn.select("doc_id", "text").mapInArrow(_encoded(words, key), "mark long, tokens binary")
+    model = fit(encoded, vocabulary, max(1, -(-rows // per_shard), -(-total // SHARD_TOKENS)), rounds, width)
     both = sc.broadcast((vocabulary, model))
     marked = texts.select(F.struct(F.monotonically_increasing_id().alias("at"), "doc_id", "held_out").alias("row"), "text")
     row = f"struct<at:bigint,doc_id:{dict(docs.dtypes)['doc_id']},held_out:boolean>"

@@ -326,3 +326,43 @@ def test_simhash_stage_removes_rows_not_ids(spark):
     got = [(r.doc_id, r.text) for r in out.collect()]
     want = {(5, text(0)), (None, text(1)), (None, None), (None, text(2)), (7, text(3)), (7, text(4))}
     assert len(got) == 6 and set(got) == want
+
+
+def test_gru_trains_on_all_tokens_and_carries_state():
+    counts, bounds = np.array([5.0, 2, 9, 4, 3, 2]), np.array([0, 1, 2, 4, 6])
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 6, n).astype(np.uint16) for n in (300, 0, 1, 40, 7, 90, 33)]
+    seen, real = [], Model.backward
+
+    def spy(self, ids, target, valid, h, fresh=None):
+        seen.append((ids, target, valid, h.copy(), fresh))
+        return real(self, ids, target, valid, h, fresh)
+
+    m = Model(counts, bounds, 4)
+    m.backward = spy.__get__(m)
+    assert m.train(docs, 1, lanes=2) == sum(map(len, docs))
+    got = collections.Counter(int(x) for _, t, v, _, _ in seen for x in t[v])
+    assert got == collections.Counter(np.concatenate(docs).tolist())
+    starts = sum(int((f & v).sum()) for _, _, v, _, f in seen)
+    assert starts == sum(len(d) > 0 for d in docs)
+    assert all(np.abs(h).sum() > 0 for *_, h, _ in seen[1:])
+    # two documents in one lane have the gradient of two lanes
+    a, b = docs[4].astype(np.int64), docs[3][:7].astype(np.int64)
+    zero = lambda n: np.zeros((n, 4), np.float32)
+    ids = lambda x: np.append(1, x[:-1])
+    fresh = np.zeros((14, 1), bool)
+    fresh[[0, 7]] = True
+    m = Model(counts, bounds, 4)
+    one = m.backward(np.append(ids(a), ids(b))[:, None], np.append(a, b)[:, None], np.ones((14, 1), bool), zero(1), fresh)[0]
+    two = m.backward(np.stack([ids(a), ids(b)], 1), np.stack([a, b], 1), np.ones((7, 2), bool), zero(2))[0]
+    assert all(np.allclose(one[k], two[k], atol=1e-5) for k in one)
+
+
+def test_lm_training_reads_whole_documents(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 700))) for i in range(12)]
+    sums = []
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda encoded, *a: sums.append(encoded.agg(F.sum(F.length(encoded.columns[1]))).first()[0] // 2) or fit(encoded, *a))
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokens=64, classes=8, width=8).collect()
+    assert sums == [got[0].train_tokens] and sums[0] == 701 * sum(not r.held_out for r in got)
