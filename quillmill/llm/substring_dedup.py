@@ -88,10 +88,10 @@ def anchors(h: np.ndarray, width: int = WIDTH, span: int = SPAN) -> np.ndarray:
     return np.flatnonzero(keep[: last + 1])
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, content hash, band keys, shingle hashes) of each distinct paragraph of a text."""
+def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word and distinct paragraph of each place; content hash, band keys, shingle hashes of each distinct paragraph."""
     words = _WORD.findall(text.lower())
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, WIDTH - SHINGLE + 1), np.uint32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, WIDTH - SHINGLE + 1), np.uint32)
     if len(words) < WIDTH:
         return none
     ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -101,21 +101,20 @@ def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     whole = np.zeros(len(at), np.uint64)
     for k in (*range(0, WIDTH - SHINGLE, SHINGLE), WIDTH - SHINGLE):
         whole = mixed(whole ^ own[:, k])
-    _, first = np.unique(whole, return_index=True)
-    first.sort()
-    at, whole, own = at[first], whole[first], own[first]
-    keys = np.empty((len(at), BANDS), np.uint64)
+    _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+    whole, own = whole[first], own[first]
+    keys = np.empty((len(whole), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            key = np.full(len(at), b, np.uint64)
+            key = np.full(len(whole), b, np.uint64)
             for r in range(ROWS):
                 key = mixed(key ^ (own * _MULTIPLIERS[b * ROWS + r]).min(axis=1))
             keys[:, b] = key
-    return at, whole, keys, own.astype(np.uint32)
+    return at, of, whole, keys, own.astype(np.uint32)
 
 
 def _keys(text: str) -> list[int]:
-    return np.unique(paragraphs(text)[2]).tolist()
+    return np.unique(paragraphs(text)[3]).tolist()
 
 
 def _suspects(sent):
@@ -123,15 +122,18 @@ def _suspects(sent):
         for b in batches:
             cols = [[], [], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, whole, keys, own = paragraphs(text)
+                at, of, whole, keys, own = paragraphs(text)
                 hit = in_filter(sent.value, keys.ravel()).reshape(keys.shape).any(axis=1)
                 n = int(hit.sum())
                 cols[0] += [i] * n
-                cols[1] += at[hit].tolist()
+                places = [[] for _ in whole]
+                for k, x in zip(of.tolist(), at.tolist(), strict=True):
+                    places[k].append(x)
+                cols[1] += [places[k] for k in np.flatnonzero(hit)]
                 cols[2] += whole[hit].view(np.int64).tolist()
                 cols[3] += keys[hit].view(np.int64).tolist()
                 cols[4] += [x.tobytes() for x in own[hit]]
-            types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            types = pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "at", "whole", "keys", "shingles"])
 
     return run
@@ -181,21 +183,21 @@ def _verified(similarity: float):
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, bits_per_doc: int = 2048, most_bits: int = 1 << 29) -> DataFrame:
     """id, at, class_id, first_id of every paragraph whose class is found in two or more doc_ids.
 
-    Words are lower-cased \\w+. A paragraph that a document repeats counts at its first place. Texts of under
+    Every place of a paragraph that a document repeats counts. Texts of under
     WIDTH words, null and empty ones have none; all null doc_ids are one document, the last. Rows that share a
     doc_id are one document. An empty table gives an empty table.
     """
     texts = docs.select(C.id_or_last().alias("id"), C.text_or_empty().alias("text"))
     bits = filter_bits(docs.count(), bits_per_doc, most_bits)
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), _keys, bits))
-    found = C.stage(texts.mapInArrow(_suspects(sent), "id long, at long, whole long, keys array<long>, shingles binary"), "paragraphs")
+    found = C.stage(texts.mapInArrow(_suspects(sent), "id long, at array<long>, whole long, keys array<long>, shingles binary"), "paragraphs")
     # shingles follow only those that share a key with another paragraph
     shared = C.tiled(found.select("whole", F.explode("keys").alias("key")).distinct(), "key", ["whole"], TILE, least=2).select("key", "_a", "_b", "whole")
     shared = C.stage(shared, "shared")
     texts = found.join(shared.select("whole").distinct(), "whole", "left_semi").groupBy("whole").agg(F.any_value("shingles").alias("shingles"))
     dealt = shared.join(texts, "whole").select("key", "_a", "_b", "whole", "shingles").repartition("key", "_a", "_b").sortWithinPartitions("key", "_a", "_b", "whole")
     parts = C.connected_components(dealt.mapInArrow(_verified(similarity), "u long, v long"))
-    placed = found.select("id", "at", "whole").join(parts, F.col("whole") == F.col("node"), "left").select("id", "at", F.coalesce("component", "whole").alias("class_id"))
+    placed = found.select("id", F.explode("at").alias("at"), "whole").join(parts, F.col("whole") == F.col("node"), "left").select("id", "at", F.coalesce("component", "whole").alias("class_id"))
     placed = C.stage(placed, "classes")
     owners = C.stage(placed.groupBy("class_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).where("first_id < last").drop("last"), "owners")
     return placed.join(owners, "class_id").select("id", "at", "class_id", "first_id")

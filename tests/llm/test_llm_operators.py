@@ -366,3 +366,16 @@ def test_lm_training_reads_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "fit", lambda encoded, *a: sums.append(encoded.agg(F.sum(F.length(encoded.columns[1]))).first()[0] // 2) or fit(encoded, *a))
     got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokens=64, classes=8, width=8).collect()
     assert sums == [got[0].train_tokens] and sums[0] == 701 * sum(not r.held_out for r in got)
+
+
+def test_passages_keep_every_place(spark):
+    own = lambda d, n: " ".join(f"d{d}x{i}" for i in range(n))
+    shared = " ".join(f"shared{i}" for i in range(60))
+    texts = [(1, shared), (2, " ".join([shared, own(2, 60), shared, own(3, 60), shared])), (3, own(4, 80))]
+    got = substring_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True)}
+    for start in (0, 120, 240):
+        assert any(r.doc_id == 2 and start <= r.start_word < r.end_word <= start + 60 for r in got), start
+    # every place of a repeated hash is handed on
+    at, of, whole, keys, own_ = substring_dedup.paragraphs(" ".join([shared, own(2, 60), shared]))
+    assert len(at) > len(whole) and sorted(set(of.tolist())) == list(range(len(whole))) and len(whole) == len(keys) == len(own_) == len(set(whole.tolist()))
