@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text whose words a task holds at once.
+PART_BYTES = 4_000_000
 #: Stands for a null doc_id inside operators, so that all nulls count as one last document.
 NO_ID = (1 << 63) - 1
 
@@ -81,6 +87,15 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows whose texts (column 1) have about PART_BYTES, one row at least."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+        ends = np.append(np.flatnonzero(np.diff(size // PART_BYTES)) + 1, b.num_rows)
+        for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
+            yield b.slice(int(a), int(z - a))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges(u, v), u != v.
 

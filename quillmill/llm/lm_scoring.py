@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +28,6 @@ MOST_WORDS, TOKENS, CLASSES, WIDTH = 262_144, 4096, 64, 24
 PER_SHARD, SHARD_TOKENS, ROUNDS = 20_000, 16_000_000, 2
 #: Entries of a task's partial counts.
 PARTIAL = 250_000
-#: Bytes of text whose words a task holds at once.
-PART_BYTES = 4_000_000
 END = b""
 _state: dict = {}
 
@@ -100,7 +97,7 @@ def _encoded(sent, key: str):
         vocabulary = sent.value
         index = _local(key + "index", vocabulary.index)
         token = np.append(vocabulary.token, 0).astype(np.uint16)
-        for b in parts(batches):
+        for b in C.parts(batches):
             out, mark = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
@@ -142,15 +139,6 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
     return model
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut to rows of about PART_BYTES, one row at least."""
-    for b in batches:
-        size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
-        ends = np.append(np.flatnonzero(np.diff(size // PART_BYTES)) + 1, b.num_rows)
-        for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
-            yield b.slice(int(a), int(z - a))
-
-
 def _score(sent, key: str):
     log = np.log10
 
@@ -161,7 +149,7 @@ def _score(sent, key: str):
         scale = math.log10(vocabulary.total + vocabulary.distinct + 1)
         other = math.log10(vocabulary.other + vocabulary.other_distinct + 1)
         end = math.log10(vocabulary.ends + 1) - scale
-        for b in parts(batches):
+        for b in C.parts(batches):
             docs, facts, rare = [], [], []
             for text in b.column(1).to_pylist():
                 words = text.lower().split()

@@ -11,7 +11,9 @@ packed largest first. Only the histogram and the patterns are ever on the driver
 from __future__ import annotations
 
 import base64
+import json
 import os
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ from . import common as C
 LENGTH = 2048
 CLASS = 8
 END_ID = 1
+#: Share by which the linear program's solution may exceed its bound.
+GAP = 1e-3
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory of word pieces; the memory is emptied when full.
 MEMORY = 600_000
@@ -59,45 +63,82 @@ class _Words(dict):
         return found
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary at a path as ranks of byte strings, if merging by rank gives the tokenizer's own ids; else None.
+
+    Merging by rank joins any neighbours whose bytes make up a token, the tokenizer only pairs of its list. With
+    ranks in the list's order, whatever stands between two cuts when a token is due has been merged by the lower
+    ranks alone. So both agree on every text if each token's bytes, merged by the ranks below its own, end in
+    just the pair the list has for it; that is held for every token here.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not plain or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    of = byte_of()
+    raw = lambda t: bytes(of[c] for c in t)
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+    listed = set()
+    last = -1
+    for pair in model["merges"]:
+        a, b = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
+        rank = ranks.get(a + b, -1)
+        if rank <= last or ranks.get(a, rank) >= rank and len(a) > 1 or ranks.get(b, rank) >= rank and len(b) > 1:
+            return None
+        now = [bytes([x]) for x in a + b]
+        while True:
+            due = min(((ranks.get(x + y, rank), k) for k, (x, y) in enumerate(zip(now, now[1:], strict=False))), default=(rank, 0))
+            if due[0] >= rank:
+                break
+            now[due[1] : due[1] + 2] = [now[due[1]] + now[due[1] + 1]]
+        if now != [a, b]:
+            return None
+        listed.add(a + b)
+        last = rank
+    return ranks if all(len(t) == 1 or t in listed for t in ranks) and len(ranks) == 256 + len(listed) else None
+
+
 class Encoder:
     """Ids of whole texts by the tokenizer at a path, little-endian 32-bit, remembering single words.
 
     The byte-level pre-tokenizer always cuts before a space between two characters that are not white
     space, so such a text is the sequence of its words, each with its space. Words not yet known, and
-    texts with other white space beside a space, are encoded by the same vocabulary as merge ranks,
-    which is several times as fast; one in CHECKED of them is held against the tokenizer.
-    Texts that spell a special token go to the tokenizer itself.
+    texts with other white space beside a space, are encoded by merge ranks, if any are given, which is
+    several times as fast and gives the same ids (see merge_ranks). That holds for ASCII, where pre-tokenizers agree
+    on classes of characters; all else, and texts that spell a special token, go to the tokenizer itself.
     """
 
-    CHECKED = 1000
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ranks = None
-        if os.path.exists(ranks := path.removesuffix(".json") + ".tiktoken"):
-            with open(ranks, "rb") as f:
-                found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={}).encode_ordinary
-        self.seen = 0
+        self.by_ranks = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            self.by_ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.known = _Words("", self.whole), _Words(" ", self.whole)
 
     def by_tokenizer(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        if self.ranks is None or any(s in text for s in self.special):
+        if self.by_ranks is None or not text.isascii() or any(s in text for s in self.special):
             return self.by_tokenizer(text)
-        out = array("I", self.ranks(text)).tobytes()
-        if self.seen % self.CHECKED == 0 and self.by_tokenizer(text) != out:
-            raise ValueError("the merge ranks give other ids than the tokenizer")
-        self.seen += 1
-        return out
+        return array("I", self.by_ranks(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         head, *words = text.split(" ")
@@ -107,18 +148,18 @@ class Encoder:
             return self.whole(text)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ranks: dict[bytes, int] | None = None) -> Encoder:
     if path not in _state:
-        _state[path] = Encoder(path)
+        _state[path] = Encoder(path, ranks)
     return _state[path]
 
 
-def _pieces(path: str, length: int, end_id: int):
+def _pieces(path: str, length: int, end_id: int, sent):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = encoder(path)
+        for b in C.parts(batches):
+            own = encoder(path, sent.value)
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = own.encode(text) + end
@@ -147,36 +188,66 @@ def knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), count
 
 
-def solve(demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows: pieces of each class) and how often each is used in the linear program's solution.
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row exchange, in elementwise operations alone.
 
-    Ends when no pattern prices out or when the bound from the duals is within the gap.
+    A linear algebra library's threads can wait for ever in a process that has started a JVM, so the
+    driver calls none.
+    """
+    n = len(a)
+    m = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.argmax(np.abs(m[k:, k])))
+        if m[p, k] == 0:
+            raise ValueError("singular basis")
+        m[[k, p]] = m[[p, k]]
+        m[k] /= m[k, k]
+        factor = m[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        m[rows] -= factor[rows, None] * m[k]
+    return m[:, n:]
+
+
+def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a @ x in elementwise operations."""
+    return (a * x).sum(axis=1)
+
+
+def solve(demand: np.ndarray, room: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows: pieces of each class), how often each is used in the linear program's solution, and the gap reached.
+
+    Ends when no pattern prices out, when the solution is within `gap` of the best bound that any round's duals
+    gave, or after `most` rounds: then the gap reached is larger, the patterns are still whole and every piece is placed.
     """
     rows = np.flatnonzero(demand)
     need = demand[rows].astype(float)
     basis = np.diag(room // (rows + 1)).astype(float)
+    bound, found = 0.0, 1.0
     for k in range(most):
         if k % 100 == 0:
-            inverse = np.linalg.inv(basis)
-        used = np.maximum(inverse @ need, 0)
-        dual = inverse.sum(axis=0)
+            inverse = inverted(basis)
+        used = np.maximum(times(inverse, need), 0)
         value = np.zeros(room)
-        value[rows] = np.maximum(dual, 0)
+        value[rows] = np.maximum(inverse.sum(axis=0), 0)
         worth, count = knapsack(value, room)
-        if worth <= 1 + 1e-9 or need @ value[rows] / worth >= used.sum() * (1 - gap):
+        column = count[rows]
+        bound = max(bound, (need * value[rows]).sum() / max(worth, 1))
+        found = 1 - bound / used.sum()
+        if worth <= 1 + 1e-9 or found <= gap:
             break
-        step = inverse @ count[rows]
+        step = times(inverse, column)
         ratio = np.full(len(rows), np.inf)
         up = step > 1e-9
         ratio[up] = used[up] / step[up]
         out = int(np.argmin(ratio))
-        basis[:, out] = count[rows]
+        basis[:, out] = column
         pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
+        inverse -= step[:, None] * pivot
         inverse[out] = pivot
     patterns = np.zeros((len(rows), room), int)
     patterns[:, rows] = basis.T.round().astype(int)
-    return patterns, used
+    return patterns, used, max(0.0, found)
 
 
 def plan(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
@@ -184,13 +255,16 @@ def plan(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     out: list[tuple[np.ndarray, int]] = []
     left = demand.copy()
     if left.any():
-        for pattern, x in zip(*solve(demand, room), strict=True):
-            times = int(x + 1e-6)
+        patterns, used, reached = solve(demand, room)
+        if reached > GAP:
+            warnings.warn(f"the linear program ended {reached:.2%} above its bound", stacklevel=2)
+        for pattern, x in zip(patterns, used, strict=True):
+            uses = int(x + 1e-6)
             if pattern.any():
-                times = min(times, int(np.min(left[pattern > 0] // pattern[pattern > 0])))
-            if times > 0:
-                out.append((pattern, times))
-                left -= times * pattern
+                uses = min(uses, int(np.min(left[pattern > 0] // pattern[pattern > 0])))
+            if uses > 0:
+                out.append((pattern, uses))
+                left -= uses * pattern
     while left.any():
         pattern, free = np.zeros(room, int), room
         for c in np.flatnonzero(left)[::-1]:
@@ -224,7 +298,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     room = length // CLASS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = C.stage(texts.mapInArrow(_pieces(path or tokenizer_path(), length, end_id), schema), "pieces")
+    path = path or tokenizer_path()
+    sent = docs.sparkSession.sparkContext.broadcast(_state.setdefault(("ranks", path), merge_ranks(path)))
+    pieces = C.stage(texts.mapInArrow(_pieces(path, length, end_id, sent), schema), "pieces")
     classed = pieces.withColumn("_class", F.ceil(F.col("length") / CLASS).cast("int"))
     histogram = {r["_class"]: r["n"] for r in classed.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     demand = np.array([histogram.get(c, 0) for c in range(1, room + 1)], np.int64)

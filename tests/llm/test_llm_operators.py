@@ -112,10 +112,34 @@ def test_plans_place_every_piece():
     assert sum(t for _, t in plans) <= 1.02 * (demand @ np.arange(1, 65) / 64) + 2
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", " a", "a ", "a\n b", "don't stop's", "x y z", "<|endoftext|> a", "é ß 中文 123 45"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", " a", "a ", "a\n b", "don't stop's", "x y z", "<|endoftext|> a", "é ß 中文 123 45", "a" * 3000, "Zk9/" * 500 + " tail"])
 def test_encoder_is_the_tokenizer(text):
-    e = packing.encoder(packing.tokenizer_path())
-    assert e.encode(text) == e.by_tokenizer(text)
+    path = packing.tokenizer_path()
+    for ranks in (packing.merge_ranks(path), None):
+        e = packing.Encoder(path, ranks)
+        assert e.encode(text) == e.by_tokenizer(text)
+
+
+def test_merge_ranks_are_proven(tmp_path):
+    import json
+
+    path = packing.tokenizer_path()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert len(packing.merge_ranks(path)) == 50256
+    spec["model"]["merges"][300], spec["model"]["merges"][9000] = spec["model"]["merges"][9000], spec["model"]["merges"][300]
+    with open(tmp_path / "t.json", "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert packing.merge_ranks(str(tmp_path / "t.json")) is None
+
+
+def test_solver_needs_no_linear_algebra_library():
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((60, 60))
+    assert np.allclose(packing.inverted(a) @ a, np.eye(60), atol=1e-8)
+    demand = np.bincount(np.minimum(rng.lognormal(3.5, 1.2, 20_000), 254).astype(int), minlength=256)
+    patterns, used, gap = packing.solve(demand, 256)
+    assert gap <= packing.GAP and np.allclose(used @ patterns, demand, atol=1e-6)
 
 
 def test_simhash_brute_force(spark, corpus):
