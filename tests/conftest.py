@@ -7,7 +7,6 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
