@@ -43,7 +43,7 @@ def _local_filters(bits: int, hashes):
     """Per partition: of each block of the filters, the offsets seen once, and those seen twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_positions(np.fromiter((h for t in b.column(0).to_pylist() for h in hashes(t)), np.uint64), bits) for b in batches]
+        parts = [_positions(hashes(b.column(0).to_pylist()), bits) for b in C.parts(batches, 0)]
         if not sum(map(len, parts)):
             return
         at, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -71,7 +71,7 @@ def _merge_block(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def twice_seen(texts: DataFrame, hashes, bits: int) -> np.ndarray:
-    """Packed bits of the twice-seen filter over hashes(text), a set of hashes, of a binary column.
+    """Packed bits of the twice-seen filter over hashes(texts), an array with each hash of a text once, of a column of texts.
 
     The result has `bits` bits, at most a parameter of the caller's.
     """
@@ -94,13 +94,13 @@ def filter_bits(rows: int, per_row: int, most: int) -> int:
     return min(most, max(1 << 20, 1 << max(0, int(rows) * per_row - 1).bit_length()))
 
 
-def dedup_lines(docs: DataFrame, min_key: int = 10, bits_per_doc: int = 256, most_bits: int = 1 << 28) -> DataFrame:
-    """docs with added n_lines, n_dropped (long) and kept_text: repeated lines stay only in the smallest doc_id.
+def deduped(docs: DataFrame, min_key: int = 10, bits_per_doc: int = 256, most_bits: int = 1 << 28) -> DataFrame:
+    """_row (docs as a struct) and _k (n, dropped, kept): repeated lines stay only in the smallest doc_id.
 
     A text is split at \\n; null or empty text is one empty line. Keys of at least min_key code
     points found in two or more doc_ids lose all their lines but those of the smallest. Rows that
     share a doc_id are one document. All null doc_ids are one document that comes last. An empty table gives an
-    empty table. Further columns pass through. The filters' size follows the row count up
+    empty table. Further columns, whatever their names, stay in _row. The filters' size follows the row count up
     to most_bits (32 MB), which bounds what is broadcast; beyond it more lines are shuffled.
     """
     texts = docs.select(C.id_or_last().alias("id"), C.text_or_empty().cast("binary").alias("text"))
@@ -109,8 +109,8 @@ def dedup_lines(docs: DataFrame, min_key: int = 10, bits_per_doc: int = 256, mos
     def keys_of(text: bytes) -> list[bytes]:
         return list({k for k in line_keys(text) if long_enough(k, min_key)})
 
-    def hashes_of(text: bytes) -> list[int]:
-        return [xxhash.xxh3_64_intdigest(k) for k in keys_of(text)]
+    def hashes_of(texts: list[bytes]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(k) for t in texts for k in keys_of(t)), np.uint64)
 
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), hashes_of, bits))
 
@@ -143,7 +143,14 @@ def dedup_lines(docs: DataFrame, min_key: int = 10, bits_per_doc: int = 256, mos
         return pd.DataFrame(out, columns=["n", "dropped", "kept"])
 
     done = joined.select("_row", keep(F.coalesce(F.col("_row.text").cast("string"), F.lit("")).cast("binary"), "_drops").alias("_k"))
-    return done.select("_row.*", F.col("_k.n").alias("n_lines"), F.col("_k.dropped").alias("n_dropped"), F.col("_k.kept").cast("string").alias("kept_text"))
+    return done.select("_row", F.struct("_k.n", "_k.dropped", F.col("_k.kept").cast("string").alias("kept")).alias("_k"))
+
+
+def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
+    """docs with n_lines, n_dropped (long) and kept_text, as deduped() gives them; a column of docs of such a name gives way."""
+    facts = {"n_lines": "_k.n", "n_dropped": "_k.dropped", "kept_text": "_k.kept"}
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in facts]
+    return deduped(docs, **options).select(*own, *[F.col(c).alias(n) for n, c in facts.items()])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,9 +160,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated lines; n_chars follows the text, all documents stay."""
-    done = dedup_lines(docs)
-    cols = [F.col("kept_text").alias("text") if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*cols)
+    fresh = {"text": F.col("_k.kept"), "n_chars": F.when(F.col("_k.dropped") > 0, F.length("_k.kept").cast("long")).otherwise(F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return deduped(docs).select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = {

@@ -188,25 +188,80 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_passages_find_all_shared_runs(spark, corpus):
-    words = {d: re.findall(r"\w+", t.lower()) for d, t in corpus.items()}
+def word_lists(corpus):
+    return {d: re.findall(r"\w+", (t or "").lower()) for d, t in corpus.items()}
+
 
-    def sharing(n: int) -> set[int]:
-        at = collections.defaultdict(set)
-        for d, w in words.items():
-            for i in range(len(w) - n + 1):
-                at[tuple(w[i : i + n])].add(d)
-        return set().union(*(x for x in at.values() if len(x) > 1))
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
 
-    got = {r.doc_id for r in registry.QUERIES["op3_substring_dedup"](spark, SF).collect()}
-    assert sharing(substring_dedup.SPAN + substring_dedup.WIDTH - 1) <= got <= sharing(18)
+
+def test_passages_find_all_shared_runs(spark, corpus):
+    words, n = word_lists(corpus), substring_dedup.LEAST
+    at = collections.defaultdict(set)
+    for d, w in words.items():
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].add((d, i))
+    runs = {x for places in at.values() if len({d for d, _ in places}) > 1 for x in places}
+    got = collections.defaultdict(list)
+    for r in registry.QUERIES["op3_substring_dedup"](spark, SF).collect():
+        got[r.doc_id].append((r.start_word, r.end_word))
+        assert 0 <= r.start_word < r.end_word <= len(words[r.doc_id]) and r.removed == (r.doc_id > r.first_doc_id)
+    assert runs
+    assert all(any(a <= i and i + n <= z for a, z in got[d]) for d, i in runs)
+    # all else is held by a paragraph that is similar to one of another document
+    grams = {}
+    for d, t in corpus.items():
+        for line in t.lower().split("\n"):
+            w = re.findall(r"\w+", line)
+            grams.setdefault(d, []).append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    for d in set(got) - {d for d, _ in runs}:
+        assert any(x and y and jaccard(x, y) >= 0.5 for x in grams[d] for e in grams if e != d for y in grams[e]), d
+
+
+def test_recall_on_edited_paragraphs(spark):
+    rng = np.random.default_rng(8)
+    texts, lists = [], []
+    for k in range(300):
+        w = [f"q{x}" for x in rng.integers(0, 5000, int(rng.integers(52, 140)))]
+        lists.append(w)
+        edited = list(w)
+        for at in rng.choice(len(w), int(rng.integers(1, 4)), replace=False):
+            edited[at] = f"new{at}"
+        lists.append(edited)
+    for d, w in enumerate(lists):
+        texts.append((d, "\n".join([f"head{d} own{d}", " ".join(w), f"tail{d} more{d}"])))
+    found = substring_dedup.suspects(spark.createDataFrame(texts, "doc_id long, text string"))
+    by = collections.defaultdict(set)
+    for r in substring_dedup.similar_paragraphs(found).collect():
+        by[r.class_id].add(r.id)
+    linked = {d: k for k, x in by.items() for d in x}
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in lists]
+    true = {(i, j) for i in range(len(lists)) for j in range(i) if jaccard(grams[i], grams[j]) >= 0.8}
+    hit = sum(i in linked and linked[i] == linked.get(j) for i, j in true)
+    assert len(true) > 100 and hit >= 0.95 * len(true)
+    assert all(any(jaccard(grams[i], grams[j]) >= 0.8 for j in x if j != i) for x in by.values() for i in x)
+
+
+def test_features_match_the_plain_words():
+    texts = ["", "Ünï Çode_x 12 \n b", "a " * 40 + "\n" + "z", " ".join(f"W{i}" for i in range(100)), "x" * 3_000_000 + " y"]
+    for t in texts:
+        hashes, lines = substring_dedup.words_of(t)
+        words = [(m[0], t.lower()[: m.start()].count("\n")) for m in re.finditer(r"\w+", t.lower())] if len(t) < 1000 else t.lower().split()
+        if len(t) < 1000:
+            assert lines.tolist() == [x for _, x in words]
+            assert len({w: h for (w, _), h in zip(words, hashes.tolist(), strict=True)}) == len({w for w, _ in words}) == len(set(hashes.tolist()))
+        assert len(hashes) == len(words)
+    one, many = substring_dedup.Features(texts[2:4]), [substring_dedup.Features([t]) for t in texts[2:4]]
+    assert one.window_at.tolist() == [x for f in many for x in f.window_at.tolist()] and one.whole.tolist() == [x for f in many for x in f.whole.tolist()]
+    assert (one.keys == np.concatenate([f.keys for f in many])).all()
 
 
 def test_similar_paragraphs_are_linked(spark):
-    w = [f"word{i}" for i in range(26)]
-    texts = [(1, " ".join(w)), (2, " ".join([*w[:-1], "changed"])), (3, " ".join(f"other{i}" for i in range(26)))]
+    w = [f"word{i}" for i in range(60)]
+    texts = [(1, " ".join(w)), (2, " ".join([*w[:30], "changed", *w[31:]])), (3, " ".join(f"other{i}" for i in range(60)))]
     got = substring_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.first_doc_id, r.removed) for r in got) == [(1, 1, False), (2, 1, True)]
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.removed) for r in got) == [(1, 0, 60, 1, False), (2, 0, 60, 1, True)]
 
 
 def test_secrets_brute_force(spark, corpus):
@@ -275,6 +330,60 @@ def test_tiles_do_not_overlap():
     assert got == [(0, 0, 10), (10, 25, 5)]
 
 
+def naive_cover(doc: list[str], item: list[str], least: int) -> tuple[int, int]:
+    """Greedy string tiling as it is defined: the longest common run of unmarked words, again and again."""
+    in_doc, in_item, n, covered = set(), set(), 0, 0
+    while True:
+        best, last = (0, 0, 0), {}
+        for i, w in enumerate(doc):
+            now = {}
+            for j, x in enumerate(item):
+                if w == x and i not in in_doc and j not in in_item:
+                    now[j] = last.get(j - 1, 0) + 1
+                    key = (now[j], -(j - now[j] + 1), -(i - now[j] + 1))
+                    best = max(best, key) if best[0] else key
+            last = now
+        if best[0] < least:
+            return n, covered
+        size, j, i = best[0], -best[1], -best[2]
+        in_doc.update(range(i, i + size))
+        in_item.update(range(j, j + size))
+        n, covered = n + 1, covered + size
+
+
+def test_decontamination_brute_force(spark, corpus):
+    bench = {r.item_id: decontaminate.tokens(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    words = {d: decontaminate.tokens(t) for d, t in corpus.items()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    own = {i: grams(w) for i, w in bench.items()}
+    want = set()
+    for d, w in words.items():
+        g = grams(w)
+        for i, x in bench.items():
+            if g & own[i]:
+                n, covered = naive_cover(w, x, 5)
+                if covered >= 0.5 * len(x):
+                    want.add((d, i, n, covered, len(x)))
+    got = {(r.doc_id, r.item_id, r.n_tiles, r.covered, r.item_words) for r in registry.QUERIES["op9_decontaminate"](spark, SF).collect()}
+    assert want and got == want
+
+
+def test_tiling_by_blocks_and_on_repetitive_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [" ".join(rng.choice(["a", "b", "c"], 14)) for _ in range(6)]
+    tests = decontaminate.Tests(list(enumerate(items)), 3)
+    docs = [" ".join(rng.choice(["a", "b", "c"], 40)) for _ in range(8)]
+    whole = [tests.against(d) for d in docs]
+    for d, found in zip(docs, whole, strict=True):
+        for k, n, covered, size in found:
+            assert (n, covered, size) == (*naive_cover(d.split(), items[k].split(), 3), 14)
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    assert [tests.against(d) for d in docs] == whole
+    monkeypatch.setattr(decontaminate, "PAIRS", 1_000_000)
+    same = decontaminate.Tests([(0, "a " * 300)], 5).against("a " * 30_000)
+    assert same == [(0, 1, 300, 300)]
+
+
 def test_gru_gradients():
     m = Model(np.array([5.0, 2, 9, 4, 3, 2]), np.array([0, 1, 2, 4, 6]), 3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
@@ -395,11 +504,8 @@ def test_lm_training_reads_whole_documents(spark, monkeypatch):
 def test_passages_keep_every_place(spark):
     own = lambda d, n: " ".join(f"d{d}x{i}" for i in range(n))
     shared = " ".join(f"shared{i}" for i in range(60))
-    texts = [(1, shared), (2, " ".join([shared, own(2, 60), shared, own(3, 60), shared])), (3, own(4, 80))]
+    texts = [(1, shared), (2, " ".join([shared, own(2, 60), shared, own(3, 60), shared])), (3, own(4, 80)), (None, None), (None, f"{own(5, 30)} {shared}"), (1, shared)]
     got = substring_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True)}
-    for start in (0, 120, 240):
-        assert any(r.doc_id == 2 and start <= r.start_word < r.end_word <= start + 60 for r in got), start
-    # every place of a repeated hash is handed on
-    at, of, whole, keys, own_ = substring_dedup.paragraphs(" ".join([shared, own(2, 60), shared]))
-    assert len(at) > len(whole) and sorted(set(of.tolist())) == list(range(len(whole))) and len(whole) == len(keys) == len(own_) == len(set(whole.tolist()))
+    assert sorted((r.doc_id or 99, r.start_word, r.end_word, r.first_doc_id, r.removed) for r in got) == [
+        (1, 0, 60, 1, False), (2, 0, 60, 1, True), (2, 120, 180, 1, True), (2, 240, 300, 1, True), (99, 30, 90, 1, True),
+    ]
