@@ -19,26 +19,42 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,m:string>>"
+#: Matches laid at a time.
+BLOCK = 128
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f evaluates it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def spans(text: Column, pattern: str, rank: int, kind: str, passes) -> Column:
-    """Spans in code points of the pattern's matches, leftmost and not overlapping, that pass.
+    """Spans in code points of the pattern's matches, leftmost and not overlapping, that pass; m is the match itself.
 
-    Matches are laid between the pieces that a split by the same pattern leaves.
+    Matches are laid between the pieces that a split by the same pattern leaves, BLOCK at a time, so that
+    the arrays which grow while they are laid stay short.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.split(text, pattern, -1), found, lambda s, m: F.struct(F.length(s).alias("s"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(_SPAN).alias("o"))
+    piece = lambda s, m: F.struct((F.length(s) + F.coalesce(F.length(m), F.lit(0))).alias("n"), F.coalesce(F.length(m), F.lit(0)).alias("l"), F.coalesce(passes(m), F.lit(False)).alias("ok"), m.alias("m"))
 
     def step(a: Column, x: Column) -> Column:
-        begin = a["p"] + x["s"]
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("p"), F.when(F.coalesce(passes(x["m"]), F.lit(False)), F.concat(a["o"], span)).otherwise(a["o"]).alias("o"))
+        end = a["p"] + x["n"]
+        span = F.array(F.struct((end - x["l"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m")))
+        return F.struct(end.alias("p"), F.when(x["ok"], F.concat(a["o"], span)).otherwise(a["o"]).alias("o"))
+
+    def in_block(x: Column, begin: Column) -> Column:
+        return F.aggregate(x, F.struct(begin.alias("p"), F.array().cast(_SPAN).alias("o")), step, lambda a: a["o"])
+
+    def laid(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["n"]))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), in_block))
 
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK)))
+    whole = bound(bound(F.zip_with(F.split(text, pattern, -1), found, piece), cut), laid)
     # most texts hold no match that passes: those are not split
-    return F.when(F.exists(found, passes), F.aggregate(pieces, start, step, lambda a: a["o"])).otherwise(F.array().cast(_SPAN))
+    return F.when(F.exists(found, passes), whole).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -72,10 +88,11 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> list[int]:
 
 
 def ratio_per_char(token: Column, model: Column) -> Column:
+    """The log-likelihood ratio of a token per character, in thousandths; its characters are taken apart once."""
     size = len(ALPHABET) + 1
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    each = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.get(model, at(i) + size * F.when(i > 1, at(i - 1)).otherwise(0)))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x) / F.length(token)
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = lambda c: F.zip_with(c, F.concat(F.array(F.lit(0)), F.slice(c, 1, F.size(c) - 1)), lambda x, before: F.get(model, x + size * before))
+    return bound(codes, lambda c: F.aggregate(pairs(c), F.lit(0), lambda a, x: a + x) / F.size(c))
 
 
 def labelled_strings(docs: DataFrame, most_docs: int = 400, randoms: int = 1500) -> DataFrame:
@@ -96,15 +113,16 @@ def labelled_strings(docs: DataFrame, most_docs: int = 400, randoms: int = 1500)
 def find_secrets(docs: DataFrame, model: list[int], threshold: int = 400) -> DataFrame:
     """docs packed as _row, with base and spans: arrays of (start, rank, end, kind) in order.
 
-    Null and empty texts have no spans. Each row is scanned alone. A markov span is a token of 20 or more characters of the
+    Null and empty texts have no spans. Time grows with a text's length, also if it is one token or all matches. Each row is scanned alone. A markov span is a token of 20 or more characters of the
     alphabet whose ratio per character is above threshold thousandths and that touches no base span.
     An empty table gives an empty table.
     """
     rows = C.packed(docs).withColumn("_t", F.coalesce(F.col("_row.text").cast("string"), F.lit("")))
-    rows = rows.withColumn("base", F.sort_array(F.concat(*base_spans(F.col("_t")))))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
+    rows = rows.withColumn("base", F.sort_array(bare(F.concat(*base_spans(F.col("_t"))))))
     table = F.lit(model)
     rows = rows.withColumn("_more", spans(F.col("_t"), TOKEN, 3, "markov", lambda m: F.length(m) >= 20))
-    judged = F.filter("_more", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (ratio_per_char(F.substring(F.col("_t"), x["start"] + 1, x["end"] - x["start"]), table) > threshold))
+    judged = bare(F.filter("_more", lambda x: (ratio_per_char(x["m"], table) > threshold) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
     return rows.select("_row", "base", C.held(F.sort_array(F.concat("base", judged))).alias("spans"))
 
 
