@@ -4,7 +4,8 @@ A validated value is a list of digits, each with its radix: decimal digits, lett
 parts of a day number. A keyed Feistel network over that list, whose halves are the even and the odd
 places, permutes all values of one format: each round shifts one half by a keyed hash of the other.
 Equal values therefore have equal pseudonyms in every document, different values different ones, and
-each pseudonym is again a valid value of its format (check digits are computed anew). Only DataFrame
+each pseudonym is again a valid value of its format (check digits are computed anew; numbers and days that do not
+exist are walked past). Only DataFrame
 functions are used.
 """
 
@@ -18,6 +19,8 @@ from . import common as C
 ROUNDS = 8
 #: Days of a block of dates that is permuted in itself: 270 * 270, from 1900-01-01.
 SIDE = 270
+#: The first and the last date of four-digit years, as days from 1900-01-01.
+FIRST_DAY, LAST_DAY = -693595, 2958463
 #: The formats, tried in this order at each place.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -42,6 +45,15 @@ def feistel(parts: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), parts, one)
 
 
+def walked(parts: Column, key: str, valid, most: int) -> Column:
+    """Permute among the valid arrays alone: the network is applied again until its result is valid (cycle walking).
+
+    parts must be valid. `most` further rounds leave an invalid result with a chance of its share among all, to that power.
+    """
+    again = lambda a, _: F.when(valid(a), a).otherwise(feistel(a, key))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), feistel(parts, key), again)
+
+
 def _part(v: Column, m) -> Column:
     return F.struct(v.cast("int").alias("v"), (F.lit(m) if isinstance(m, int) else m).cast("int").alias("m"))
 
@@ -101,7 +113,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     # all but the check digit are permuted, the check digit follows
     only = F.regexp_replace(m, "[^0-9]", "")
     join = lambda a: F.array_join(F.transform(a, lambda x: x["v"].cast("string")), "")
-    body = feistel(digits(F.substring(only, F.lit(1), F.length(only) - 1)), key + "/card")
+    body = walked(digits(F.substring(only, F.lit(1), F.length(only) - 1)), key + "/card", lambda a: F.exists(a, lambda x: x["v"] != 0), 3)
     check = F.pmod(-luhn(F.concat(join(body), F.lit("0"))), F.lit(10))
     card = written(m, F.concat(body, F.array(_part(check, 10))))
     octets = F.array_join(F.transform(feistel(F.transform(F.split(m, "\\."), lambda x: _part(x, 256)), key + "/ip"), lambda x: x["v"].cast("string")), ".")
@@ -112,23 +124,28 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     account = F.transform(chars(rest), lambda c: F.when(c.rlike("[0-9]"), _part(F.ascii(c) - 48, 10)).otherwise(_part(F.ascii(c) - 65, 26)))
     fresh = F.array_join(F.zip_with(chars(rest), feistel(account, key + "/iban"), lambda c, x: F.char(x["v"] + F.when(c.rlike("[0-9]"), 48).otherwise(65))), "")
     iban = F.concat(F.substring(m, 1, 2), F.lpad((98 - mod97(F.concat(F.substring(m, 1, 2), F.lit("00"), fresh))).cast("string"), 2, "0"), fresh)
+    at = lambda a, i: F.get(a, F.lit(i))["v"]
+    area = lambda a: at(a, 0) * 100 + at(a, 1) * 10 + at(a, 2)
+    lawful = lambda a: (area(a) > 0) & (area(a) < 900) & (area(a) != 666) & (at(a, 3) + at(a, 4) > 0) & (at(a, 5) + at(a, 6) + at(a, 7) + at(a, 8) > 0)
+    ssn = written(m, walked(digits(m), key + "/ssn", lawful, 24))
     prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     phone = F.concat(prefix, written(F.substring(m, F.length(prefix) + 1, F.lit(40)), feistel(digits(F.substring(m, F.length(prefix) + 1, F.lit(40))), key + "/phone")))
     day = F.datediff(day_of(m), F.to_date(F.lit("1900-01-01")))
     block = F.floor(day / (SIDE * SIDE)).cast("int")
     inside = day - block * SIDE * SIDE
-    # the first and last blocks stick out of the four-digit years: their dates stay
-    moved = feistel(F.array(_part(F.floor(inside / SIDE), SIDE), _part(inside % SIDE, SIDE)), key + "/date")
-    date = F.date_add(F.to_date(F.lit("1900-01-01")), block * SIDE * SIDE + F.get(moved, F.lit(0))["v"] * SIDE + F.get(moved, F.lit(1))["v"])
+    # a block that sticks out of the four-digit years is walked within them
+    days = lambda a: block * SIDE * SIDE + F.get(a, F.lit(0))["v"] * SIDE + F.get(a, F.lit(1))["v"]
+    moved = walked(F.array(_part(F.floor(inside / SIDE), SIDE), _part(inside % SIDE, SIDE)), key + "/date", lambda a: days(a).between(FIRST_DAY, LAST_DAY), 64)
+    date = F.date_add(F.to_date(F.lit("1900-01-01")), days(moved))
     sep = F.substring(m, 3, 1)
     dates = F.when(m.rlike("^[0-9]{4}-"), F.date_format(date, "yyyy-MM-dd")).when(sep == "/", F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
-    return F.when(kind == "email", mail).when(kind == "iban", iban).when(kind == "ip", octets).when(kind == "date", F.when(block.between(-9, 39), dates).otherwise(m)).when(kind == "ssn", written(m, feistel(digits(m), key + "/ssn"))).when(kind == "phone", phone).when(kind == "card", card)
+    return F.when(kind == "email", mail).when(kind == "iban", iban).when(kind == "ip", octets).when(kind == "date", dates).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "card", card)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs packed as _row, with new_text and found (array of kind, start, end, of valid values, in order).
 
-    Null text stays null; rows are treated one by one; an empty table gives an empty table. A match that does
+    The key is the secret: who has it can undo the permutation. Null and empty texts stay; very long ones are split once; null text stays null; rows are treated one by one; an empty table gives an empty table. A match that does
     not validate (a bad check digit, no such day) stays as it is.
     """
     t = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
