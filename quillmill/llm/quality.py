@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Measures are capped at CAP (shares of a thousand never reach it; a mean word length does at 200 characters): a fence above it rejects none.
+CAP = 2000
 #: Measures: name, lower fence wanted, least spread (the fence is q3 + factor * max(q3 - q1, spread)).
 MEASURES = (("sym", False, 10), ("caps", False, 15), ("bang", False, 5), ("wlen", True, 8), ("dups", False, 12))
 FACTOR = 4
-CAP = 2000
 LEAST_GROUP = 100
 #: Groups (rows of thresholds, some 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
@@ -68,7 +69,8 @@ def thresholds(measured: DataFrame, factor: int = FACTOR, least_group: int = LEA
     """_lang, _source and a low_/high_ fence for every measure, from histograms merged by addition."""
     names = [m for m, _, _ in MEASURES]
     points = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"m_{m}").cast("int").alias("v")) for m in names])).alias("x")
-    cells = measured.select("_lang", "_source", points).groupBy("_lang", "_source", "x.m", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    # staged: the text is measured once for all levels
+    cells = C.stage(measured.select("_lang", "_source", points).groupBy("_lang", "_source", "x.m", "x.v").agg(F.count(F.lit(1)).alias("n")), "cells")
     by = ["m", "v"]
     levels = {"s": ["_lang", "_source"], "l": ["_lang"], "a": []}
     out = None
