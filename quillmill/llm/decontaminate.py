@@ -25,6 +25,8 @@ LEAST_TILE = 5
 COVERAGE = 0.5
 #: Characters of test items that are sent to the executors at once; more items take more passes.
 BLOCK_CHARS = 16_000_000
+#: Seed pairs of a document held at once.
+PAIRS = 1_000_000
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,16 +47,17 @@ def running_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+def tiles(matches: list[tuple[int, int, int]], least: int, full: int | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiles among maximal matches (start in item, start in document, length).
 
     The longest first; of equal ones the first in the item, then in the document. What is left of a
-    match beside marked words competes again by its own length.
+    match beside marked words competes again by its own length. With full, the item's words, it ends once fewer
+    than a tile's are left.
     """
     heap = [(-n, j, i) for j, i, n in matches]
     heapq.heapify(heap)
     in_item, in_doc, out = set(), set(), []
-    while heap:
+    while heap and (full is None or full - len(in_item) >= least):
         n, j, i = heapq.heappop(heap)
         free = [j + k not in in_item and i + k not in in_doc for k in range(-n)]
         if all(free):
@@ -81,6 +84,8 @@ class Tests:
         self.vocab = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for x in words for w in x))}
         self.ids = [i for i, _ in items]
         self.words = [np.fromiter(map(self.vocab.get, x), np.int64, len(x)) for x in words]
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.int64)])
+        self.begin = np.cumsum([0, *map(len, self.words)])[:-1]
         self.least = least
         hashes = [running_hashes(x, least) for x in self.words]
         seeds = np.concatenate([*hashes, np.zeros(0, np.uint64)])
@@ -102,24 +107,38 @@ class Tests:
         h = running_hashes(ids, self.least)[start]
         lo, hi = np.searchsorted(self.seeds, h), np.searchsorted(self.seeds, h, "right")
         n = hi - lo
-        if not n.any():
+        # in blocks of a bounded number of seed pairs: repetitive texts make up very many
+        ends = np.append(0, np.cumsum(n))
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], PAIRS), "right") - 1, len(n)))
+        runs = [self._runs(ids, start[x:y], lo[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        if not sum(map(len, runs)):
             return []
-        pick = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        i, j, item = np.repeat(start, n), self.at[pick], self.item[pick]
+        run = np.concatenate(runs)  # item, diagonal, start in document, seeds
+        run = run[np.lexsort(run.T[[2, 1, 0]])]
+        new = np.flatnonzero(np.append(True, (np.diff(run[:, 0]) != 0) | (np.diff(run[:, 1]) != 0) | (run[1:, 2] != run[:-1, 2] + run[:-1, 3])))
+        item, shift, first = run[new, 0], run[new, 1], run[new, 2]
+        length = np.add.reduceat(run[:, 3], new) + self.least - 1
         out = []
         for k in np.unique(item):
-            own, test = item == k, self.words[k]
-            a, b = i[own], j[own]
-            same = np.all([ids[a + x] == test[b + x] for x in range(self.least)], axis=0)
-            a, b = a[same], b[same]
-            order = np.lexsort((a, a - b))
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.append(True, (np.diff(a) != 1) | (np.diff(a - b) != 0))) if len(a) else np.zeros(0, np.int64)
-            length = np.diff(np.append(new, len(a))) + self.least - 1
-            found = tiles(list(zip(b[new].tolist(), a[new].tolist(), length.tolist(), strict=True)), self.least)
-            out.append((int(k), len(found), sum(x[2] for x in found), len(test)))
+            own = item == k
+            test = len(self.words[k])
+            found = tiles(list(zip((first - shift)[own].tolist(), first[own].tolist(), length[own].tolist(), strict=True)), self.least, test)
+            out.append((int(k), len(found), sum(x[2] for x in found), test))
         return out
 
+    def _runs(self, ids: np.ndarray, start: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Rows (item, document less item place, place in document, seeds) of the seeds at these places that follow each other on a diagonal."""
+        pick = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        i, j, item = np.repeat(start, n), self.at[pick], self.item[pick]
+        same = np.ones(len(i), bool)
+        for x in range(self.least):
+            same &= ids[i + x] == self.flat[self.begin[item] + j + x]
+        i, j, item = i[same], j[same], item[same]
+        order = np.lexsort((i, i - j, item))
+        i, shift, item = i[order], (i - j)[order], item[order]
+        new = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(i) != 1))) if len(i) else np.zeros(0, np.int64)
+        return np.stack([item[new], shift[new], i[new], np.diff(np.append(new, len(i)))], axis=1)
+
 
 def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size, read one partition at a time."""
@@ -138,7 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_
     """doc_id, item_id, n_tiles, covered, item_words, coverage of each pair covered to at least `coverage`.
 
     Null and empty texts, and items of under least_tile words, match nothing. Each row of docs is
-    judged alone, so rows with one doc_id give their own pairs. Empty tables give no pairs.
+    judged alone, so rows with one doc_id give their own pairs; repeated items are items of their own. Very long texts are
+    held as one array of words. Of equal matches the first in the item, then in the document, is marked. Empty tables give no pairs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, n_tiles long, covered long, item_words long, coverage double"
