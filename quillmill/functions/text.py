@@ -41,9 +41,19 @@ def detect_lang(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "mix").when(zh / total >= 0.7, "zh").when(en / total >= 0.6, "en").otherwise("mix")
 
 
-def tokens_en(text: Column, cap: int = 4000) -> Column:
-    """Lower-cased runs of letters, digits, quotes, hyphens and underscores, at most cap."""
-    return F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9’'_\-]+"), F.lit(0)), 1, cap)
+def tokens_en(text: Column, cap: int | None = 4000) -> Column:
+    """Lower-cased runs of letters, digits, quotes, hyphens and underscores, at most cap, or all."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9’'_\-]+"), F.lit(0))
+    return found if cap is None else F.slice(found, 1, cap)
+
+
+def tokens_mixed(text: Column, cap: int | None = 4000) -> Column:
+    """Tokens of a text that may be Chinese: single CJK characters and words as they stand, in order (a stand-in
+    for a word segmenter), then the lower-cased English tokens once more; the doubled English words count twice."""
+    plain = F.coalesce(text, F.lit(""))
+    cut = F.regexp_extract_all(plain, F.lit(f"[{CJK}]|[A-Za-z0-9’'_\\-]+"), F.lit(0))
+    both = F.concat(cut, F.regexp_extract_all(F.lower(plain), F.lit(r"[a-z0-9’'_\-]+"), F.lit(0)))
+    return both if cap is None else F.slice(both, 1, cap)
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:

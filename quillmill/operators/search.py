@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows that are broadcast at a time; more are searched in further blocks.
-QUERY_BLOCK = 10_000
+#: Bytes of query vectors that are broadcast at a time; more are searched in further blocks.
+QUERY_BYTES = 64 << 20
 
 
 def top_k(hits: DataFrame, k: int, keys: list[str], score: str = "score", ties: str = "docid", rank: str = "rank") -> DataFrame:
@@ -67,29 +69,68 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
-def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[DataFrame]:
-    """The queries in parts of about `block` rows, each small enough to broadcast."""
+def query_blocks(queries: DataFrame, block: int) -> Iterator[DataFrame]:
+    """The queries in parts of about `block` rows."""
     parts = max(1, -(-queries.count() // block))
     for k in range(parts):
         yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "IP", keep: Column | None = None, ties: str = "docid") -> DataFrame:
-    """qid, docid, score, rank of queries(qid, qvec) over vectors(docid, vec): exact, a block of queries at a time.
-
-    keep: which (query, row) pairs may match. L2 distances are negated, so that more is better.
+def _best(sent, k: int, metric: str, not_self: bool):
+    """Of each batch of vectors the k best for each query of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, wanted = sent.value
+        half = (matrix * matrix).sum(axis=1)
+        for b in batches:
+            many = b.num_rows
+            if not many or not len(ids):
+                continue
+            docs = b.column(0).to_numpy(zero_copy_only=False)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(many, -1)
+            score = matrix @ v.T
+            if metric == "L2":
+                score = 2 * score - half[:, None] - (v * v).sum(axis=1)
+            if not_self:
+                score[ids[:, None] == docs] = -np.inf
+            if wanted is not None:
+                score[wanted[:, None] != np.asarray(b.column(2).to_pylist(), object)] = -np.inf
+            rounded = np.round(score, 9)
+            q, d = [], []
+            for i in range(len(ids)):
+                # all that tie with the k-th stay until the ties are settled by id
+                near = np.flatnonzero(rounded[i] >= np.partition(rounded[i], -k)[-k]) if many > k else np.arange(many)
+                near = near[np.isfinite(rounded[i][near])]
+                near = near[np.lexsort((docs[near], -rounded[i][near]))][:k]
+                q.append(np.full(len(near), i))
+                d.append(near)
+            q, d = np.concatenate(q), np.concatenate(d)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(score[q, d])], ["qid", "docid", "score"])
+
+    return run
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "IP", not_self: bool = False, same: str | None = None) -> DataFrame:
+    """qid, docid, score, rank of queries(qid, qvec) over vectors(docid, vec): exact, by matrix products of a block of queries at a time.
+
+    A block has at most QUERY_BYTES of vectors. Each batch of vectors gives its k best for each query, so what is
+    shuffled grows with batches and not with pairs. not_self: a query does not find its own id; same: a column that must be
+    equal on both sides. L2 distances are squared and negated, so that more is better. Rows without a vector match nothing.
     """
     out = None
-    for own in query_blocks(queries):
-        pairs = vectors.crossJoin(F.broadcast(own)) if keep is None else vectors.join(F.broadcast(own), keep)
-        if metric == "L2":
-            diff = F.zip_with("qvec", "vec", lambda x, y: x.cast("double") - y.cast("double"))
-            score = -F.aggregate(F.transform(diff, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
-        else:
-            score = dot(F.col("qvec"), F.col("vec"))
-        hits = top_k(pairs.withColumn("score", score).drop("qvec", "vec"), k, ["qid"], ties=ties)
+    spark = vectors.sparkSession
+    width = queries.agg(F.max(F.size("qvec"))).first()[0] or 1
+    extra = [same] if same else []
+    rows = vectors.where("vec is not null").select("docid", "vec", *extra)
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["docid"]
+    for own in query_blocks(queries.where("qvec is not null"), max(1, QUERY_BYTES // (8 * width))):
+        got = own.select("qid", "qvec", *extra).toArrow().combine_chunks()
+        matrix = np.array(got["qvec"].to_pylist(), np.float64).reshape(got.num_rows, -1)
+        wanted = np.array(got[same].to_pylist(), object) if same else None
+        sent = spark.sparkContext.broadcast((got["qid"].to_numpy(), matrix, wanted))
+        hits = rows.mapInArrow(_best(sent, k, metric, not_self), f"qid {kinds[0]}, docid {kinds[1]}, score double")
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return top_k(out, k, ["qid"])
 
 
 def zscore(hits: DataFrame, score: str = "score", out: str = "norm", key: str = "qid") -> DataFrame:

@@ -146,15 +146,15 @@ def win_dedup_hash(spark, sf):
     return K.first_per(blocks(spark, sf), ["content_hash"], ["block_id"]).select("block_id", "content_hash")
 
 
-@query("win_lag_lead", "SELECT doc_id, sha256(coalesce(lag(text) OVER (ORDER BY doc_id), '')) AS prev_hash, sha256(coalesce(lead(text) OVER (ORDER BY doc_id), '')) AS next_hash FROM documents WHERE doc_id % 3 <> 0")
+@query("win_lag_lead", "SELECT doc_id, sha256(coalesce(lag(text) OVER (ORDER BY doc_id), '')) AS prev_hash, sha256(coalesce(lead(text) OVER (ORDER BY doc_id), '')) AS next_hash FROM documents")
 def win_lag_lead(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return K.lag_lead(d, "doc_id", "text", 100).select("doc_id", F.sha2("prev", 256).alias("prev_hash"), F.sha2("next", 256).alias("next_hash"))
 
 
-@query("join_neighbors", "WITH d AS (SELECT * FROM documents WHERE doc_id % 3 <> 0) SELECT d.doc_id, length(coalesce(p.text, '')) AS prev_len, length(coalesce(n.text, '')) AS next_len FROM d LEFT JOIN d p ON p.doc_id = d.doc_id - 1 LEFT JOIN d n ON n.doc_id = d.doc_id + 1")
+@query("join_neighbors", "WITH d AS (SELECT * FROM documents) SELECT d.doc_id, length(coalesce(p.text, '')) AS prev_len, length(coalesce(n.text, '')) AS next_len FROM d LEFT JOIN d p ON p.doc_id = d.doc_id - 1 LEFT JOIN d n ON n.doc_id = d.doc_id + 1")
 def join_neighbors(spark, sf):
-    b = blocks(spark, sf).where("block_id % 3 <> 0").select("block_id", "text")
+    b = blocks(spark, sf).select("block_id", "text")
     return K.neighbours(b).select(F.col("block_id").alias("doc_id"), F.length("prev_text").alias("prev_len"), F.length("next_text").alias("next_len"))
 
 

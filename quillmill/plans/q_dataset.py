@@ -186,9 +186,9 @@ def reward_score(spark, sf):
     return x.select("doc_id", F.round(r, 6).alias("reward"))
 
 
-@query("set_utility", "SELECT user_id, round(0.7 * list_avg(list_slice(list_reverse_sort(v), 1, 3)) + 0.3 * list_avg(v), 6) AS u FROM (SELECT user_id, list(ln(value + 1)) AS v FROM events WHERE event_id < 5000 GROUP BY 1)")
+@query("set_utility", "SELECT user_id, round(0.7 * list_avg(list_slice(list_reverse_sort(v), 1, 3)) + 0.3 * list_avg(v), 6) AS u FROM (SELECT user_id, list(ln(value + 1)) AS v FROM events GROUP BY 1)")
 def set_utility(spark, sf):
-    g = table(spark, sf, "events").where("event_id < 5000").groupBy("user_id").agg(F.collect_list(F.log(F.col("value") + 1)).alias("v"))
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.log(F.col("value") + 1)).alias("v"))
     return g.select("user_id", F.round(A.set_utility(F.col("v")), 6).alias("u"))
 
 
@@ -221,9 +221,9 @@ def rft_pick(spark, sf):
     return A.pick_training(e)
 
 
-@query("levels_to_coarse", "SELECT conv_id, turn, CASE WHEN turn <= 1 THEN 'L01' ELSE 'L24' END AS coarse FROM conversations WHERE turn <= 4")
+@query("levels_to_coarse", "SELECT conv_id, turn, CASE WHEN turn <= 1 THEN 'L01' WHEN turn <= 4 THEN 'L24' END AS coarse FROM conversations")
 def levels_to_coarse(spark, sf):
-    return table(spark, sf, "conversations").where("turn <= 4").select("conv_id", "turn", F.when(F.col("turn") <= 1, "L01").otherwise("L24").alias("coarse"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") <= 1, "L01").when(F.col("turn") <= 4, "L24").alias("coarse"))
 
 
 @query("dep_adjust_k", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN greatest(8 - 2, 2) WHEN 1 THEN 8 + 2 ELSE 8 END AS text_k, CASE doc_id % 4 WHEN 3 THEN 4 + 2 WHEN 1 THEN greatest(4 - 2, 2) ELSE 4 END AS image_k FROM documents")
@@ -274,16 +274,16 @@ def image_explode(spark, sf):
 
 def candidates(spark, sf):
     """The 20 best vectors of each query: source by parity, group by half, two option vectors."""
-    top = QS.run(spark, sf, 10, 20)
+    top = QS.run(spark, sf, 20)
     e = QS.corpus(spark, sf)
     unit = e.select("docid", S.l2_normalize(F.col("vec")).alias("emb"))
-    q = unit.where("docid < 10").select(F.col("docid").alias("qid"), F.col("emb").alias("qvec"))
-    o = q.select(((F.col("qid") + 9) % 10).alias("qid"), F.col("qvec").alias("ov"))
-    x = top.join(unit, "docid").join(F.broadcast(q), "qid").join(F.broadcast(o), "qid")
+    q = unit.where("docid % 50 = 0").select(F.col("docid").alias("qid"), F.col("emb").alias("qvec"))
+    o = unit.where("docid % 50 = 1").select((F.col("docid") - 1).alias("qid"), F.col("emb").alias("ov"))
+    x = top.join(unit, "docid").join(q, "qid").join(o, "qid")
     return x.select("qid", F.col("docid").alias("idx"), "emb", (F.col("docid") % 2).alias("source"), F.floor(F.col("docid") / 2).alias("group_id"), F.col("score").alias("first"), "qvec", F.array("qvec", "ov").alias("options"))
 
 
-_CAND = f"{QS._ranked('a', QS.DOT, 10, 20)}, c AS (SELECT a.qid, a.docid AS idx, list_transform(e.embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 1e-12)) AS emb, a.docid % 2 AS source, a.docid // 2 AS grp FROM a JOIN embeddings e ON e.vec_id = a.docid)"
+_CAND = f"{QS._ranked('a', QS.DOT, 20)}, c AS (SELECT a.qid, a.docid AS idx, list_transform(e.embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 1e-12)) AS emb, a.docid % 2 AS source, a.docid // 2 AS grp FROM a JOIN embeddings e ON e.vec_id = a.docid)"
 _SIM = f"{_CAND}, sim AS (SELECT x.qid, x.idx AS i, y.idx AS j, greatest(list_dot_product(x.emb, y.emb), 0) AS sim, x.source <> y.source AND x.grp = y.grp AS paired FROM c x JOIN c y ON x.qid = y.qid AND x.idx <> y.idx)"
 
 
@@ -322,7 +322,7 @@ def _options(spark, sf):
     return c.select("qid", F.posexplode("options").alias("option", "ovec"))
 
 
-_SUP = f"{_CAND}, u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS v FROM embeddings WHERE vec_id < 10), o AS (SELECT vec_id AS qid, 0 AS option, v AS ovec FROM u UNION ALL SELECT (vec_id + 9) % 10, 1, v FROM u), s AS (SELECT c.qid, idx, option, greatest(list_dot_product(emb, ovec), 0) AS support FROM c JOIN o USING (qid))"
+_SUP = f"{_CAND}, u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS v FROM embeddings WHERE vec_id % 50 < 2), o AS (SELECT vec_id - vec_id % 50 AS qid, vec_id % 50 AS option, v AS ovec FROM u), s AS (SELECT c.qid, idx, option, greatest(list_dot_product(emb, ovec), 0) AS support FROM c JOIN o USING (qid))"
 
 
 @query("odsc_support", f"WITH {_SUP} SELECT qid, idx, option, round(support, 6) AS support FROM s")

@@ -10,29 +10,33 @@ from ..operators import fuse as U
 from ..operators import search as S
 from .base import query, table, vectors
 
-TOK = r"tok AS (SELECT doc_id AS docid, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+'), 1, 4000)) AS token FROM documents), qtok AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+')) AS token FROM benchmark WHERE item_id < 10)"
+TOK = r"tok AS (SELECT doc_id AS docid, unnest(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+')) AS token FROM documents), qtok AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+')) AS token FROM benchmark WHERE item_id % 50 = 0)"
 STATS = f"{TOK}, st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgdl), df AS (SELECT token, count(DISTINCT docid) AS df FROM tok GROUP BY 1), w AS (SELECT token, df, greatest(ln((n - df + 0.5) / (df + 0.5)), 0) AS idf FROM df, st)"
 POST = f"{STATS}, tf AS (SELECT docid, token, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT docid, count(*) AS dl FROM tok GROUP BY 1), post AS (SELECT docid, token, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM tf JOIN w USING (token) JOIN dl USING (docid), st WHERE idf > 0), qv AS (SELECT qid, token, idf AS weight FROM qtok JOIN w USING (token) WHERE idf > 0)"
 SPARSE = f"{POST}, sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank FROM (SELECT qid, docid, sum(qv.weight * post.weight) AS score FROM qv JOIN post USING (token) GROUP BY 1, 2)) WHERE rank <= 20)"
 
 
-def _ranked(name: str, score: str, n: int, k: int, where: str = "v.vec_id <> q.vec_id") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS docid, {score} AS score FROM embeddings q JOIN embeddings v ON q.vec_id < {n} AND {where})) WHERE rank <= {k})"
+#: The queries of all searches: rows whose id is divisible by 50, against all rows.
+EVERY = 50
+
+
+def _ranked(name: str, score: str, k: int, where: str = "v.vec_id <> q.vec_id") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS docid, {score} AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND {where})) WHERE rank <= {k})"
 
 
 DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 PART = "list_dot_product(q.embedding[1:16]::DOUBLE[], v.embedding[1:16]::DOUBLE[])"
-RUNS = f"{_ranked('a', DOT, 20, 50)}, {_ranked('b', PART, 20, 50)}"
-QRELS = "qrels AS (SELECT q.vec_id AS qid, v.vec_id AS docid, 1 + (q.vec_id % 2 = v.vec_id % 2)::INT AS rel FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND q.label = v.label AND q.vec_id <> v.vec_id)"
+RUNS = f"{_ranked('a', DOT, 50)}, {_ranked('b', PART, 50)}"
+QRELS = "qrels AS (SELECT q.vec_id AS qid, v.vec_id AS docid, 1 + (q.vec_id % 2 = v.vec_id % 2)::INT AS rel FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.label = v.label AND q.vec_id <> v.vec_id)"
 CACHE = "cache AS (SELECT qid, docid, (docid * 37 % 101) / 100.0::DOUBLE AS cls_prob, (docid * 53 % 97) / 96.0::DOUBLE AS score_prob FROM a WHERE docid % 5 <> 0), s AS (SELECT a.*, coalesce(cls_prob, 0) AS cls_prob, coalesce(score_prob, 0) AS score_prob FROM a LEFT JOIN cache USING (qid, docid))"
 
 
 def tokens(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), F.explode(T.tokens_en(F.col("text"))).alias("token"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), F.explode(T.tokens_en(F.col("text"), None)).alias("token"))
 
 
 def query_tokens(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), F.explode(T.tokens_en(F.col("text"))).alias("token"))
+    return table(spark, sf, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("qid"), F.explode(T.tokens_en(F.col("text"), None)).alias("token"))
 
 
 def weights(spark, sf):
@@ -53,24 +57,24 @@ def sparse_hits(spark, sf, k=20):
     return S.top_k(x.groupBy("qid", "docid").agg(F.sum(F.col("weight") * wd).alias("score")), k, ["qid"])
 
 
-def queries(spark, sf, n=20, part=None):
+def queries(spark, sf, part=None):
     v = F.col("embedding") if part is None else F.slice("embedding", 1, part)
-    return vectors(spark, sf).where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), v.alias("qvec"))
+    return vectors(spark, sf).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), v.alias("qvec"))
 
 
 def corpus(spark, sf, part=None):
+    """All vectors; with part, their first dimensions alone, which stand for a second encoder."""
     v = F.col("embedding") if part is None else F.slice("embedding", 1, part)
     return vectors(spark, sf).select(F.col("vec_id").alias("docid"), v.alias("vec"))
 
 
-def run(spark, sf, n=20, k=50, part=None, metric="IP"):
-    hits = S.dense_search(queries(spark, sf, n, part), corpus(spark, sf, part), k, metric, F.col("qid") != F.col("docid"))
-    return hits.select("qid", "docid", "score", "rank")
+def run(spark, sf, k=50, part=None, metric="IP"):
+    return S.dense_search(queries(spark, sf, part), corpus(spark, sf, part), k, metric, not_self=True)
 
 
 def qrels(spark, sf):
     e = vectors(spark, sf)
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "label")
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "label")
     return e.select(F.col("vec_id").alias("docid"), "label").join(F.broadcast(q), "label").where("qid <> docid").select("qid", "docid", (1 + (F.col("qid") % 2 == F.col("docid") % 2).cast("int")).alias("rel"))
 
 
@@ -132,18 +136,18 @@ def dense_search(spark, sf):
 L2 = "-list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
-@query("orient_scores", f"WITH {_ranked('l', L2, 5, 10)} SELECT qid, docid, round(score, 6) AS score, rank FROM l")
+@query("orient_scores", f"WITH {_ranked('l', L2, 10)} SELECT qid, docid, round(score, 6) AS score, rank FROM l")
 def orient_scores(spark, sf):
-    return r6(run(spark, sf, 5, 10, metric="L2"), "score")
+    return r6(run(spark, sf, 10, metric="L2"), "score")
 
 
-HYBRID = f"{SPARSE}, {_ranked('dense', DOT, 10, 20)}, z AS (SELECT *, CASE WHEN sd < 1e-6 THEN score ELSE (score - m) / sd END AS norm FROM (SELECT *, stddev_pop(score) OVER (PARTITION BY qid) AS sd, avg(score) OVER (PARTITION BY qid) AS m FROM sparse)), f AS (SELECT qid, docid, (CASE WHEN qid IN (SELECT qid FROM sparse) THEN 0.6 ELSE 1.0 END) * coalesce(d.score, 0) AS a_score, 0.4 * coalesce(z.norm, 0) AS b_score FROM dense d FULL JOIN z USING (qid, docid))"
+HYBRID = f"{SPARSE}, {_ranked('dense', DOT, 20)}, z AS (SELECT *, CASE WHEN sd < 1e-6 THEN score ELSE (score - m) / sd END AS norm FROM (SELECT *, stddev_pop(score) OVER (PARTITION BY qid) AS sd, avg(score) OVER (PARTITION BY qid) AS m FROM sparse)), f AS (SELECT qid, docid, (CASE WHEN qid IN (SELECT qid FROM sparse) THEN 0.6 ELSE 1.0 END) * coalesce(d.score, 0) AS a_score, 0.4 * coalesce(z.norm, 0) AS b_score FROM dense d FULL JOIN z USING (qid, docid))"
 
 
 @query("hybrid_search", f"WITH {HYBRID} SELECT * FROM (SELECT qid, docid, round(a_score, 6) AS a_score, round(b_score, 6) AS b_score, round(a_score + b_score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(a_score + b_score, 9) DESC, docid) AS rank FROM f) WHERE rank <= 20")
 def hybrid_search(spark, sf):
-    """Fused search: benchmark items 0..9 as text, vectors 0..9 as their dense form, doc_id = vec_id."""
-    dense = run(spark, sf, 10, 20)
+    """Fused search: benchmark items as text, vectors of the same ids as their dense form, doc_id = vec_id."""
+    dense = run(spark, sf, 20)
     return r6(S.hybrid_search(dense, sparse_hits(spark, sf), 20), "a_score", "b_score", "score")
 
 
@@ -158,12 +162,11 @@ def join_pool_full_outer(spark, sf):
     return x.select("qid", "docid", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("sa", "sb")])
 
 
-@query("filtered_search", f"WITH {_ranked('l', DOT, 10, 50, 'v.vec_id <> q.vec_id AND v.label = q.label')} SELECT * FROM (SELECT qid, docid, grp, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT *, docid // 2 AS grp, row_number() OVER (PARTITION BY qid, docid // 2 ORDER BY rank) AS g FROM l) WHERE g = 1) WHERE rank <= 10")
+@query("filtered_search", f"WITH {_ranked('l', DOT, 50, 'v.vec_id <> q.vec_id AND v.label = q.label')} SELECT * FROM (SELECT qid, docid, grp, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT *, docid // 2 AS grp, row_number() OVER (PARTITION BY qid, docid // 2 ORDER BY rank) AS g FROM l) WHERE g = 1) WHERE rank <= 10")
 def filtered_search(spark, sf):
-    e = vectors(spark, sf)
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("want"))
-    c = e.select(F.col("vec_id").alias("docid"), F.col("embedding").alias("vec"), "label")
-    hits = S.dense_search(q, c, 50, keep=(F.col("label") == F.col("want")) & (F.col("qid") != F.col("docid")))
+    q = queries(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("qid"), F.col("label").alias("same")), "qid")
+    c = corpus(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("docid"), F.col("label").alias("same")), "docid")
+    hits = S.dense_search(q, c, 50, not_self=True, same="same")
     return S.dedup_hits(hits.withColumn("grp", F.floor(F.col("docid") / 2)), "grp", 10).select("qid", "docid", "grp", "rank")
 
 
@@ -173,7 +176,7 @@ def topk_per_channel(spark, sf):
     return x.where("crank <= case when channel = 0 then 8 else 4 end").select("qid", "docid", "channel", "crank")
 
 
-@query("leave_one_out", f"WITH {_ranked('l', DOT, 20, 40, 'true')}, f AS (SELECT * FROM l WHERE docid <> qid AND docid // 2 <> qid // 2) SELECT qid, docid, channel, crank FROM (SELECT qid, docid, docid % 2 AS channel, row_number() OVER (PARTITION BY qid, docid % 2 ORDER BY rank) AS crank FROM f) WHERE crank <= CASE WHEN channel = 0 THEN 8 ELSE 4 END")
+@query("leave_one_out", f"WITH {_ranked('l', DOT, 40, 'true')}, f AS (SELECT * FROM l WHERE docid <> qid AND docid // 2 <> qid // 2) SELECT qid, docid, channel, crank FROM (SELECT qid, docid, docid % 2 AS channel, row_number() OVER (PARTITION BY qid, docid % 2 ORDER BY rank) AS crank FROM f) WHERE crank <= CASE WHEN channel = 0 THEN 8 ELSE 4 END")
 def leave_one_out(spark, sf):
     hits = S.dense_search(queries(spark, sf), corpus(spark, sf), 40).withColumn("grp", F.floor(F.col("docid") / 2))
     q = queries(spark, sf).select("qid")
@@ -183,15 +186,15 @@ def leave_one_out(spark, sf):
     return x.where("crank <= case when channel = 0 then 8 else 4 end").select("qid", "docid", "channel", "crank")
 
 
-@query("selfhit_probe", f"WITH {_ranked('l', DOT, 20, 40, 'true')} SELECT qid, count(*) FILTER (WHERE docid = qid) AS self_hits, count(*) FILTER (WHERE docid // 2 = qid // 2) AS group_hits FROM l GROUP BY 1")
+@query("selfhit_probe", f"WITH {_ranked('l', DOT, 40, 'true')} SELECT qid, count(*) FILTER (WHERE docid = qid) AS self_hits, count(*) FILTER (WHERE docid // 2 = qid // 2) AS group_hits FROM l GROUP BY 1")
 def selfhit_probe(spark, sf):
     hits = S.dense_search(queries(spark, sf), corpus(spark, sf), 40)
     return hits.groupBy("qid").agg(F.count_if(F.col("docid") == F.col("qid")).alias("self_hits"), F.count_if(F.floor(F.col("docid") / 2) == F.floor(F.col("qid") / 2)).alias("group_hits"))
 
 
-@query("batch_attach_topk", f"WITH {RUNS} SELECT q.vec_id AS qid, coalesce(string_agg(docid, ',' ORDER BY rank), '') AS hits FROM (SELECT vec_id FROM embeddings WHERE vec_id < 25) q LEFT JOIN (SELECT * FROM a WHERE rank <= 5) h ON q.vec_id = h.qid GROUP BY 1")
+@query("batch_attach_topk", f"WITH {RUNS} SELECT q.vec_id AS qid, coalesce(string_agg(docid, ',' ORDER BY rank), '') AS hits FROM (SELECT vec_id FROM embeddings WHERE vec_id % 25 = 0) q LEFT JOIN (SELECT * FROM a WHERE rank <= 5) h ON q.vec_id = h.qid GROUP BY 1")
 def batch_attach_topk(spark, sf):
-    got = S.attach(queries(spark, sf, 25).select("qid"), run(spark, sf).where("rank <= 5"))
+    got = S.attach(vectors(spark, sf).where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid")), run(spark, sf).where("rank <= 5"))
     return got.select("qid", F.array_join(F.transform("hits", lambda h: h["docid"].cast("string")), ",").alias("hits"))
 
 
