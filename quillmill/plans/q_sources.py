@@ -11,35 +11,6 @@ from . import q_search as QS
 from .base import query, table
 
 
-@query("sink_trec", f"WITH {QS.RUNS} SELECT qid || ' Q0 ' || docid || ' ' || rank || ' ' || printf('%.6f', score) || ' base' AS value FROM a")
-def sink_trec(spark, sf):
-    return io.run_lines(QS.run(spark, sf), "base")
-
-
-@query("scan_trec_run", f"WITH {QS.RUNS} SELECT qid::VARCHAR AS qid, docid::VARCHAR AS docid, rank::INT AS rank, printf('%.6f', score)::DOUBLE AS score, 'base' AS tag FROM a")
-def scan_trec_run(spark, sf):
-    return io.parse_run(io.run_lines(QS.run(spark, sf), "base"))
-
-
-@query("scan_qrels", "SELECT doc_id::VARCHAR AS qid, 'd' || doc_id AS docid, CASE doc_id % 3 WHEN 0 THEN 1 ELSE quality END AS rel FROM labels")
-def scan_qrels(spark, sf):
-    q, d, r = F.col("doc_id").cast("string"), F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("quality").cast("string")
-    m = F.col("doc_id") % 3
-    return io.parse_qrels(table(spark, sf, "labels").select(F.when(m == 0, F.concat_ws(" ", q, d)).when(m == 1, F.concat_ws("\t", q, d, r)).otherwise(F.concat_ws(" ", q, F.lit("0"), d, r)).alias("value")))
-
-
-@query("scan_sev_cache", "SELECT doc_id::VARCHAR AS qid, 'd' || doc_id AS docid, quality::DOUBLE AS cls_prob, CASE WHEN doc_id % 2 = 0 THEN toxic::DOUBLE ELSE 0.0 END AS score_prob FROM labels")
-def scan_sev_cache(spark, sf):
-    nested = F.format_string('{"qid": "%d", "results": [{"pk": "d%d", "cls_prob": %d.0, "score": %d.0}]}', "doc_id", "doc_id", "quality", "toxic")
-    flat = F.format_string('{"query_id": "%d", "docid": "d%d", "cls_prob": %d.0}', "doc_id", "doc_id", "quality")
-    return io.parse_cache(table(spark, sf, "labels").select(F.when(F.col("doc_id") % 2 == 0, nested).otherwise(flat).alias("value")))
-
-
-@query("scan_json_any", "SELECT event_id, json_extract_string(props, '$.k') AS k, length(props) AS n FROM events")
-def scan_json_any(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
-
-
 @query("scan_benchmark", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') ORDER BY sha1('b:' || doc_id), doc_id LIMIT 50 OFFSET 10")
 def scan_benchmark(spark, sf):
     d = table(spark, sf, "documents").where(F.col("lang").isin("en", "de")).select("doc_id")
@@ -53,42 +24,11 @@ def scan_replay(spark, sf):
     return io.replay(rec, b.select("item_id", F.upper("text").alias("query")).withColumn("query", F.lower("query"))).select("item_id", F.col("results").alias("hit"))
 
 
-@query("scan_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200")
-def scan_keyset_page(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey > 1000").orderBy("o_orderkey").limit(200).select("o_orderkey", "o_totalprice")
-
-
 @query("scan_pdf_text", "SELECT doc_id, 'en' AS lang FROM documents")
 def scan_pdf_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", io.language_of(F.substring("text", 1, 2000)).alias("lang"))
 
 
-@query("partition_by_lang", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1")
-def partition_by_lang(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-
-
-@query("group_files_by_doc", "SELECT doc_id, source || '_p' || (doc_id // 20) || '_' || (row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id) - 1) AS block_id FROM documents")
-def group_files_by_doc(spark, sf):
-    from pyspark.sql import Window
-
-    page = F.floor(F.col("doc_id") / 20)
-    w = Window.partitionBy("source", page).orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.col("source"), F.lit("_p"), page.cast("string"), F.lit("_"), (F.row_number().over(w) - 1).cast("string")).alias("block_id"))
-
-
-@query("merge_shards", "SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1")
-def merge_shards(spark, sf):
-    o = table(spark, sf, "orders")
-    shards = [o.where(F.col("o_orderkey") % 3 == k) for k in range(3)]
-    return shards[0].unionByName(shards[1]).unionByName(shards[2]).groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"))
-
-
-@query("resume_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def resume_done(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
-
-
 @query("first_answer_letter", "SELECT doc_id, nullif(upper(chr((65 + doc_id % 7)::INT)), 'G') AS letter FROM documents")
 def first_answer_letter(spark, sf):
     t = F.concat(F.lit("thinking B\n\nThe answer: "), F.char(65 + F.col("doc_id") % 7), F.lit(".\n \n"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMES = ("drop", "raise", "count")
@@ -26,8 +30,6 @@ def read_json(spark: SparkSession, path: str, schema: str, bad: str = "drop", re
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value: lines with their number from 0 in each file."""
-    from pyspark.sql import Window
-
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
     w = Window.partitionBy("file").orderBy("_b", "_i")
     return raw.select("file", (F.row_number().over(w) - 1).alias("line"), "value")
@@ -71,8 +73,6 @@ def language_of(sample: Column) -> Column:
 def replay(recorded: DataFrame, queries: DataFrame) -> DataFrame:
     """Recorded results of each query text, matched after normalising; the first recording (by pos) wins."""
     key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("_k").orderBy("pos")
     first = recorded.withColumn("_k", key(F.col("query"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_k", "results")
     return queries.withColumn("_k", key(F.col("query"))).join(first, "_k", "left").drop("_k")
@@ -84,3 +84,166 @@ def write_shards(rows: DataFrame, path: str, per_file: int) -> DataFrame:
     spark = rows.sparkSession
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return lines.select("file", F.regexp_count("value", F.lit("\n")).alias("n"), F.sha2("value", 256).alias("sha256"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir); on a single machine without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
+
+
+def read_json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of all .json and .jsonl files under a folder, or of one file, at any depth.
+
+    A .json file may hold a list, one object, or lines; it is held whole, so large corpora belong in .jsonl files,
+    which are read by line and can be split. Lines and files that do not parse are skipped.
+    """
+    find = lambda glob, **k: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, **k)
+    full = f"{schema}, _corrupt_record string"
+    whole = find("*.json", wholetext=True).where(F.trim("value") != "")
+    rows = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    is_lines = (F.size(rows) > 1) & F.try_parse_json(F.get(rows, F.lit(0))).isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
+    items = F.from_json("value", f"array<struct<{_inline(full)}>>")
+    lines = whole.where(is_lines).select(F.explode(rows).alias("value")).unionByName(find("*.jsonl")).where(F.trim("value") != "")
+    one = lines.unionByName(whole.where(~is_lines & F.startswith(F.ltrim("value"), F.lit("{"))).select("value"))
+    listed = whole.where(F.startswith(F.ltrim("value"), F.lit("["))).select(F.explode(items).alias("j"))
+    both = one.select(F.from_json("value", full, {"mode": "PERMISSIVE"}).alias("j")).unionByName(listed)
+    return both.where("j is not null and j._corrupt_record is null").select("j.*").drop("_corrupt_record")
+
+
+def _inline(schema: str) -> str:
+    """A list of columns as fields of a struct type."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in _parse_datatype_string(schema).fields)
+
+
+def read_page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next `size` rows after a key, in its order; a range filter that reaches the scan."""
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
+
+
+def keyset_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with their page from 0: pages of `size` rows in order of the key.
+
+    What a loop of page reads gives, without the loop: rows are ranked by range partition, whose sizes are counted first.
+    """
+    spread = rows.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p").orderBy(key)
+    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each partition
+    before = counts.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    ranked = spread.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), "_p")
+    return ranked.withColumn("page", F.floor((F.col("_b") + F.col("_r") - 1) / size)).drop("_p", "_r", "_b")
+
+
+def bisect_ranges(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """lo, hi, n: key ranges of at most `most` rows, found by halving ranges that are too full.
+
+    Keys are counted by leading bits first, so that each halving is a sum over a bounded histogram.
+    """
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return rows.sparkSession.createDataFrame([], "lo long, hi long, n long")
+    cells = 4096
+    width = max(1, -(-(hi - lo + 1) // cells))
+    counted = rows.groupBy(F.floor((F.col(key) - lo) / width).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    n = {r["c"]: r["n"] for r in counted.toLocalIterator()}
+    out, todo = [], [(lo, hi)]
+    while todo:
+        a, z = todo.pop()
+        inside = [c for c in n if lo + c * width <= z and lo + (c + 1) * width - 1 >= a]
+        whole = all(a <= lo + c * width and lo + (c + 1) * width - 1 <= z for c in inside)
+        many = sum(n[c] for c in inside) if whole else rows.where(F.col(key).between(a, z)).count()
+        if many > most and a < z:
+            mid = (a + z) // 2
+            todo += [(mid + 1, z), (a, mid)]
+        elif many:
+            out.append((a, z, many))
+    return rows.sparkSession.createDataFrame(sorted(out), "lo long, hi long, n long")
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON or YAML configuration file; YAML needs its package."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def split_valid(rows: DataFrame, valid: Column, reasons: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, rejects with their reason): each row is judged by itself, so one bad row costs no batch."""
+    judged = rows.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    return judged.where("_ok").drop("_ok"), judged.where("not _ok").drop("_ok").withColumn("reason", reasons)
+
+
+def write_packed(lines: DataFrame, path: str, most_bytes: int) -> DataFrame:
+    """Write lines (file, line, value) in parts of at most most_bytes, cut at line ends; part, n, n_bytes, sha256 of each.
+
+    A part takes lines until the next would not fit: a running sum that begins anew, done for each file by itself, in
+    batches. A line longer than a part is a part of its own.
+    """
+
+    def parts(key, batches):
+        import pandas as pd
+
+        part, used = 0, 0
+        for d in batches:
+            size = d["value"].str.encode("utf-8").str.len().to_numpy() + 1
+            out = []
+            for n in size:
+                if used and used + n > most_bytes:
+                    part, used = part + 1, 0
+                used += n
+                out.append(part)
+            yield pd.DataFrame({"file": d["file"], "part": out, "line": d["line"], "value": d["value"]})
+
+    placed = lines.select("file", "line", "value").groupBy("file").applyInPandas(lambda d: next(parts(None, iter([d.sort_values("line")]))), "file string, part long, line long, value string")
+    placed.repartition("file", "part").sortWithinPartitions("file", "part", "line").write.partitionBy("file", "part").parquet(path)
+    back = lines.sparkSession.read.parquet(path)
+    body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
+    return back.groupBy(F.col("file").cast("string").alias("file"), F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("n_bytes"), F.sha2(body, 256).alias("sha256"))
+
+
+def merge_packed(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of what write_packed wrote, whole."""
+    return spark.read.parquet(path).select(F.col("file").cast("string").alias("file"), "line", "value")
+
+
+def last_record_wins(shards: list[DataFrame], key: str) -> DataFrame:
+    """Rows of all shards; of equal keys that of the last shard."""
+    out = None
+    for k, d in enumerate(shards):
+        d = d.withColumn("_s", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    cols = [c for c in out.columns if c not in (key, "_s")]
+    best = out.groupBy(key).agg(F.max_by(F.struct(*cols), "_s").alias("r"))
+    return best.select(key, "r.*")
+
+
+def decode_image(encoded: Column) -> Column:
+    """Bytes of a base64 text, with or without a data prefix; null if it does not decode."""
+    return F.try_to_binary(F.regexp_replace(encoded, r"^data:[^,]*,", ""), F.lit("base64"))
+
+
+def metrics_table(rows: list[dict], columns: list[str]) -> str:
+    """A LaTeX table of a few rows of metrics."""
+    put = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v).replace("_", r"\_")
+    body = "\n".join(" & ".join(put(r[c]) for c in columns) + r" \\" for r in rows)
+    head = " & ".join(c.replace("_", r"\_") for c in columns)
+    return f"\\begin{{tabular}}{{{'l' + 'r' * (len(columns) - 1)}}}\n{head} \\\\\n\\hline\n{body}\n\\end{{tabular}}\n"
+
+
+def replay_requests(requests: DataFrame, search, valid: Column, reason: Column) -> DataFrame:
+    """query_idx, error, hits of every request: a bad request gives an error row, the others their hits; aligned by query_idx."""
+    marked = requests.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    good = search(marked.where("_ok").drop("_ok"))
+    bad = marked.where("not _ok").select("query_idx", reason.alias("error"))
+    return marked.select("query_idx").join(bad, "query_idx", "left").join(good, "query_idx", "left")
