@@ -11,10 +11,8 @@ import heapq
 import numpy as np
 
 WINDOW = 32
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+#: Documents that are trained on side by side.
+LANES = 128
 
 
 def laid_out(docs: list[np.ndarray], lanes: int, as_given: bool = False) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -66,106 +64,156 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters by name, as views of a flat array."""
+        out, at = {}, 0
         for k in self.NAMES:
             size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            out[k] = flat[at : at + size].reshape(self.p[k].shape)
             at += size
+        return out
+
+    def load(self, flat: np.ndarray) -> None:
+        self.p = self.views(flat.astype(np.float32))
 
-    def inputs(self) -> np.ndarray:
-        """Of each token, what it adds to the gates."""
-        return self.p["embed"] @ self.p["wx"] + self.p["b"]
+    def run(self, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
+        """The states of a window (steps x lanes) from h (width x lanes) on, which is zero again where fresh, and what led to them.
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.width
-        rec = h @ self.p["wh"]
-        zr = _sigmoid(gates[:, : 2 * w] + rec[:, : 2 * w])
-        z, r = zr[:, :w], zr[:, w:]
-        n = np.tanh(gates[:, 2 * w :] + r * rec[:, 2 * w :])
-        return n + z * (h - n), z, r, n, rec[:, 2 * w :]
+        Arrays are steps x rows x lanes: a step's rows are contiguous, so that each operation runs over whole lanes.
+        """
+        p, w = self.p, self.width
+        steps, lanes = ids.shape
+        x = np.ascontiguousarray(p["embed"][ids].transpose(0, 2, 1))
+        gates = np.matmul(p["wx"].T, x)
+        gates += p["b"][:, None]
+        made = lambda rows: np.empty((steps, rows, lanes), gates.dtype)
+        before, zr, n, rec, after = made(w), made(2 * w), made(w), made(w), made(w)
+        turn, half, one = np.ascontiguousarray(p["wh"].T), gates.dtype.type(0.5), gates.dtype.type(1)
+        cut = fresh.any(axis=1)
+        for t in range(steps):
+            np.copyto(before[t], h)
+            if cut[t]:
+                before[t][:, fresh[t]] = 0
+            r = turn @ before[t]
+            rec[t] = r[2 * w :]
+            # the logistic function by way of tanh
+            g = np.add(gates[t, : 2 * w], r[: 2 * w], out=zr[t])
+            g *= half
+            np.tanh(g, out=g)
+            g += one
+            g *= half
+            new = np.multiply(g[w:], rec[t], out=n[t])
+            new += gates[t, 2 * w :]
+            np.tanh(new, out=new)
+            h = np.subtract(before[t], new, out=after[t])
+            h *= g[:w]
+            h += new
+        return {"x": x, "before": before, "z": zr[:, :w], "r": zr[:, w:], "n": n, "rec": rec, "after": after}
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of targets; with grad, also adds the loss's gradients and gives that of h."""
+        """Natural log-probabilities of targets at states h (width x targets); with grad, also adds the loss's gradients and gives that of h.
+
+        Targets are handled in order of their class, so that each class has a slice of them.
+        """
         p, n = self.p, len(target)
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
         own = self.of[target]
-        out = logits[np.arange(n), own] - np.log(total)
+        order = np.argsort(own, kind="stable")
+        h, target, own = h[:, order], target[order], own[order]
+        every = np.arange(n)
+        e = p["wc"].T @ h
+        e += p["bc"][:, None]
+        e -= e.max(axis=0)
+        found = e[own, every]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        found -= np.log(total)
         dh = None
         if grad is not None:
-            d = e / total[:, None]
-            d[np.arange(n), own] -= 1
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(axis=0)
-            dh = d @ p["wc"].T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(len(self.bounds)))
+            e /= total
+            e[own, every] -= 1
+            grad["wc"] += h @ e.T
+            grad["bc"] += e.sum(axis=1)
+            dh = p["wc"] @ e
+        # states lie within (-1, 1): with small weights no exponential overflows or vanishes
+        small = float((np.abs(p["wo"]).sum(axis=1) + np.abs(p["bo"])).max()) < 75
+        ends = np.searchsorted(own, np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(ends)):
             a, b = self.bounds[c], self.bounds[c + 1]
             if b - a == 1:
                 continue
-            rows = order[ends[c] : ends[c + 1]]
-            hc, at = h[rows], target[rows] - a
-            s = hc @ p["wo"][a:b].T + p["bo"][a:b]
-            s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(axis=1)
-            out[rows] += s[np.arange(len(rows)), at] - np.log(total)
+            x, y = ends[c], ends[c + 1]
+            hc, at, each = h[:, x:y], target[x:y] - a, every[: y - x]
+            e = p["wo"][a:b] @ hc
+            e += p["bo"][a:b, None]
+            if not small:
+                e -= e.max(axis=0)
+            found[x:y] += e[at, each]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            found[x:y] -= np.log(total)
             if grad is not None:
-                e /= total[:, None]
-                e[np.arange(len(rows)), at] -= 1
-                grad["wo"][a:b] += e.T @ hc
-                grad["bo"][a:b] += e.sum(axis=0)
-                dh[rows] += e @ p["wo"][a:b]
-        return out, dh
+                e /= total
+                e[at, each] -= 1
+                grad["wo"][a:b] += e @ hc.T
+                grad["bo"][a:b] += e.sum(axis=1)
+                dh[:, x:y] += p["wo"][a:b].T @ e
+        out = np.empty_like(found)
+        out[order] = found
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[:, order] = dh
+        return out, back
 
     def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window (steps x lanes) from state h on, which is zero again where fresh; the state after it; the loss per token."""
+        """Gradients over one window (steps x lanes) from state h (lanes x width) on, which is zero again where fresh; the state after it; the loss per token."""
         p, w = self.p, self.width
         steps, lanes = ids.shape
-        table = self.inputs()
-        hs, kept = [], []
         fresh = np.zeros((steps, lanes), bool) if fresh is None else fresh
-        cut = fresh.any(axis=1)
-        for t in range(steps):
-            before = np.where(fresh[t][:, None], np.float32(0), h) if cut[t] else h
-            h, z, r, n, rec = self.step(table[ids[t]], before)
-            hs.append(h)
-            kept.append((before, z, r, n, rec))
+        f = self.run(ids, h.T, fresh)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
+        rows = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
         at = np.flatnonzero(valid.ravel())
-        logp, dh = self.log_probs(np.concatenate(hs)[at], target.ravel()[at], grad)
-        direct = np.zeros((steps * lanes, w), np.float32)
-        direct[at] = dh
-        direct = direct.reshape(steps, lanes, w)
-        into = np.zeros((steps, lanes, 3 * w), np.float32)
-        back = np.zeros((lanes, w), np.float32)
+        logp, dh = self.log_probs(rows(f["after"])[:, at], target.ravel()[at], grad)
+        direct = np.zeros((w, steps * lanes), dh.dtype)
+        direct[:, at] = dh
+        direct = np.ascontiguousarray(direct.reshape(w, steps, lanes).transpose(1, 0, 2))
+        z, r, n = f["z"], f["r"], f["n"]
+        rest = 1 - z
+        to_n, to_z, to_r = rest * (1 - n * n), (f["before"] - n) * z * rest, f["rec"] * r * (1 - r)
+        into, gated = np.empty((steps, 3 * w, lanes), dh.dtype), np.empty((steps, w, lanes), dh.dtype)
+        back = np.zeros((w, lanes), dh.dtype)
+        cut = fresh.any(axis=1)
+        first, last = np.ascontiguousarray(p["wh"][:, : 2 * w]), np.ascontiguousarray(p["wh"][:, 2 * w :])
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, rec = kept[t]
-            d = direct[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * rec * r * (1 - r)
-            into[t] = np.concatenate([dz, dr, dn], axis=1)
-            drec = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["wh"] += before.T @ drec
-            back = d * z + drec @ p["wh"].T
+            d, i = direct[t], into[t]
+            d += back
+            np.multiply(d, to_z[t], out=i[:w])
+            np.multiply(d, to_n[t], out=i[2 * w :])
+            np.multiply(i[2 * w :], to_r[t], out=i[w : 2 * w])
+            np.multiply(i[2 * w :], r[t], out=gated[t])
+            back = first @ i[: 2 * w]
+            back += last @ gated[t]
+            d *= z[t]
+            back += d
             if cut[t]:
-                back[fresh[t]] = 0
-        flat = into.reshape(-1, 3 * w)
-        grad["b"] += flat.sum(axis=0)
-        grad["wx"] += p["embed"][ids.ravel()].T @ flat
-        np.add.at(grad["embed"], ids.ravel(), flat @ p["wx"].T)
-        scale = np.float32(1 / max(1, len(at)))
-        return {k: g * scale for k, g in grad.items()}, h, -float(logp.sum()) / max(1, len(at))
-
-    def train(self, docs: list[np.ndarray], start: int, lanes: int = 128, rate: float = 0.01, window: int = WINDOW) -> int:
+                back[:, fresh[t]] = 0
+        flat = rows(into)
+        grad["wh"] += rows(f["before"]) @ np.concatenate([flat[: 2 * w], rows(gated)]).T
+        grad["b"] += flat.sum(axis=1)
+        grad["wx"] += rows(f["x"]) @ flat.T
+        order = np.argsort(ids.ravel(), kind="stable")
+        found = ids.ravel()[order]
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        grad["embed"][found[starts]] += np.add.reduceat((p["wx"] @ flat)[:, order], starts, axis=1).T
+        scale = dh.dtype.type(1 / max(1, len(at)))
+        return {k: g * scale for k, g in grad.items()}, f["after"][-1].T, -float(logp.sum()) / max(1, len(at))
+
+    def train(self, docs: list[np.ndarray], start: int, lanes: int = LANES, rate: float = 0.01, window: int = WINDOW) -> int:
         """One pass of Adam over all tokens of docs, each from a zero state carried to its end. Tokens seen."""
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        now = self.flat()
+        self.p = self.views(now)
+        first, second, part = np.zeros_like(now), np.zeros_like(now), np.empty_like(now)
         steps = seen = 0
         if not sum(map(len, docs)):
             return 0
@@ -183,13 +231,20 @@ class Model:
             grad, h, _ = self.backward(ids, target, valid, h[:live], clear)
             steps += 1
             seen += int(valid.sum())
-            for name, g in grad.items():
-                np.clip(g, -1, 1, out=g)
-                m, v = first[name], second[name]
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                step = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
-                self.p[name] -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-6))
+            g = np.concatenate([grad[k].ravel() for k in self.NAMES])
+            np.clip(g, -1, 1, out=g)
+            part = np.subtract(g, first, out=part)
+            part *= np.float32(0.1)
+            first += part
+            g *= g
+            g -= second
+            g *= np.float32(0.01)
+            second += g
+            part = np.sqrt(second, out=part)
+            part += np.float32(1e-6)
+            np.divide(first, part, out=part)
+            part *= np.float32(rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps))
+            now -= part
         return seen
 
     def score(self, docs: list[np.ndarray], start: int, lanes: int = 512, window: int = WINDOW) -> np.ndarray:
@@ -201,28 +256,21 @@ class Model:
         out = np.zeros(len(docs))
         if not lengths.sum():
             return out
-        table = self.inputs()
         order, begin, long = laid_out(docs, lanes)
         target = np.concatenate([docs[d] for d in order]).astype(np.int64)
         owner = np.repeat(order, lengths[order])
         fresh = starts(docs, order)
         ids = np.append(start, target[:-1])
         ids[fresh] = start
-        h = np.zeros((len(long), self.width), np.float32)
+        h = np.zeros((self.width, len(long)), np.float32)
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
-            h = h[:live]
             at = begin[:live] + t + np.arange(min(window, int(long[0]) - t))[:, None]
-            valid = at < (begin + long)[:live]
-            at = np.where(valid, at, 0)
-            states = np.empty((*at.shape, self.width), np.float32)
-            clear = fresh[at]
-            for s in range(len(at)):
-                if clear[s].any():
-                    h = np.where(clear[s][:, None], np.float32(0), h)
-                h = self.step(table[ids[at[s]]], h)[0]
-                states[s] = h
-            pick = at[valid]
-            logp, _ = self.log_probs(states[valid], target[pick])
+            valid = (at < (begin + long)[:live]).ravel()
+            at = np.where(valid.reshape(at.shape), at, 0)
+            states = self.run(ids[at], h[:, :live], fresh[at])["after"]
+            h = states[-1]
+            pick = at.ravel()[valid]
+            logp, _ = self.log_probs(states.transpose(1, 0, 2).reshape(self.width, -1)[:, valid], target[pick])
             out += np.bincount(owner[pick], logp, len(docs))
         return out

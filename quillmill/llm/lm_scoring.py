@@ -78,8 +78,15 @@ class Vocabulary:
         cuts = np.searchsorted(mass, np.linspace(0, mass[-1], classes - 1)[1:-1]) + 3 if inside else []
         self.bounds = np.unique(np.concatenate([[0, 1], [2] if inside else [], cuts, [2 + inside]]).astype(np.int64))
 
-    def index(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words)}
+    def index(self) -> "_Index":
+        return _Index(zip(self.words, range(len(self.words)), strict=True))
+
+
+class _Index(dict):
+    """Places of words; all that are not listed share the place after the last."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
 
 
 def _local(key: str, make):
@@ -90,21 +97,51 @@ def _local(key: str, make):
     return _state["value"]
 
 
+_ENCODED = "mark long, tokens binary, n_tokens long, n_known long, base double, more double, rare array<binary>"
+
+
+def _binary(lengths: np.ndarray, data: bytes) -> pa.Array:
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _encoded(sent, key: str):
-    """Of each text its tokens to the end, and a hash of its id and words that deals it out."""
+    """Of each text its tokens to the end, a hash of its id and tokens that deals it out, what its sent words
+    add to both scores, and its words that were not sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
-        index = _local(key + "index", vocabulary.index)
-        token = np.append(vocabulary.token, 0).astype(np.uint16)
+        v: Vocabulary = sent.value
+        index = _local(key, v.index)
+        many = len(v.words)  # the place of words that were not sent; the end has the next one
+        token = np.concatenate([v.token, [0, 1]])
+        logs = np.log10(np.concatenate([v.counts, [0, v.ends]]) + 1.0)
+        known = np.concatenate([np.ones(many, np.int64), [0, int(v.ends > 0)]])
+        # a word among all others: its own share of their mass
+        more = np.where(token == 0, logs - math.log10(v.other + v.other_distinct + 1), 0.0)
+        scale = math.log10(v.total + v.distinct + 1)
         for b in C.parts(batches):
-            out, mark = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.lower().split()
-                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                out.append(np.append(token[at], np.uint16(1)).tobytes())
-                mark.append(xxhash.xxh3_64_intdigest(str(i).encode() + b" " + out[-1]) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(out, pa.binary())], ["mark", "tokens"])
+            words, size = [], []
+            for text in b.column(1).to_pylist():
+                own = text.lower().split()
+                words += own
+                words.append(END)
+                size.append(len(own) + 1)
+            n = np.array(size, np.int64)
+            ends = np.cumsum(n)
+            first = ends - n
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            at[ends - 1] = many + 1
+            far = np.flatnonzero(at == many)
+            flat = token[at].astype(np.uint16).tobytes()
+            row = b.column(0)
+            ids = row.field("doc_id").to_pylist()
+            mark = [xxhash.xxh3_64_intdigest(str(i).encode() + b" " + flat[2 * x : 2 * y]) >> 1 for i, x, y in zip(ids, first.tolist(), ends.tolist(), strict=True)]
+            rare = np.searchsorted(far, np.append(first, len(words))).astype(np.int32)
+            cols = [
+                row, pa.array(mark, pa.int64()), _binary(2 * n, flat), pa.array(n), pa.array(np.add.reduceat(known[at], first)),
+                pa.array(np.add.reduceat(logs[at], first) - scale * n), pa.array(np.add.reduceat(more[at], first)), pa.ListArray.from_arrays(rare, pa.array([words[k] for k in far.tolist()], pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["row", *(x.split()[0] for x in _ENCODED.split(", "))])
 
     return run
 
@@ -112,22 +149,21 @@ def _encoded(sent, key: str):
 def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, width: int) -> Model:
     """Rounds of: every shard trains on its part from the same parameters, which are then averaged by tokens seen.
 
-    A round takes its part of the documents, all of them once over all rounds, each whole. Only sums of
-    parameters move, along a tree; the driver holds one such sum.
+    encoded has mark and tokens. A round takes its part of the documents, all of them once over all rounds, each whole. Each shard is a partition of
+    its own. Only sums of parameters move, along a tree; the driver holds one such sum.
     """
     model = Model(vocabulary.token_counts, vocabulary.bounds, width)
     sc = encoded.sparkSession.sparkContext
-    dealt = C.stage(encoded, "tokens")
     for k in range(rounds):
         sent = sc.broadcast(model)
-        own = dealt.where(F.pmod(F.floor(F.col("mark") / shards), F.lit(rounds)) == k).repartition(shards, F.pmod("mark", F.lit(shards))).sortWithinPartitions("mark", "tokens").select("tokens")
+        part = encoded.where(F.pmod(F.floor(F.col("mark") / shards), F.lit(rounds)) == k)
+        own = part.repartitionById(shards, F.pmod("mark", F.lit(shards)).cast("int")).sortWithinPartitions("mark", "tokens").select("tokens")
 
         def train(rows, sent=sent, k=k):
             found = [np.frombuffer(r[0], np.uint16) for r in rows]
             if found:
                 m = Model.__new__(Model)
                 m.__dict__.update(sent.value.__dict__)
-                m.p = {n: v.copy() for n, v in sent.value.p.items()}
                 seen = m.train(found, 1, rate=0.01 / (k + 1))
                 yield m.flat().astype(np.float64) * seen, seen
 
@@ -135,38 +171,15 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
         total, seen = sums.treeAggregate((0.0, 0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]))
         if seen:
             model.load((total / seen).astype(np.float32))
-    C.unstage(dealt)
     return model
 
 
-def _score(sent, key: str):
-    log = np.log10
-
+def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = sent.value
-        index = _local(key + "score", vocabulary.index)
-        counts, token = np.append(vocabulary.counts, 0), np.append(vocabulary.token, 0)
-        scale = math.log10(vocabulary.total + vocabulary.distinct + 1)
-        other = math.log10(vocabulary.other + vocabulary.other_distinct + 1)
-        end = math.log10(vocabulary.ends + 1) - scale
+        model: Model = sent.value
         for b in C.parts(batches):
-            docs, facts, rare = [], [], []
-            for text in b.column(1).to_pylist():
-                words = text.lower().split()
-                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                ids, n = token[at], counts[at]
-                far = at < 0
-                rare.append([words[k] for k in np.flatnonzero(far)])
-                docs.append(np.append(ids, 1).astype(np.int64))
-                base = float(log(n[~far] + 1.0).sum()) - scale * len(words) + end
-                inside = (ids == 0) & ~far
-                facts.append((len(words) + 1, int((~far).sum()) + (vocabulary.ends > 0), base, float(log(n[inside] + 1.0).sum()) - other * int((ids == 0).sum())))
-            got = model.score(docs, 1) / math.log(10)
-            cols = list(zip(*facts, strict=True)) if facts else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(got + np.array(cols[3], float) if facts else [], pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
-                ["row", "n_tokens", "n_known", "base", "score", "rare"],
-            )
+            got = model.score([np.frombuffer(t, np.uint16) for t in b.column(1).to_pylist()], 1) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3, 4)), pa.array(got + b.column(5).to_numpy())], ["row", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -175,7 +188,8 @@ def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Words are runs without ASCII white space, A-Z lower-cased; null and empty texts are the end alone. Rows
-    are learned from and scored one by one, so repeated rows count repeatedly. Without training rows every
+    are learned from and scored one by one, so repeated rows count repeatedly. A very long text is one document: its words
+    are held at once, its states window by window. Without training rows every
     word is unknown. An empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -193,19 +207,19 @@ def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int =
     sent_words = counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow()
     vocabulary = Vocabulary(sent_words["word"].to_pylist(), sent_words["n"].to_pylist(), total, distinct, tokens, classes)
     sc = spark.sparkContext
-    words = sc.broadcast(vocabulary)
-    rows = learn.count()
-    key = f"{sc.applicationId}-{id(vocabulary)}-{total}-{distinct}-"
-    encoded = learn.select("doc_id", "text").mapInArrow(_encoded(words, key), "mark long, tokens binary")
-    model = fit(encoded, vocabulary, max(1, -(-rows // per_shard), -(-total // SHARD_TOKENS)), rounds, width)
-    both = sc.broadcast((vocabulary, model))
+    key = f"{sc.applicationId}-{id(vocabulary)}-{total}-{distinct}"
     marked = texts.select(F.struct(F.monotonically_increasing_id().alias("at"), "doc_id", "held_out").alias("row"), "text")
     row = f"struct<at:bigint,doc_id:{dict(docs.dtypes)['doc_id']},held_out:boolean>"
-    scored = C.stage(marked.mapInArrow(_score(both, key), f"row {row}, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
-    rare = scored.select("row.at", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word", "left")
+    # the text is read once for both: tokens to train on and to score
+    encoded = C.stage(marked.mapInArrow(_encoded(sc.broadcast(vocabulary), key), f"row {row}, {_ENCODED}"), "encoded")
+    to_learn = encoded.where(~F.col("row.held_out")).select("mark", "tokens")
+    rows = learn.count()
+    model = fit(to_learn, vocabulary, max(1, -(-rows // per_shard), -(-total // SHARD_TOKENS)), rounds, width)
+    scored = C.stage(encoded.select("row", "tokens", "n_tokens", "n_known", "base", "more").mapInArrow(_score(sc.broadcast(model)), f"row {row}, n_tokens long, n_known long, base double, score double"), "scored")
+    rare = encoded.select("row.at", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word", "left")
     logs = F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("logs")
     sums = rare.groupBy("at").agg(logs, F.count("n").alias("known"))
-    done = scored.drop("rare").join(sums.withColumnRenamed("at", "_at"), F.col("row.at") == F.col("_at"), "left")
+    done = scored.join(sums.withColumnRenamed("at", "_at"), F.col("row.at") == F.col("_at"), "left")
     more, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return done.select("row.doc_id", "row.held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
