@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,13 @@ BLOCKS = "blocks AS (SELECT doc_id AS block_id, source AS doc, doc_id // 20 AS p
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
+
+
+def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Stand-in rows by SQL that both engines read; T_name is the table name."""
+    return spark.sql(re.sub(r"\bT_(\w+)\b", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+
+
+def plain(sql: str) -> str:
+    """The same SQL for the engine that knows the tables by name."""
+    return re.sub(r"\bT_(\w+)\b", r"\1", sql)

@@ -27,12 +27,6 @@ def split_core_hash(spark, sf):
     return blocks(spark, sf).select("block_id", D.split_by_digest(F.col("content_hash")).alias("split"))
 
 
-@query("split_leakage", f"WITH {BLOCKS}, s AS (SELECT doc, content_hash, ('0x' || substr(sha1('7:' || block_id), 1, 8))::BIGINT % 3 AS split FROM blocks) SELECT content_hash, count(DISTINCT split) AS n_splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
-def split_leakage(spark, sf):
-    s = blocks(spark, sf).withColumn("split", F.conv(F.substring(D.seeded("7", F.col("block_id")), 1, 8), 16, 10).cast("long") % 3)
-    return s.groupBy("content_hash").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
-
-
 @query("hash_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha1('s:' || doc_id), doc_id) AS rn FROM documents")
 def hash_order(spark, sf):
     return D.ranked(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id", "s").select("doc_id", "rn")
@@ -139,13 +133,6 @@ def sft_rows(spark, sf):
     return c.where("role = 'assistant'").select("conv_id", "turn", "n_before", F.sha2("text", 256).alias("target"))
 
 
-@query("validate_chain", "SELECT conv_id, bool_and(coalesce(turn = p + 1, turn = 0)) AS in_order, count(*) AS n, bool_or(length(text) < 20) AS has_short FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY 1")
-def validate_chain(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").withColumn("p", F.lag("turn").over(w))
-    return c.groupBy("conv_id").agg(F.bool_and(F.coalesce(F.col("turn") == F.col("p") + 1, F.col("turn") == 0)).alias("in_order"), F.count(F.lit(1)).alias("n"), F.bool_or(F.length("text") < 20).alias("has_short"))
-
-
 @query("candidate_id", f"WITH {BLOCKS} SELECT block_id, CASE WHEN block_id % 3 = 0 THEN 's:' || block_id WHEN block_id % 3 = 1 THEN 'd:' || doc || ':' || page_idx || ':' || block_id ELSE 't:' || substr(md5(text), 1, 16) END AS candidate_id FROM blocks")
 def candidate_id(spark, sf):
     b, m = blocks(spark, sf), F.col("block_id") % 3

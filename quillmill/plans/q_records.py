@@ -55,23 +55,6 @@ def build_query_text(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.concat_ws("\n", "text", body).alias("q"))
 
 
-@query("verify_accept", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing_answer' WHEN quality IS NULL OR quality <> 1 THEN 'not_supported' WHEN toxic = 1 THEN 'leakage' END AS reason FROM labels")
-def verify_accept(spark, sf):
-    rules = [(F.col("doc_id") % 13 == 0, "missing_answer"), (F.col("quality") != 1, "not_supported"), (F.col("toxic") == 1, "leakage")]
-    return table(spark, sf, "labels").select("doc_id", R.first_failure(rules).alias("reason"))
-
-
-@query("keep_verdict", "SELECT event_id FROM events WHERE event_type <> 'error' AND value >= 10")
-def keep_verdict(spark, sf):
-    return table(spark, sf, "events").where((F.col("event_type") != "error") & (F.col("value") >= 10)).select("event_id")
-
-
-@query("verify_three_gate", "SELECT event_id, ln(value + 1) < 2.5 AS gate1, ln(value + 1) < 3 AS gate2, user_id % 2 = 0 OR value > 20 AS gate3 FROM events")
-def verify_three_gate(spark, sf):
-    u = F.log(F.col("value") + 1)
-    return table(spark, sf, "events").select("event_id", (u < 2.5).alias("gate1"), (u < 3).alias("gate2"), ((F.col("user_id") % 2 == 0) | (F.col("value") > 20)).alias("gate3"))
-
-
 @query("anchor_score", "SELECT doc_id, round(s, 6) AS score, least(r, CASE WHEN s >= 0.6 THEN 'A' WHEN s >= 0.35 THEN 'B' ELSE 'C' END) AS final FROM (SELECT doc_id, CASE WHEN a >= 1 AND l >= 1 AND d >= 1 THEN 'A' WHEN a >= 1 OR l >= 1 THEN 'B' ELSE 'C' END AS r, least(1.0, greatest(0.0, 0.4 * least(a / 2.0, 1) + 0.4 * least(l / 2.0, 1) + 0.2 * 0.5 - 0.1 * (doc_id % 2) - 0.05 * 0.0))::DOUBLE AS s FROM (SELECT doc_id, doc_id % 3 AS a, doc_id % 4 AS l, doc_id % 5 AS d FROM documents))")
 def anchor_score(spark, sf):
     d, zero = F.col("doc_id"), F.lit(0)
