@@ -117,3 +117,164 @@ def trajectories(hits: DataFrame, rounds: int, keep: int, decide=None) -> DataFr
         out = now if out is None else out.unionByName(now)
         left = left.join(now.select("qid", "docid"), ["qid", "docid"], "left_anti")
     return out.select("qid", "round_idx", "docid", "kept")
+
+
+def first_object(text: Column) -> Column:
+    """The first balanced {...} of a text; from the first brace on if it never closes; the text itself without one."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), none.alias("begin"), none.alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        up, down = c == "{", (c == "}") & (a["depth"] > 0)
+        closes = down & (a["depth"] == 1)
+        return F.struct(
+            (a["i"] + 1).alias("i"), (a["depth"] + up.cast("int") - down.cast("int")).alias("depth"),
+            F.coalesce(a["begin"], F.when(up, a["i"])).alias("begin"), F.coalesce(a["end"], F.when(closes, a["i"] + 1)).alias("end"),
+        )
+
+    at = F.aggregate(chars, start, step)
+    cut = F.substring(text, at["begin"] + 1, F.coalesce(at["end"], F.length(text)) - at["begin"])
+    return F.when(at["begin"].isNull(), text).otherwise(cut)
+
+
+def parse_action(text: Column, n: Column) -> Column:
+    """keep (indexes from 0 below n, ascending), drop, action, rewrite_query, reason, parsed of a model's decision. What does
+    not parse keeps nothing and accepts; an unknown action accepts."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", "")
+    body = first_object(plain)
+    j = F.from_json(body, "keep array<string>, action string, rewrite_query string, reason string")
+    parsed = F.coalesce(F.try_parse_json(body).isNotNull() & F.startswith(body, F.lit("{")) & (F.size(F.json_object_keys(body)) > 0), F.lit(False))
+    ids = F.filter(F.transform(F.coalesce(j["keep"], F.array().cast("array<string>")), lambda x: x.try_cast("int")), lambda i: i.isNotNull() & (i >= 0) & (i < n))
+    keep = F.when(parsed, F.array_sort(F.array_distinct(ids))).otherwise(F.array().cast("array<int>"))
+    every = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    action = F.when(parsed & (F.upper(j["action"]) == "REWRITE"), "REWRITE").otherwise("ACCEPT")
+    some = lambda c: F.when(parsed, F.coalesce(c, F.lit(""))).otherwise("")
+    return F.struct(keep.alias("keep"), F.array_except(every, keep).alias("drop"), action.alias("action"), some(j["rewrite_query"]).alias("rewrite_query"), some(j["reason"]).alias("reason"), parsed.alias("parsed"))
+
+
+def answer_anywhere(text: Column) -> Column:
+    """The first stand-alone option letter anywhere, else the first character if it is one."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    alone = F.regexp_extract(t, r"(?U)\b([A-F])\b", 1)
+    return F.when(alone != "", alone).when(F.substring(t, 1, 1).rlike("[A-F]"), F.substring(t, 1, 1)).otherwise("")
+
+
+def answer_substring(text: Column, letters: Column) -> Column:
+    """The first option letter (longest first, in order) that the upper-cased text holds at all."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    return F.coalesce(F.get(F.filter(letters, lambda x: F.contains(up, F.upper(x))), F.lit(0)), F.lit(""))
+
+
+def states_answer(query: Column, answer: Column) -> Column:
+    """Whether a query states the answer outright: the letter after the word for answer, or the words for final answer."""
+    a = F.upper(F.trim(F.coalesce(answer, F.lit(""))))
+    said = F.regexp_like(query, F.concat(F.lit("答案(?U:\\s)*[是为：:]?(?U:\\s)*"), a, F.lit("(?U:(?!\\w))")))
+    return F.coalesce(F.contains(query, F.lit("最终答案")) | (a.rlike("^[A-F]$") & said), F.lit(False))
+
+
+def action_reward(value: Column, parsed: Column) -> Column:
+    """A reward, lowered where the decision did not parse."""
+    return value - F.when(parsed, 0.0).otherwise(0.5)
+
+
+def target(action: Column, keep: Column, rewrite: Column, n: Column) -> Column:
+    """What a member should have answered: consistent keep, drop, action and rewrite; null for a rewrite without a query."""
+    every = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.array_sort(F.array_distinct(F.filter(keep, lambda i: (i >= 0) & (i < n))))
+    accepts = action == "ACCEPT"
+    kept = F.when(accepts, inside).otherwise(F.array().cast("array<int>"))
+    query = F.when(action == "REWRITE", F.coalesce(rewrite, F.lit(""))).otherwise("")
+    made = F.struct(kept.alias("keep"), F.array_except(every, kept).alias("drop"), action.alias("action"), query.alias("rewrite_query"))
+    return F.when(~((action == "REWRITE") & (query == "")), F.to_json(made))
+
+
+def merge_evidence(passages: DataFrame, cap: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(qid, candidate_id, pos) of the evidence collected from passages(qid, pos, candidate_id) in order: the first of each id, at most
+    cap; and qid, n_added, n_dup: a passage is a duplicate if its id was collected before it."""
+    own = Window.partitionBy("qid", "candidate_id").orderBy("pos")
+    first = passages.withColumn("_k", F.row_number().over(own))
+    order = Window.partitionBy("qid").orderBy("pos")
+    rank = F.sum(F.when(F.col("_k") == 1, 1).otherwise(0)).over(order)
+    marked = first.withColumn("_r", rank)
+    within = F.max(F.when((F.col("_k") == 1) & (F.col("_r") <= cap), F.col("candidate_id"))).over(Window.partitionBy("qid", "candidate_id"))
+    marked = marked.withColumn("_in", within.isNotNull())
+    kept = marked.where((F.col("_k") == 1) & F.col("_in")).select("qid", "candidate_id", "pos")
+    counts = marked.groupBy("qid").agg(F.count_if((F.col("_k") == 1) & F.col("_in")).alias("n_added"), F.count_if((F.col("_k") > 1) & F.col("_in")).alias("n_dup"))
+    return kept, counts
+
+
+def choose_evidence(hits: DataFrame, picks: DataFrame, top: int = 5) -> DataFrame:
+    """hits(qid, rank, docid, score) that a model's picks(qid, number from 1) name; the best `top` of a query without a valid pick."""
+    named = hits.join(picks.select("qid", F.col("number").alias("rank")).distinct(), ["qid", "rank"], "left_semi")
+    some = named.select("qid").distinct()
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docid")
+    rest = hits.join(some, "qid", "left_anti").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
+    return named.unionByName(rest)
+
+
+def final_evidence(retained: DataFrame, candidates: DataFrame, top: int = 5, cap: int = 5) -> DataFrame:
+    """qid, docid, pos: what was retained (qid, docid, pos), then the best candidates, each id once, at most cap: an answer is never given without evidence."""
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docid")
+    best = candidates.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select("qid", "docid", F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"))
+    both = retained.select("qid", "docid", F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos")).unionByName(best)
+    first = both.groupBy("qid", "docid").agg(F.min(F.struct("part", "pos")).alias("p"))
+    order = Window.partitionBy("qid").orderBy("p.part", "p.pos", "docid")
+    return first.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cap).select("qid", "docid", "pos")
+
+
+def solve_rounds(hits: DataFrame, decide, rounds: int = 3, per_round: int = 5, memory: int = 5, forced: int = 0) -> DataFrame:
+    """qid, docid, pos, n_rounds, action: the evidence that a multi-round agent ends with, over hits(qid, docid, score).
+
+    Each round shows the best `per_round` hits that no earlier one showed, behind what is retained. decide(frame) adds to
+    candidates (qid, docid, score, round_idx, old) the columns kept, action (ACCEPT or REWRITE, the same for a query's rows) and parsed. A parsed ACCEPT ends with what is
+    kept, or the best candidates if nothing is; an answer that does not parse, and the last round, end with what is
+    retained and the best candidates; a REWRITE adds what is kept to the memory, the first `memory` of it. Rounds
+    before `forced` never end.
+    """
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docid")
+    left = hits.select("qid", "docid", "score")
+    retained = left.limit(0).withColumn("pos", F.lit(0).cast("long"))
+    out = None
+    for r in range(rounds):
+        new = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_round).drop("_n")
+        shown = retained.select("qid", "docid", "score").withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
+        d = decide(shown.withColumn("round_idx", F.lit(r)))
+        ends = (~F.col("parsed") | (F.col("action") == "ACCEPT") | F.lit(r == rounds - 1)) & F.lit(r >= forced)
+        done = d.where(ends)
+        chosen = done.where("parsed and action = 'ACCEPT' and kept").withColumn("pos", F.row_number().over(order)).select("qid", "docid", F.col("pos").cast("long").alias("pos"), "action")
+        rest = done.join(chosen.select("qid").distinct(), "qid", "left_anti")
+        about = rest.groupBy("qid").agg(F.max("action").alias("action"))
+        mine = retained.join(rest.where("not (parsed and action = 'ACCEPT')").select("qid").distinct(), "qid", "left_semi")
+        filled = final_evidence(mine, rest.select("qid", "docid", "score")).join(about, "qid").select("qid", "docid", F.col("pos").cast("long").alias("pos"), "action")
+        now = chosen.unionByName(filled).withColumn("n_rounds", F.lit(r + 1))
+        out = now if out is None else out.unionByName(now)
+        going = d.where(~ends)
+        added = going.where("kept and not old").join(new.select("qid", "docid"), ["qid", "docid"], "left_semi").withColumn("pos", F.row_number().over(order) + r * 1000).select("qid", "docid", "score", F.col("pos").cast("long").alias("pos"))
+        both = retained.join(going.select("qid").distinct(), "qid", "left_semi").unionByName(added)
+        retained = both.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("pos", "docid"))).where(F.col("_n") <= memory).drop("_n")
+        left = left.join(new.select("qid", "docid"), ["qid", "docid"], "left_anti").join(going.select("qid").distinct(), "qid", "left_semi")
+    return out.select("qid", "docid", "pos", "n_rounds", "action")
+
+
+def tool_loop(calls: DataFrame, max_rounds: int, max_calls: int) -> DataFrame:
+    """qid, n_calls, n_rounds, n_failed, finish_reason of scripted tool calls(qid, step, tool, ok): every call uses budget,
+    a search also a round; a submission, or an exhausted budget, ends it."""
+    w = Window.partitionBy("qid").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = calls.withColumn("calls", F.row_number().over(Window.partitionBy("qid").orderBy("step")))
+    x = x.withColumn("searches", F.sum((F.col("tool") == "search").cast("int")).over(w))
+    x = x.withColumn("stop", F.max(((F.col("tool") == "submit") & F.col("ok")).cast("int")).over(w))
+    before = Window.partitionBy("qid").orderBy("step")
+    alive = (F.coalesce(F.lag("stop").over(before), F.lit(0)) == 0) & (F.coalesce(F.lag("calls").over(before), F.lit(0)) < max_calls) & (F.coalesce(F.lag("searches").over(before), F.lit(0)) < max_rounds)
+    run = x.withColumn("alive", alive).where("alive")
+    return run.groupBy("qid").agg(F.count(F.lit(1)).alias("n_calls"), F.max("searches").alias("n_rounds"), F.count_if(~F.col("ok")).alias("n_failed"), F.max("stop").alias("stop")).select("qid", "n_calls", "n_rounds", "n_failed", F.when(F.col("stop") == 1, "submitted").otherwise("budget_exhausted").alias("finish_reason"))
+
+
+def controller_scores(rows: DataFrame) -> DataFrame:
+    """n, parse_ok, keep_exact, keep_prec, keep_rec, keep_f1, action_acc of rows(pred_keep, true_keep, pred_action, true_action, parsed): keeps are pooled."""
+    both = F.size(F.array_intersect("pred_keep", "true_keep"))
+    t = rows.select(both.alias("tp"), (F.size("pred_keep") - both).alias("fp"), (F.size("true_keep") - both).alias("fn"), "parsed", (F.array_sort("pred_keep") == F.array_sort("true_keep")).alias("exact"), (F.col("pred_action") == F.col("true_action")).alias("same"))
+    s = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("parsed").cast("int")).alias("parse_ok"), F.avg(F.col("exact").cast("int")).alias("keep_exact"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.avg(F.col("same").cast("int")).alias("action_acc"))
+    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, r = div(F.col("tp"), F.col("tp") + F.col("fp")), div(F.col("tp"), F.col("tp") + F.col("fn"))
+    return s.select("n", "parse_ok", "keep_exact", p.alias("keep_prec"), r.alias("keep_rec"), div(2 * p * r, p + r).alias("keep_f1"), "action_acc")

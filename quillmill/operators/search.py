@@ -197,3 +197,51 @@ def attach(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """qid, hits: the hits of each request in order of rank, an empty array where there are none."""
     got = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "docid"))).alias("hits"))
     return requests.select("qid").join(got, "qid", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,docid:bigint>>")))
+
+
+def leak_filter(hits: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits left, qid with n_self and n_book) of hits(qid, docid, sample_id, image_path, doc_id, ...): those of the query's own
+    sample or image go first and are counted as its own, then those of its own document. own: qid, sample_id, image_path, doc_id; blanks match nothing."""
+    k = own.select("qid", *[F.col(c).cast("string").alias(f"_{c}") for c in ("sample_id", "image_path", "doc_id")])
+    hit = lambda c: F.coalesce((F.coalesce(F.col(c).cast("string"), F.lit("")) != "") & (F.col(c).cast("string") == F.col(f"_{c}")), F.lit(False))
+    x = hits.join(k, "qid", "left").withColumn("_self", hit("sample_id") | hit("image_path"))
+    x = x.withColumn("_book", ~F.col("_self") & hit("doc_id"))
+    counts = x.groupBy("qid").agg(F.count_if("_self").alias("n_self"), F.count_if("_book").alias("n_book"))
+    return x.where("not _self and not _book").select(*hits.columns), counts
+
+
+def hybrid_batch(dense: DataFrame, sparse: DataFrame, queries: DataFrame, k: int, mode: str = "hybrid", weights: tuple[float, float] = (0.6, 0.4), override: tuple[float, float] | None = None, adapt: dict[str, float] | None = None) -> DataFrame:
+    """Top k of each query by a mode (dense, sparse or hybrid) over side hits of their own depths; queries: qid, lang, has_terms.
+
+    The mode, or an override, gives the weights; adapt (language to sparse weight) replaces the sparse one, and the dense one by its
+    complement only in hybrid mode without an override. A query without known terms takes the dense side alone. Only a
+    mode's own sides bring candidates; the sparse side is standardised.
+    """
+    wd, ws = override or {"dense": (1.0, 0.0), "sparse": (0.0, 1.0)}.get(mode, weights)
+    own = F.lit(None).cast("double")
+    for lang, w in (adapt or {}).items():
+        own = F.coalesce(own, F.when(F.col("lang") == lang, F.lit(float(w))))
+    q = queries.withColumn("_ws", F.coalesce(own, F.lit(float(ws))))
+    q = q.withColumn("_wd", F.when(own.isNotNull(), 1 - F.col("_ws")).otherwise(float(wd)) if mode == "hybrid" and override is None else F.lit(float(wd)))
+    q = q.select("qid", F.when(F.col("has_terms"), F.col("_wd")).otherwise(1.0).alias("_wd"), F.when(F.col("has_terms"), F.col("_ws")).otherwise(0.0).alias("_ws"))
+    a = dense.select("qid", "docid", F.col("score").alias("dense")) if mode != "sparse" else dense.limit(0).select("qid", "docid", F.col("score").alias("dense"))
+    s = zscore(sparse).select("qid", "docid", F.col("norm").alias("sparse"))
+    s = s if mode != "dense" else s.limit(0)
+    both = a.join(s, ["qid", "docid"], "full").join(q, "qid").fillna(0.0, ["dense", "sparse"])
+    return top_k(both.withColumn("score", F.col("_wd") * F.col("dense") + F.col("_ws") * F.col("sparse")), k, ["qid"]).drop("_wd", "_ws")
+
+
+def norm_select(hits: DataFrame, method: str, constant: float = 0.0) -> DataFrame:
+    """hits with norm by a named method: none, minmax or zscore; constant where a query's scores are all equal."""
+    if method == "none":
+        return hits.withColumn("norm", F.col("score"))
+    if method == "minmax":
+        return minmax(hits, constant)
+    w = Window.partitionBy("qid")
+    sd = F.stddev_pop("score").over(w)
+    return hits.withColumn("norm", F.when(sd < 1e-12, F.lit(constant)).otherwise((F.col("score") - F.avg("score").over(w)) / sd))
+
+
+def over_fetched(hits: DataFrame, k: int, by: str, times: int = 5, cap: int = 16384) -> DataFrame:
+    """The best k of each query after only the first times * k hits (cap at most) are thinned to one for each `by`; so fewer than k may be left."""
+    return dedup_hits(hits.where(F.col("rank") <= min(times * k, cap)), by, k)
