@@ -139,12 +139,6 @@ def candidate_id(spark, sf):
     return b.select("block_id", A.candidate_id(F.when(m == 0, F.col("block_id")), F.when(m == 1, F.col("doc")), F.col("page_idx"), F.col("block_id"), F.col("text")).alias("candidate_id"))
 
 
-@query("candidate_key", f"WITH {BLOCKS} SELECT block_id, md5(concat_ws('|', doc, page_idx, coalesce(nullif(block_id % 2, 0)::VARCHAR, ''), char_length)) AS k FROM blocks")
-def candidate_key(spark, sf):
-    odd = F.when(F.col("block_id") % 2 != 0, F.col("block_id") % 2)
-    return blocks(spark, sf).select("block_id", F.md5(F.concat_ws("|", "doc", F.col("page_idx").cast("string"), F.coalesce(odd.cast("string"), F.lit("")), F.col("char_length").cast("string"))).alias("k"))
-
-
 @query("suppress_seen", "SELECT user_id AS qid, event_type AS candidate_id, min(event_id % 4) AS round_idx, count(*) FILTER (WHERE event_id % 4 = m) AS n FROM (SELECT *, min(event_id % 4) OVER (PARTITION BY user_id, event_type) AS m FROM events) GROUP BY 1, 2")
 def suppress_seen(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.col("event_type").alias("candidate_id"), (F.col("event_id") % 4).alias("round_idx"))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running_total
+
 SCHEMES = ("drop", "raise", "count")
 
 
@@ -129,17 +131,12 @@ def read_page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
 
 
 def keyset_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with their page from 0: pages of `size` rows in order of the key.
+    """rows with their page from 0: pages of `size` rows in order of the key, which has no equals.
 
-    What a loop of page reads gives, without the loop: rows are ranked by range partition, whose sizes are counted first.
+    What a loop of page reads gives, without the loop.
     """
-    spread = rows.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(key)
-    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    # one row for each partition
-    before = counts.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    ranked = spread.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), "_p")
-    return ranked.withColumn("page", F.floor((F.col("_b") + F.col("_r") - 1) / size)).drop("_p", "_r", "_b")
+    marked = running_total(rows.withColumn("_one", F.lit(1)), key, "_one", "_r")
+    return marked.withColumn("page", F.floor((F.col("_r") - 1) / size)).drop("_one", "_r")
 
 
 def bisect_ranges(rows: DataFrame, key: str, most: int) -> DataFrame:
