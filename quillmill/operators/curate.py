@@ -9,27 +9,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Patterns and words of the cleaning rules.
-SHORT_LABEL = r"^(病例|视频|步骤|附件|目录)(?U:\s*\d{1,3})$"
-PURE_NUMBER = r"^[0-9]{1,4}$"
+#: Patterns and words of the cleaning rules; white space and digits are those of all scripts.
+SHORT_LABEL = r"^(病例|视频|步骤|附件|目录)\s*\d{1,3}$"
+PURE_NUMBER = r"^\d{1,4}$"
 CHAPTER_ONLY = r"^第[0-9一二三四五六七八九十百千万]+[章节篇节部卷册](\s*)$"
-CATALOG = r"^.{1,40}/[0-9]{1,4}$"
+CATALOG = r"^.{1,40}/\d{1,4}$"
 FIGURE_SHORT = r"(?i)^(图|表|FIG|Figure|Table)\s*[0-9A-Za-z\-.]*\s*[:：]?\s*$"
 PUBLICATION = r"(?i)(版权所有|ISBN|责任编辑|主编|开本|印张|出版|Copyright)"
 PROTECTED = ("内镜", "胃", "食管", "肠", "结肠", "直肠", "胆", "胰", "肝", "癌", "肿瘤", "病变", "诊断", "治疗", "切除", "出血", "穿孔", "息肉", "溃疡", "炎", "ERCP", "EUS", "ESD", "EMR", "NBI")
 CHAPTER = r"第[0-9一二三四五六七八九十百千万]+[章节篇节部卷册]"
-SLASH_PAGE = r"/[0-9]{1,4}$"
+SLASH_PAGE = r"/\d{1,4}$"
 FIGURE = r"(?i)^(图|表|FIG|Figure|Table)\s*[0-9A-Za-z\-.]*"
 PUBLICATION_LIKE = r"(?i)(主编|ISBN|责任编辑|版权所有|出版|Copyright)"
-REFERENCE = r"^\s*\[?[0-9]{1,3}\]?\s*[\.、)]\s*"
-ENUMERATION = r"^\s*(?:[A-Za-zＡ-Ｚａ-ｚ][、.:：]\s*[\u4e00-\u9fffA-Za-z]{1,10}\s*){2,}\s*$"
+REFERENCE = r"^\s*\[?\d{1,3}\]?\s*[\.、)]\s*"
+ENUMERATION = r"^\s*(?:[A-Za-zＡ-Ｚa-zａ-ｚ][、.:：]\s*[一-鿿A-Za-z]{1,10}\s*){2,}\s*$"
 LATEX = r"(\\text|\\mathrm|\\mathbb|\\spadesuit|\\textcircled|\$\s*\\)"
 BAD_CHARS = r"[�□◻◼◇◆※#@$%^&*_+=~`|]"
 MEDICAL = r"(内镜|胃|食管|小肠|结肠|直肠|胰|胆|肝|癌|肿瘤|病变|溃疡|息肉|出血|穿孔|炎|ERCP|EUS|ESD|EMR|NBI)"
 ACTION = r"(诊断|治疗|切除|检查|评估|手术|操作|处理|预防|随访|并发症|适应证|禁忌证|止血|穿刺)"
 OUTCOME = r"(提示|考虑|符合|显示|可见|证实|阳性|阴性|改善|恶化|风险)"
 LOW_VALUE = r"(大小的病变|位于.*部|见.*病变|难易度|病例|视频|章节|目录|页)"
-HARD_DROP = r"(CIP|图书馆CIP|主编|责任编辑|译者|版权所有|ISBN|视频\s*[0-9]+|p\.[0-9]+|第[0-9]+章|难易度|病例[0-9]+|目录)"
+HARD_DROP = r"(CIP|图书馆CIP|主编|责任编辑|译者|版权所有|ISBN|视频\s*\d+|p\.\d+|第\d+章|难易度|病例\d+|目录)"
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found, its classes taken in Unicode."""
+    return text.rlike("(?U)" + pattern)
 
 
 def first_of(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
@@ -49,13 +54,13 @@ def stage1_reason(blocks: DataFrame, min_length: int = 5, dedup: bool = True, pr
     rules = [
         (s == "", "empty_text"),
         (F.col("char_length") < min_length, f"too_short_lt_{min_length}"),
-        (s.rlike(r"^[\p{P}\p{S}\s]*$"), "only_symbols"),
-        (s.rlike(PURE_NUMBER), "pure_number"),
-        (s.rlike(SHORT_LABEL), "short_label_with_number"),
-        (s.rlike(CHAPTER_ONLY), "chapter_only_heading"),
-        (s.rlike(CATALOG), "catalog_slash_page"),
-        (s.rlike(FIGURE_SHORT), "figure_table_short_caption"),
-        ((n <= 120) & s.rlike(PUBLICATION), "publication_meta"),
+        (holds(s, r"^[\p{P}\p{S}\s]*$"), "only_symbols"),
+        (holds(s, PURE_NUMBER), "pure_number"),
+        (holds(s, SHORT_LABEL), "short_label_with_number"),
+        (holds(s, CHAPTER_ONLY), "chapter_only_heading"),
+        (holds(s, CATALOG), "catalog_slash_page"),
+        (holds(s, FIGURE_SHORT), "figure_table_short_caption"),
+        ((n <= 120) & holds(s, PUBLICATION), "publication_meta"),
         ((n <= 40) & (T.symbol_ratio(s) >= 0.6), "high_symbol_ratio_short"),
         ((n <= 12) & (T.info_ratio(s) < 0.5), "low_info_density_short"),
     ]
@@ -78,14 +83,14 @@ def signals(text: Column, length: Column, version: int = 1) -> tuple[Column, Col
     found = [
         (length <= 8, "very_short", 3),
         ((length > 8) & (length <= 15), "short", 1),
-        ((length <= (50 if wide else 40)) & s.rlike(CHAPTER), "chapter_like", 2),
-        ((length <= (100 if wide else 80)) & s.rlike(SLASH_PAGE), "catalog_page_like", 2),
-        (s.rlike(FIGURE), "figure_table_like", 2),
-        (s.rlike(PUBLICATION_LIKE), "publication_meta_like", 2),
-        ((length <= (60 if wide else 40)) & s.rlike(REFERENCE), "enumeration_like", 1),
+        ((length <= (50 if wide else 40)) & holds(s, CHAPTER), "chapter_like", 2),
+        ((length <= (100 if wide else 80)) & holds(s, SLASH_PAGE), "catalog_page_like", 2),
+        (holds(s, FIGURE), "figure_table_like", 2),
+        (holds(s, PUBLICATION_LIKE), "publication_meta_like", 2),
+        ((length <= (60 if wide else 40)) & holds(s, REFERENCE), "enumeration_like", 1),
     ]
     if wide:
-        found += [(s.rlike(ENUMERATION), "enum_fragment_like", 3), ((length <= 120) & s.rlike(LATEX), "latex_ocr_like", 2)]
+        found += [(holds(s, ENUMERATION), "enum_fragment_like", 3), ((length <= 120) & holds(s, LATEX), "latex_ocr_like", 2)]
     found.append(((length <= (120 if wide else 80)) & (T.symbol_ratio(s) >= 0.45), "high_symbol_ratio", 2))
     if wide:
         found.append((T.count(s, BAD_CHARS) >= 2, "bad_char_like", 2))
@@ -109,19 +114,19 @@ def stage2_decision(blocks: DataFrame, candidate_score: int = 2) -> DataFrame:
     s, ln = T.normalize(F.col("text")), F.col("char_length")
     _, score = signals(F.col("text"), ln, 2)
     cjk, latin, bad, ratio = T.count(s, f"[{T.CJK}]"), T.count(s, "[A-Za-z]"), T.count(s, BAD_CHARS), T.symbol_ratio(s)
-    medical, action, outcome, latex = s.rlike(MEDICAL), s.rlike(ACTION), s.rlike(OUTCOME), s.rlike(LATEX)
+    medical, action, outcome, latex = holds(s, MEDICAL), holds(s, ACTION), holds(s, OUTCOME), holds(s, LATEX)
     rules = [
         (s == "", "drop", "empty_text"),
         (ln <= 3, "drop", "very_short"),
-        (s.rlike(HARD_DROP), "drop", "hard_drop_non_content_meta_or_catalog"),
-        (s.rlike(PURE_NUMBER), "drop", "pure_number"),
-        (s.rlike(r"^[\p{P}\p{S}\s]*$"), "drop", "only_symbols"),
-        ((ln <= 50) & s.rlike(ENUMERATION) & ~medical, "drop", "enum_fragment_without_medical_semantics"),
+        (holds(s, HARD_DROP), "drop", "hard_drop_non_content_meta_or_catalog"),
+        (holds(s, PURE_NUMBER), "drop", "pure_number"),
+        (holds(s, r"^[\p{P}\p{S}\s]*$"), "drop", "only_symbols"),
+        ((ln <= 50) & holds(s, ENUMERATION) & ~medical, "drop", "enum_fragment_without_medical_semantics"),
         (latex & (cjk + latin <= 5), "drop", "latex_ocr_noise"),
         ((ratio >= 0.62) & (ln <= 60), "drop", "high_symbol_ratio_short"),
         ((bad >= 3) & (ln <= 80), "drop", "bad_chars_noise"),
         ((ln <= 20) & ~action & ~outcome, "drop", "short_without_retrieval_signal"),
-        ((ln <= 80) & medical & ~action & ~outcome & (s.rlike(LOW_VALUE) | s.rlike(r"^[1-5]\.")), "drop", "low_retrieval_value_fragment"),
+        ((ln <= 80) & medical & ~action & ~outcome & (holds(s, LOW_VALUE) | s.rlike(r"^[1-5]\.")), "drop", "low_retrieval_value_fragment"),
         ((ln >= 80) & (cjk >= 20) & (ratio < 0.2), "keep", "long_semantic_sentence"),
         (medical & (action | outcome) & (ln >= 10) & (ratio < 0.35) & (bad == 0), None, "medical_statement_needs_llm_validation"),
         (latex & (cjk + latin >= 8), "rewrite", "has_semantics_but_latex_ocr_polluted"),

@@ -253,3 +253,44 @@ def truncate_text(spark, sf):
 def near_dup_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2(T.strip_all(F.col("text")), 256).alias("k"))
     return d.join(d.groupBy("k").agg(F.min("doc_id").alias("first_doc")), "k").select("doc_id", "first_doc")
+
+
+#: A text for each rule, with full-width digits, wide spaces and Chinese, and what the rules make of it.
+_ZH1 = [
+    ("\u3000", "empty_text"), ("胃", "too_short_lt_2"), ("……！", "only_symbols"), ("１２３４", "pure_number"), ("病例\u3000１２", "short_label_with_number"), ("第三章", "chapter_only_heading"), ("胃镜检查概论/１２", "catalog_slash_page"),
+    ("图 1：", "figure_table_short_caption"), ("本书版权所有", "publication_meta"), ("胃（）……、、", "high_symbol_ratio_short"), ("①②③④a", "low_info_density_short"), ("胃窦可见息肉样隆起病变", None), ("１２３４５", None),
+]
+_ZH2 = [
+    ("胃镜下", "drop", "very_short"), ("视频\u3000１２ 演示胃镜操作", "drop", "hard_drop_non_content_meta_or_catalog"), ("１２３４", "drop", "pure_number"), ("！！？？。。", "drop", "only_symbols"),
+    ("ａ、前壁 ｂ、后壁 ｃ、小弯", "drop", "enum_fragment_without_medical_semantics"), ("\\text 1", "drop", "latex_ocr_noise"), ("胃（）（）（）（）", "drop", "high_symbol_ratio_short"), ("□□□胃体部黏膜光滑", "drop", "bad_chars_noise"),
+    ("胃体部黏膜光滑", "drop", "short_without_retrieval_signal"), ("胃体大弯侧大小的病变位于后壁近贲门处的黏膜隆起", "drop", "low_retrieval_value_fragment"), ("内镜下可见胃窦部黏膜充血水肿" * 7, "keep", "long_semantic_sentence"),
+    ("内镜检查提示胃窦部溃疡需要随访处理", "keep", "low_risk_after_candidate_filter"), ("图1 内镜检查提示胃窦部溃疡需要随访", "llm", "medical_statement_needs_llm_validation"),
+    ("\\mathrm{ab} 这一段文字说明了实验的基本方法和结果分析", "rewrite", "has_semantics_but_latex_ocr_polluted"), ("这一段文字说明了实验的基本方法和结果分析过程", "keep", "low_risk_after_candidate_filter"),
+]
+
+
+def _planted(spark, sf, texts):
+    t = F.get(F.array(*map(F.lit, texts)), (F.col("block_id") % len(texts)).cast("int"))
+    return blocks(spark, sf).withColumn("text", t).withColumn("char_length", F.length(F.trim("text")).cast("long"))
+
+
+def _constants(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query("clean_stage1_zh", f"SELECT doc_id AS block_id, {_constants(r for _, r in _ZH1)}[doc_id % {len(_ZH1)} + 1] AS reason FROM documents")
+def clean_stage1_zh(spark, sf):
+    return K.stage1_reason(_planted(spark, sf, [t for t, _ in _ZH1]), min_length=2, dedup=False).select("block_id", "reason")
+
+
+@query("clean_stage2_zh", f"SELECT doc_id AS block_id, {_constants(a for _, a, _ in _ZH2)}[doc_id % {len(_ZH2)} + 1] AS action, {_constants(r for *_, r in _ZH2)}[doc_id % {len(_ZH2)} + 1] AS reason FROM documents")
+def clean_stage2_zh(spark, sf):
+    return K.stage2_decision(_planted(spark, sf, [t for t, *_ in _ZH2])).select("block_id", "action", "reason")
+
+
+_LANG = ["胃窦部溃疡ab", "plain English text here", "胃镜检查所见 ESD x", "", "１２３"]
+
+
+@query("detect_lang_zh", f"SELECT doc_id, {_constants(['zh', 'en', 'mix', 'mix', 'mix'])}[doc_id % 5 + 1] AS lang FROM documents")
+def detect_lang_zh(spark, sf):
+    return _planted(spark, sf, _LANG).select(F.col("block_id").alias("doc_id"), T.detect_lang(F.col("text")).alias("lang"))
