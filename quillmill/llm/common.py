@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 PART_BYTES = 4_000_000
 #: Stands for a null doc_id inside operators, so that all nulls count as one last document.
 NO_ID = (1 << 63) - 1
+#: Paths that this application has staged.
+_staged: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,21 +59,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files go when the application ends, or earlier by unstage() or released().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged DataFrame that nothing will read again."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/quillmill/" in f:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/quillmill/" in path:
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Afterwards deletes all that was staged inside, but for the frames put into the list it gives."""
+    before, kept = len(_staged), []
+    try:
+        yield kept
+    finally:
+        keep = {x.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for x in df.inputFiles()}
+        for path in _staged[before:]:
+            if path.rsplit("/", 1)[-1] not in keep:
+                fs, at = _hadoop(spark, path)
+                fs.delete(at, True)
+                _staged.remove(path)
 
 
 def held(c: Column) -> Column:
@@ -99,22 +127,24 @@ def parts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Rec
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges(u, v), u != v.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each round's edges
-    are staged; nothing but a count and a checksum reaches the driver. Every step is an equi-join on
-    a node after a partial aggregation, so a node with very many links is split like any skewed
-    join. Empty edges give an empty result.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each round's edges and
+    least neighbours are staged; nothing but a count and a checksum reaches the driver. Least neighbours come
+    from a partial aggregation; joins with them have an exchange on either side, so that Spark can split
+    a node with very many links. Empty edges give an empty result.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        unstage(now)
+        for done in (now, low, large, least):
+            unstage(done)
         now = after
         if seen is not None and tuple(mark) == seen:
             break

@@ -168,7 +168,8 @@ def grouped(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
     parts = C.connected_components(link_fingerprints(distinct.select("fp"), radius))
     own = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    least = own.groupBy("part").agg(F.min("low").alias("component_id"))
+    # staged, so that both sides of the join have an exchange of their own and a large component's rows can be split
+    least = C.stage(own.groupBy("part").agg(F.min("low").alias("component_id")), "least")
     return prints.join(own.join(least, "part").select("fp", "component_id"), "fp")
 
 

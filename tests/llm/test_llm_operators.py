@@ -509,3 +509,146 @@ def test_passages_keep_every_place(spark):
     assert sorted((r.doc_id or 99, r.start_word, r.end_word, r.first_doc_id, r.removed) for r in got) == [
         (1, 0, 60, 1, False), (2, 0, 60, 1, True), (2, 120, 180, 1, True), (2, 240, 300, 1, True), (99, 30, 90, 1, True),
     ]
+
+
+def test_secrets_in_one_long_token(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    token = "".join(rng.choice(list(secrets.ALPHABET), 1_000_000))
+    many = " ".join(f"token={i}abcdef" for i in range(20_000))
+    model = [1000] * (len(secrets.ALPHABET) + 1) ** 2
+    began = time.time()
+    rows = secrets.find_secrets(spark.createDataFrame([(1, token), (2, many)], "doc_id long, text string"), model)
+    got = {r[0]: (r.n, r.last) for r in rows.select("_row.doc_id", F.size("spans").alias("n"), F.element_at("spans", -1)["end"].alias("last")).collect()}
+    assert got == {1: (1, 1_000_000), 2: (20_000, len(many))}
+    assert time.time() - began < 60
+
+
+def test_spans_in_blocks(spark):
+    text = " ".join(["AKIA" + "A" * 20, "x" * 7] * 300)
+    want = [(m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text)]
+    s = secrets.spans(F.col("t"), secrets.ACCESS, 1, "access", lambda m: F.length(m) >= 20)
+    got = spark.createDataFrame([(text,)], "t string").select(F.transform(s, lambda x: F.struct(x["start"], x["end"])).alias("s")).first().s
+    assert [(x[0], x[1]) for x in got] == want
+
+
+def plain_feistel(digits: list[int], radix: int, key: str) -> list[int]:
+    """The network in plain Python: eight rounds, halves are the even and the odd places."""
+    import xxhash
+
+    a = list(digits)
+    for r in range(pseudonyms.ROUNDS):
+        other = ",".join(str(v) for i, v in enumerate(a) if i % 2 != r % 2)
+        mark = hashlib.sha256(f"{key}|{r}|{len(a)}|{other}".encode()).hexdigest()
+        for i in range(len(a)):
+            if i % 2 == r % 2:
+                seed = xxhash.xxh64_intdigest(mark.encode(), 42)
+                h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed)
+                a[i] = (a[i] + (h - (1 << 64) if h >> 63 else h) % radix) % radix
+    return a
+
+
+def test_pseudonyms_brute_force(spark):
+    rng = np.random.default_rng(10)
+    ssn = []
+    while len(ssn) < 10_000:
+        a, b, c = int(rng.integers(1, 900)), int(rng.integers(1, 100)), int(rng.integers(1, 10_000))
+        if a != 666:
+            ssn.append(f"{a:03d}-{b:02d}-{c:04d}")
+    ok = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
+    rows = spark.createDataFrame([(i, f"ssn {s} end") for i, s in enumerate(ssn)], "doc_id long, text string")
+    got = {r[0]: r[1][4:15] for r in pseudonyms.pseudonymise(rows, "k").select("_row.doc_id", "new_text").collect()}
+    assert all(ok(x) for x in got.values()) and len({ssn[i] for i in got}) == len({got[i] for i in got})
+    for i in range(0, 10_000, 97):
+        d = [int(x) for x in ssn[i].replace("-", "")]
+        while True:
+            d = plain_feistel(d, 10, "k/ssn")
+            s = "".join(map(str, d))
+            if ok(f"{s[:3]}-{s[3:5]}-{s[5:]}"):
+                break
+        assert got[i] == f"{s[:3]}-{s[3:5]}-{s[5:]}"
+
+
+def test_pseudonyms_move_all_dates(spark):
+    import datetime
+
+    days = [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), datetime.date(99, 5, 5), datetime.date(1600, 2, 29), datetime.date(2024, 2, 29), *[datetime.date(1, 1, 1) + datetime.timedelta(9973 * i) for i in range(366)]]
+    rows = spark.createDataFrame([(i, f"on {d.isoformat()} at {d.day:02d}/{d.month:02d}/{d.year:04d}") for i, d in enumerate(days)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in pseudonyms.pseudonymise(rows, "k").select("_row.doc_id", "new_text").collect()}
+    seen = set()
+    for i, d in enumerate(days):
+        a, b = got[i][3:13], got[i][17:27]
+        x = datetime.date.fromisoformat(a)
+        assert x != d and datetime.datetime.strptime(b, "%d/%m/%Y").date() == x
+        seen.add((d, x))
+    assert len({x for _, x in seen}) == len({d for d, _ in seen})
+
+
+def test_pseudonyms_leave_the_rest(spark, corpus):
+    """Over the whole table: what is not a valid value stays, each pseudonym has its value's form, equal values have equal ones, different ones different."""
+    pattern = re.compile(pseudonyms.ANY.replace("++@", "+@"))
+    forth, back = {}, {}
+    for r in registry.QUERIES["op8_pseudonyms"](spark, SF).collect():
+        old, new = corpus[r.doc_id], r.text
+        a, b = pattern.findall(old), pattern.findall(new)
+        assert pattern.split(old) == pattern.split(new) and len(a) == len(b)
+        changed = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+        assert len(changed) <= sum(r[f"n_{k}"] for k in pseudonyms.FORMATS)
+        for x, y in changed:
+            assert forth.setdefault(x, y) == y and back.setdefault(y, x) == x
+            assert [c if c in "@.-/ ()+" else "" for c in x.split("@")[-1]] == [c if c in "@.-/ ()+" else "" for c in y.split("@")[-1]] or "." in x
+    assert forth
+
+
+@pytest.fixture(scope="module")
+def stage_tables(spark):
+    """Tables that every stage takes: none, nulls, repeats, long texts and columns with the stages' own names."""
+    body = lambda k, n=80: " ".join(f"Word{k}x{i}" for i in range(n)) + "."
+    rows = [
+        (1, None, None, None, None, 7, "a", "t"), (None, body(1), "en", None, None, 7, "a", "t"), (None, body(1), "en", None, None, 7, "a", "t"), (2, "", "en", "s", 0, 7, None, "t"), (3, body(3) + "\n" + body(4), None, "s", 1, None, "a", None),
+        (3, body(3) + "\n" + body(5), "en", "s", 1, 7, "a", "t"), (4, body(6, 60_000), "en", "s", 1, 7, "a", "t"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_dropped long, kept_text string, _key string"
+    return spark.createDataFrame(rows, schema).cache(), spark.createDataFrame([], schema)
+
+
+def test_stages_on_odd_tables(spark, stage_tables):
+    import corpus_pipeline
+
+    odd, empty = stage_tables
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+        out = stage(spark, odd, SF)
+        n = out.count()
+        if name != "packing":
+            assert out.columns == odd.columns and n <= odd.count(), name
+    ids = lambda s: sorted((r.doc_id or 0) for r in s(spark, odd, SF).collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert ids(stages["line_dedup"]) == [0, 0, 1, 2, 3, 3, 4]
+    assert ids(stages["decontaminate"]) == [0, 0, 1, 2, 3, 3, 4]
+    # the second of two equal rows, and one of the two empty texts, go
+    assert ids(stages["simhash"]) == [0, 1, 3, 3, 4]
+
+
+def test_stages_against_sql_and_brute_force(spark, duck, corpus):
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({quality.ORACLE['op6_quality']}) WHERE kept").fetchall()}
+    assert {r.doc_id for r in stages["quality"](spark, docs, SF).select("doc_id").collect()} == kept
+    want = dict(duck.sql(f"SELECT doc_id, kept_sha256 FROM ({line_dedup.ORACLE['op5_line_dedup']})").fetchall())
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in stages["line_dedup"](spark, docs, SF).collect()} == want
+    first = {r.doc_id for r in registry.QUERIES["op4_simhash"](spark, SF).where("doc_id = component_id").collect()}
+    assert {r.doc_id for r in stages["simhash"](spark, docs, SF).collect()} == first
+    leaks = {r.doc_id for r in registry.QUERIES["op9_decontaminate"](spark, SF).collect()}
+    assert {r.doc_id for r in stages["decontaminate"](spark, docs, SF).collect()} == set(corpus) - leaks
+
+
+def test_pipeline_run_releases_what_it_staged(spark):
+    import corpus_pipeline
+
+    before = len(common._staged)
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert len(common._staged) - before <= len(corpus_pipeline.STAGES) + 1
