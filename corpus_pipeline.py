@@ -22,6 +22,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents, each written as Parquet and read again by the next."""
     docs = common.read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else common.stage(out, name)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # what a stage itself has staged goes once its output is written
+        with common.released(spark) as kept:
+            docs = common.stage(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return docs
