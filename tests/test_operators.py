@@ -105,3 +105,89 @@ def test_lag_lead_over_gaps(spark):
     d = spark.createDataFrame([(1, "a"), (5, "b"), (25, "c")], "i long, t string")
     got = [(r.prev, r.next) for r in K.lag_lead(d, "i", "t", 10).orderBy("i").collect()]
     assert got == [("", "b"), ("a", "c"), ("b", "")]
+
+
+def test_multi_round_agent_against_plain_python(spark):
+    import numpy as np
+
+    from quillmill.operators import agent as A
+    from quillmill.plans.q_agent import scripted
+
+    rng = np.random.default_rng(2)
+    hits = [(q, int(d), float(round(s, 6))) for q in range(0, 600, 50) for d, s in zip(rng.choice(200, 22, replace=False), rng.random(22), strict=True)]
+    df = spark.createDataFrame(hits, "qid long, docid long, score double")
+
+    def plain(q, forced):
+        pool = sorted(((d, s) for x, d, s in hits if x == q), key=lambda r: (-round(r[1], 9), r[0]))
+        retained, n = [], q / 50
+        for r in range(3):
+            new, pool = pool[:5], pool[5:]
+            shown = [d for d, _ in retained] + [d for d, _ in new]
+            score = dict(retained + new)
+            action = "REWRITE" if n % 2 == 1 and r < 2 else "ACCEPT"
+            parsed = not (n % 3 == 2 and r == 1)
+            order = sorted(shown, key=lambda d: (-round(score[d], 9), d))
+            kept = [d for d in order if d % 3 == 0]
+            if (not parsed or action == "ACCEPT" or r == 2) and r >= forced:
+                if parsed and action == "ACCEPT":
+                    got = kept or order[:5]
+                else:
+                    got = list(dict.fromkeys([d for d, _ in retained] + order[:5]))[:5]
+                return [(q, d, i + 1, r + 1, action) for i, d in enumerate(got)]
+            retained = (retained + [(d, score[d]) for d in kept if d not in dict(retained)])[:5]
+
+    for forced in (0, 2):
+        want = [x for q in range(0, 600, 50) for x in plain(q, forced)]
+        got = [tuple(r) for r in A.solve_rounds(df, scripted, forced=forced).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_seed_alignment_stages(spark):
+    from quillmill.operators import build as B
+
+    rows = [
+        (1, 0, 10, 0.95, 0.3, 0.0), (1, 1, 11, 0.90, 0.35, 0.7), (2, 0, 20, 0.80, 0.1, 0.1), (2, 1, 20, 0.79, 0.1, 0.1), (3, 0, 30, 0.85, 0.1, 0.0), (3, 0, 31, 0.80, 0.1, 0.0), (3, 1, 32, 0.86, 0.1, 0.0),
+        (3, 1, 31, 0.79, 0.1, 0.0), (4, 0, 40, 0.5, 0.0, 0.1), (4, 1, 41, 0.6, 0.0, 0.1),
+    ]
+    got = {r.qid: (r.pk, r.stage, r.reason) for r in B.align_seeds(spark.createDataFrame(rows, "qid long, seed int, pk long, cosine double, char3 double, contain double")).collect()}
+    assert got == {1: (11, "A_threshold", "soft_contain+cos+char3"), 2: (20, "B_consensus", "top1"), 3: (31, "B_consensus", "topk"), 4: (41, "C_fallback", "best_score")}
+
+
+def test_task_quota_and_ranges(spark):
+    from quillmill.operators import build as B
+    from quillmill.sources import io
+
+    src = spark.range(200).select(F.col("id").alias("source"))
+    got = B.task_quota(src, {"a": 6, "b": 4, "c": 3}, "s", 12).collect()
+    assert len(got) == 12 and len({r.task for r in got}) == 12
+    kinds = [r.kind for r in got]
+    assert all(kinds.count(k) <= n for k, n in (("a", 6), ("b", 4), ("c", 3)))
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, []).append(r.kind)
+    assert all(len(v) == len(set(v)) <= 2 for v in by_source.values())
+    rows = spark.range(1000).select((F.col("id") * F.col("id")).alias("k"))
+    parts = io.bisect_ranges(rows, "k", 90).orderBy("lo").collect()
+    assert sum(p.n for p in parts) == 1000 and all(p.n <= 90 for p in parts) and all(a.hi < b.lo for a, b in zip(parts, parts[1:], strict=False))
+    pages = io.keyset_pages(rows, "k", 64).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo")).orderBy("page").collect()
+    assert [p.n for p in pages] == [64] * 15 + [40] and [p.lo for p in pages] == [(64 * i) ** 2 for i in range(16)]
+
+
+def test_crc_include_is_crc32(spark):
+    import zlib
+
+    from quillmill.operators import validate as V
+
+    got = {r.q for r in spark.range(500).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("q")).where(V.included(F.col("q"), 0.3)).collect()}
+    assert got == {f"q{i}" for i in range(500) if zlib.crc32(f"q{i}".encode()) % 10000 < 3000}
+
+
+def test_strict_join_fails_on_a_miss(spark):
+    import pytest
+
+    from quillmill.operators import build as B
+
+    a = spark.range(5).select(F.col("id").alias("k"))
+    assert B.strict_join(a, a.withColumn("v", F.lit(1)), "k").count() == 5
+    with pytest.raises(Exception, match="no row for"):
+        B.strict_join(a, a.where("k < 4").withColumn("v", F.lit(1)), "k").collect()
