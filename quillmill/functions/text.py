@@ -88,6 +88,15 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+def truncate_within(text: Column, n: int) -> Column:
+    """At most n characters, the dots included."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, max(0, n - 3)), F.lit("..."))).otherwise(text)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.filter(F.split(path, "/"), lambda x: x != ""), -1)
+
+
 def last_line_answer(text: Column, letters: str = "A-F") -> Column:
     """The stand-alone option letter on the last line that is not blank."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")

@@ -121,6 +121,17 @@ def image_sample(pairs: DataFrame) -> DataFrame:
     return x.select(F.concat(F.lit("imgtxt_"), key).alias("sample_id"), F.concat(F.lit("img_"), key).alias("image_id"), "doc_id", "doc_name", "source_path", F.sha2(F.concat_ws("\n", "image_path", "text"), 256).alias("content_hash"), "text")
 
 
+def image_rows(samples: DataFrame, images: str) -> DataFrame:
+    """A row for each image (struct with image_id, image_path) of a sample, with its place; those without id or path go."""
+    x = samples.select(*[c for c in samples.columns if c != images], F.posexplode(images).alias("pos", "_i"))
+    return x.where((text_of(F.col("_i.image_id")) != "") & (text_of(F.col("_i.image_path")) != "")).select("*", F.col("_i.image_id").alias("image_id"), F.col("_i.image_path").alias("image_path")).withColumn("pos", F.col("pos").cast("long")).drop("_i")
+
+
+def question_text(question: Column, options: Column) -> Column:
+    """A question with its options, a line each."""
+    return F.concat_ws("\n", question, F.array_join(F.transform(F.map_entries(options), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n"))
+
+
 def hit_score(weighted: Column, raw: Column, score: Column) -> Column:
     return F.coalesce(weighted, raw, score, F.lit(0.0))
 

@@ -218,3 +218,12 @@ def lag_lead(rows: DataFrame, order: str, value: str, width: int = 10_000) -> Da
 def bad_token(t: Column) -> Column:
     """Whether an English token is junk: length, edge punctuation, a letter four times, DNA, no vowel or digit."""
     return (F.length(t) < 3) | (F.length(t) > 40) | t.rlike(r"^[-'_]|[-'_]$") | t.rlike(r"(.)\1\1\1") | ((F.length(t) >= 12) & t.rlike("^[acgt]+$")) | ~t.rlike("[aeiou0-9]")
+
+
+def text_blocks(blocks: DataFrame, docs: DataFrame, least: int | None = None, most: int | None = None, doc: str | None = None, limit: int | None = None) -> DataFrame:
+    """Blocks with their document (inner join on doc), of a length and of one document if wanted, in order of block_id, at most limit. The filters reach the scan."""
+    x = blocks if least is None else blocks.where(F.col("char_length") >= least)
+    x = x if most is None else x.where(F.col("char_length") <= most)
+    x = x if doc is None else x.where(F.col("doc") == doc)
+    x = x.join(docs, "doc").orderBy("block_id")
+    return x if limit is None else x.limit(limit)

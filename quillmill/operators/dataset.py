@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +93,60 @@ def largest_first(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
 
 
 def greedy_parts(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Adds part: rows of a group in order, a new part whenever the next row would exceed `most` (a part has one row at least)."""
-    step = f"aggregate(_r, named_struct('p', 0, 's', 0L, 'o', cast(array() as array<struct<k:bigint,part:int>>)), (a, x) -> if(a.s + x.n > {most} and a.s > 0, named_struct('p', a.p + 1, 's', x.n, 'o', concat(a.o, array(named_struct('k', x.k, 'part', a.p + 1)))), named_struct('p', a.p, 's', a.s + x.n, 'o', concat(a.o, array(named_struct('k', x.k, 'part', a.p))))), a -> a.o)"
-    got = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("k"), F.col(size).cast("long").alias("n")))).alias("_r"))
-    return got.select(group, F.explode(F.expr(step)).alias("x")).select(group, F.col("x.k").alias(order), F.col("x.part").alias("part"))
+    """Adds part: rows of a group in order, a new part whenever the next row would exceed `most` (a part has one row at least).
+
+    A sum that begins anew is sequential in a group; a sorted partition is streamed through once, holding a batch at a time.
+    """
+    names = rows.columns
+    at = [names.index(c) for c in (group, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, used = None, 0, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True):
+                if now is None or now[0] != g:
+                    now, part, used = (g,), 0, 0
+                if used > 0 and used + n > most:
+                    part, used = part + 1, 0
+                used += n
+                out.append(part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*names, "part"])
+
+    dealt = rows.repartition(group).sortWithinPartitions(group, order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return dealt.mapInArrow(run, f"{schema}, part long")
+
+
+def oversample(rows: DataFrame, times: Column) -> DataFrame:
+    """rows repeated `times` times, with their copy from 0."""
+    n = F.greatest(times.cast("long"), F.lit(0))
+    return rows.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
+
+
+def adjusted_k(level: Column, text_k: int, image_k: int, step: int = 2, least: int = 2) -> tuple[Column, Column]:
+    """(text_k, image_k) by dependency level: R3 takes from text for images, R1 the other way, neither under `least`."""
+    up, down = lambda k: F.lit(k + step), lambda k: F.lit(max(k - step, least))
+    return F.when(level == "R3", down(text_k)).when(level == "R1", up(text_k)).otherwise(text_k), F.when(level == "R3", up(image_k)).when(level == "R1", down(image_k)).otherwise(image_k)
+
+
+def density_score(level: Column, raw: Column, bases: dict[str, float], factor: float = 0.16, most: float = 0.08) -> Column:
+    """A level's base moved by what a raw score is above or below a half, within limits."""
+    base = F.lit(None).cast("double")
+    for k, v in bases.items():
+        base = F.when(level == k, v).otherwise(base)
+    return base + F.greatest(F.lit(-most), F.least(F.lit(most), factor * (raw - 0.5)))
+
+
+def support_label(u: Column, margin: float = 0.2) -> Column:
+    return F.when(u > margin, "pos").when(u < -margin, "neg").otherwise("neutral")
+
+
+def backfilled(rows: DataFrame, labels: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with labels' value filled in by key; fails if a label's key repeats, or names no row, as a whole count of both."""
+    many = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not many.isEmpty():
+        raise ValueError("a key has several labels")
+    if not labels.join(rows.select(*keys), keys, "left_anti").isEmpty():
+        raise ValueError("a label has no row")
+    return rows.drop(value).join(labels.select(*keys, value), keys, "left")

@@ -112,3 +112,20 @@ def macro_f1(rows: DataFrame, label: str, pred: str) -> DataFrame:
     div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     got = got.withColumns({"precision": div(F.col("tp"), F.col("n_pred")), "recall": div(F.col("tp"), F.col("n"))})
     return got.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("class", "n", "precision", "recall", "f1")
+
+
+def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], cells: int = 1024) -> DataFrame:
+    """keys and, for each name, the value at a rank from 0 (a column of n, the group's rows) in ascending order.
+
+    Groups are cut to cells of equal width and counted; only the cell that holds a rank is ordered.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")).cast("double") / cells, F.lit(1e-300))
+    x = rows.join(ends.drop("n"), keys).withColumn("_c", F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1))).drop("_lo", "_hi")
+    counts = x.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_m"))
+    before = counts.withColumn("_b", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_m"))
+    wanted = ends.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r.cast("long").alias("r")) for k, r in ranks.items()])).alias("_w"))
+    hit = before.join(wanted, keys).where((F.col("_b") <= F.col("_w.r")) & (F.col("_w.r") < F.col("_b") + F.col("_m"))).select(*keys, "_c", F.col("_w.k").alias("_k"), (F.col("_w.r") - F.col("_b")).alias("_r"))
+    inside = x.join(hit, [*keys, "_c"]).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy("_v")) - 1).where("_n = _r")
+    return inside.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in ranks])

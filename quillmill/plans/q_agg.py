@@ -46,7 +46,10 @@ def agg_weight_summary(spark, sf):
 
 @query("agg_query_summary", f"WITH {RES} SELECT scene, min(n_chars) AS lo, max(n_chars) AS hi, round(median(n_chars), 6) AS med, (list_sort(list(n_chars)))[1 + least(count(*) - 1, floor(0.9 * count(*))::INT)::INT] AS p90, count(DISTINCT n_chars) AS distinct_n FROM res GROUP BY 1")
 def agg_query_summary(spark, sf):
-    return results(spark, sf).groupBy("scene").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.median("n_chars"), 6).alias("med"), F.sort_array(F.collect_list("n_chars")).alias("s"), F.count_distinct("n_chars").alias("distinct_n")).withColumn("p90", F.expr("get(s, least(size(s) - 1, cast(floor(0.9 * size(s)) as int)))")).drop("s")
+    r, c = results(spark, sf), F.col("n")
+    p90 = E.order_statistics(r, ["scene"], "n_chars", {"p90": F.least(c - 1, F.floor(0.9 * c))})
+    x = r.groupBy("scene").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.median("n_chars"), 6).alias("med"), F.count_distinct("n_chars").alias("distinct_n"))
+    return x.join(p90, "scene")
 
 
 @query("agg_task_baseline", f"WITH {RES} SELECT scene, task, count(*) AS n, count(*) FILTER (WHERE a) AS correct, round(avg(a::INT), 6) AS acc, round(median(logp), 6) AS median_logp, {_LEVEL} FROM res GROUP BY GROUPING SETS ((scene), (task))")
@@ -102,9 +105,10 @@ def agg_class_weights(spark, sf):
 
 @query("agg_rank_reference", f"WITH {RES}, s AS (SELECT scene, list_sort(list(logp)) AS v FROM res GROUP BY 1) SELECT scene, len(v) AS n, round(list_avg(v), 6) AS mean, v[1 + round_even((len(v) - 1) * 0.1, 0)::INT] AS p10, v[1 + round_even((len(v) - 1) * 0.5, 0)::INT] AS p50, v[1 + round_even((len(v) - 1) * 0.9, 0)::INT] AS p90 FROM s")
 def agg_rank_reference(spark, sf):
-    s = results(spark, sf).groupBy("scene").agg(n().alias("n"), F.round(F.avg("logp"), 6).alias("mean"), F.sort_array(F.collect_list("logp")).alias("v"))
-    at = lambda p: F.expr(f"get(v, cast(bround((size(v) - 1) * {p}D, 0) as int))")
-    return s.select("scene", "n", "mean", at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    r, c = results(spark, sf), F.col("n")
+    at = lambda p: F.bround((c - 1) * F.lit(p).cast("double"), 0)
+    q = E.order_statistics(r, ["scene"], "logp", {"p10": at(0.1), "p50": at(0.5), "p90": at(0.9)})
+    return r.groupBy("scene").agg(n().alias("n"), F.round(F.avg("logp"), 6).alias("mean")).join(q, "scene")
 
 
 @query("agg_seq_lengths", f"WITH {RES}, s AS (SELECT list_sort(list(n_chars)) AS v FROM res) SELECT v[1 + least(len(v) - 1, floor(0.5 * len(v))::INT)::INT] AS p50, v[1 + least(len(v) - 1, floor(0.99 * len(v))::INT)::INT] AS p99, len(list_filter(v, lambda x: x > 4096)) AS over_4096 FROM s")

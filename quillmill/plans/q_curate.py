@@ -188,16 +188,17 @@ def append_blocks(spark, sf):
     return d.where("char_length >= 3")
 
 
-@query("scan_sqlite_blocks", f"WITH {BLOCKS}, s AS (SELECT doc, min(block_id) AS first_block FROM blocks GROUP BY 1) SELECT block_id, blocks.doc, first_block, char_length FROM blocks JOIN s ON blocks.doc = s.doc WHERE char_length BETWEEN 50 AND 4000 AND blocks.doc IN ('src0', 'src2') ORDER BY block_id LIMIT 100")
+@query("scan_sqlite_blocks", f"WITH {BLOCKS}, d AS (SELECT source AS doc, count(*) AS n_blocks FROM documents GROUP BY 1) SELECT block_id, blocks.doc, n_blocks, char_length FROM blocks JOIN d ON blocks.doc = d.doc WHERE char_length BETWEEN 50 AND 4000 ORDER BY block_id")
 def scan_sqlite_blocks(spark, sf):
-    b = blocks(spark, sf).where("doc in ('src0', 'src2')")
-    s = b.groupBy("doc").agg(F.min("block_id").alias("first_block"))
-    return b.where("char_length between 50 and 4000").join(s, "doc").orderBy("block_id").limit(100).select("block_id", "doc", "first_block", "char_length")
+    """Blocks of a length joined to their documents, in order."""
+    d = table(spark, sf, "documents").groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("n_blocks"))
+    return K.text_blocks(blocks(spark, sf), d, least=50, most=4000).select("block_id", "doc", "n_blocks", "char_length")
 
 
-@query("join_block_doc", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("join_block_doc", f"WITH {BLOCKS}, d AS (SELECT source AS doc, min(lang) AS lang FROM documents WHERE lang <> 'fr' GROUP BY 1) SELECT block_id, blocks.doc, lang FROM blocks JOIN d ON blocks.doc = d.doc")
 def join_block_doc(spark, sf):
-    return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    d = table(spark, sf, "documents").where("lang <> 'fr'").groupBy(F.col("source").alias("doc")).agg(F.min("lang").alias("lang"))
+    return K.text_blocks(blocks(spark, sf), d).select("block_id", "doc", "lang")
 
 
 @query("join_block_doc_left", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

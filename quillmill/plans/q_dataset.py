@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import agent as A
+from ..operators import build as B
 from ..operators import dataset as D
 from ..operators import rerank as R
 from ..operators import search as S
@@ -72,8 +73,7 @@ def sample_round_robin(spark, sf):
 
 @query("sample_oversample", "SELECT doc_id, unnest(range(0, CASE WHEN toxic = 1 THEN 3 ELSE 1 END)) AS copy FROM labels")
 def sample_oversample(spark, sf):
-    times = F.when(F.col("toxic") == 1, 3).otherwise(1)
-    return table(spark, sf, "labels").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)).alias("copy"))
+    return D.oversample(table(spark, sf, "labels").select("doc_id", "toxic"), F.when(F.col("toxic") == 1, 3).otherwise(1)).select("doc_id", "copy")
 
 
 @query("shard_modulo", "SELECT doc_id % 4 AS shard, count(*) AS n FROM documents GROUP BY 1")
@@ -81,15 +81,15 @@ def shard_modulo(spark, sf):
     return table(spark, sf, "documents").groupBy(F.pmod("doc_id", F.lit(4)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shard_lpt")
+@query("shard_lpt", "WITH RECURSIVE o AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS r FROM (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1)), w AS (SELECT r, source, 0 AS shard, n AS a, 0::HUGEINT AS b, 0::HUGEINT AS c, 0::HUGEINT AS d FROM o WHERE r = 1 UNION ALL SELECT r, source, s, a + CASE WHEN s = 0 THEN n ELSE 0 END, b + CASE WHEN s = 1 THEN n ELSE 0 END, c + CASE WHEN s = 2 THEN n ELSE 0 END, d + CASE WHEN s = 3 THEN n ELSE 0 END FROM (SELECT o.r, o.source, o.n, w.a, w.b, w.c, w.d, CASE WHEN a <= b AND a <= c AND a <= d THEN 0 WHEN b <= c AND b <= d THEN 1 WHEN c <= d THEN 2 ELSE 3 END AS s FROM w JOIN o ON o.r = w.r + 1)) SELECT source, shard FROM w")
 def shard_lpt(spark, sf):
     sizes = [(r["source"], r["n"]) for r in table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).toLocalIterator()]
     return spark.createDataFrame(list(D.largest_first(sizes, 4).items()), "source string, shard int")
 
 
-@query("win_running_pack")
+@query("win_running_pack", "WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), w AS (SELECT source, doc_id, r, n AS s, 0 AS part FROM o WHERE r = 1 UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN w.s > 0 AND w.s + o.n > 20000 THEN o.n ELSE w.s + o.n END, w.part + (w.s > 0 AND w.s + o.n > 20000)::INT FROM w JOIN o ON o.source = w.source AND o.r = w.r + 1) SELECT source, doc_id, part FROM w")
 def win_running_pack(spark, sf):
-    return D.greedy_parts(table(spark, sf, "documents"), "source", "doc_id", "n_chars", 20_000)
+    return D.greedy_parts(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20_000).select("source", "doc_id", "part")
 
 
 @query("page_chunks", "SELECT doc_id, s AS first_page, least(s + 9, pages) AS last_page FROM (SELECT doc_id, n_chars // 100 + 1 AS pages, unnest(range(1, n_chars // 100 + 2, 10)) AS s FROM documents)")
@@ -181,8 +181,7 @@ def tier_assign(spark, sf):
 
 @query("support_label", "SELECT event_id, CASE WHEN u > 0.2 THEN 'pos' WHEN u < -0.2 THEN 'neg' ELSE 'neutral' END AS label FROM (SELECT event_id, ln(value + 1) - 3 AS u FROM events)")
 def support_label(spark, sf):
-    u = F.log(F.col("value") + 1) - 3
-    return table(spark, sf, "events").select("event_id", F.when(u > 0.2, "pos").when(u < -0.2, "neg").otherwise("neutral").alias("label"))
+    return table(spark, sf, "events").select("event_id", D.support_label(F.log(F.col("value") + 1) - 3).alias("label"))
 
 
 @query("dpo_pairs", "WITH u AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS i, unnest(['teacher', 'keep_none', 'keep_all', 'flip']) AS name, unnest([doc_id * 37 % 101, doc_id * 53 % 97, doc_id * 71 % 89, doc_id * 13 % 83]) AS util FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY util DESC, i) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY util, i) AS w FROM u) SELECT doc_id, max(name) FILTER (WHERE b = 1) AS best, max(name) FILTER (WHERE w = 1) AS worst FROM r GROUP BY 1 HAVING max(util) - min(util) >= 30")
@@ -207,18 +206,16 @@ def levels_to_coarse(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") <= 1, "L01").when(F.col("turn") <= 4, "L24").alias("coarse"))
 
 
-@query("dep_adjust_k", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN greatest(8 - 2, 2) WHEN 1 THEN 8 + 2 ELSE 8 END AS text_k, CASE doc_id % 4 WHEN 3 THEN 4 + 2 WHEN 1 THEN greatest(4 - 2, 2) ELSE 4 END AS image_k FROM documents")
+@query("dep_adjust_k", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 6 WHEN 1 THEN 10 ELSE 8 END AS text_k, CASE doc_id % 4 WHEN 3 THEN 5 WHEN 1 THEN 2 ELSE 3 END AS image_k FROM documents")
 def dep_adjust_k(spark, sf):
-    lv = F.col("doc_id") % 4
-    up, down = lambda k: F.lit(k) + 2, lambda k: F.greatest(F.lit(k) - 2, F.lit(2))
-    return table(spark, sf, "documents").select("doc_id", F.when(lv == 3, down(8)).when(lv == 1, up(8)).otherwise(8).alias("text_k"), F.when(lv == 3, up(4)).when(lv == 1, down(4)).otherwise(4).alias("image_k"))
+    t, i = D.adjusted_k(F.concat(F.lit("R"), (F.col("doc_id") % 4).cast("string")), 8, 3)
+    return table(spark, sf, "documents").select("doc_id", t.alias("text_k"), i.alias("image_k"))
 
 
 @query("density_score", "SELECT doc_id, round([0.1, 0.3, 0.5, 0.7, 0.9][1 + doc_id % 5]::DOUBLE + greatest(-0.08, least(0.08, 0.16 * ((doc_id * 37 % 101) / 100.0::DOUBLE - 0.5))), 6) AS score FROM documents")
 def density_score(spark, sf):
-    base = F.element_at(F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9))), (F.col("doc_id") % 5 + 1).cast("int"))
-    off = F.greatest(F.lit(-0.08), F.least(F.lit(0.08), 0.16 * (F.col("doc_id") * 37 % 101 / 100.0 - 0.5)))
-    return table(spark, sf, "documents").select("doc_id", F.round(base + off, 6).alias("score"))
+    level, raw = F.concat(F.lit("L"), (F.col("doc_id") % 5).cast("string")), F.col("doc_id") * 37 % 101 / 100.0
+    return table(spark, sf, "documents").select("doc_id", F.round(D.density_score(level, raw, {"L0": 0.1, "L1": 0.3, "L2": 0.5, "L3": 0.7, "L4": 0.9}), 6).alias("score"))
 
 
 @query("page_context", f"WITH {BLOCKS} SELECT a.block_id, count(*) AS n_items, sum(b.char_length) AS chars FROM blocks a JOIN blocks b ON a.doc = b.doc AND b.page_idx BETWEEN a.page_idx AND a.page_idx + 1 GROUP BY 1")
@@ -247,10 +244,12 @@ def run_trajectory(spark, sf):
     return A.trajectories(QS.run(spark, sf, 10, 40), 3, 5)
 
 
-@query("image_explode", "SELECT page_id, i AS pos, 'p' || page_id || '_' || i AS image_id FROM (SELECT page_id, unnest(range(0, page_id % 4)) AS i FROM pages)")
+@query("image_explode", "SELECT page_id, i AS pos, 'p' || page_id || '_' || i AS image_id FROM (SELECT page_id, unnest(range(0, page_id % 4)) AS i FROM pages) WHERE i <> 1")
 def image_explode(spark, sf):
-    p = table(spark, sf, "pages").where("page_id % 4 > 0").select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 4 - 1)).alias("pos"))
-    return p.select("page_id", "pos", F.format_string("p%d_%d", "page_id", "pos").alias("image_id"))
+    """A sample's images as rows; the second has a blank path and goes."""
+    image = lambda i: F.struct(F.concat_ws("_", F.concat(F.lit("p"), F.col("page_id")), i.cast("string")).alias("image_id"), F.when(i == 1, " ").otherwise(F.col("url")).alias("image_path"))
+    images = F.when(F.col("page_id") % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 4 - 1), image))
+    return B.image_rows(table(spark, sf, "pages").withColumn("images", images), "images").select("page_id", "pos", "image_id")
 
 
 def candidates(spark, sf):

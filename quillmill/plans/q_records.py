@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import build as B
+from ..operators import dataset as D
 from ..operators import records as R
 from .base import BLOCKS, blocks, query, table
 
@@ -51,8 +53,7 @@ def format_evidence(spark, sf):
 @query("build_query_text", "SELECT item_id, text || chr(10) || 'A. x' || chr(10) || 'B. ' || item_id AS q FROM benchmark")
 def build_query_text(spark, sf):
     o = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.col("item_id").cast("string"))
-    body = F.array_join(F.transform(F.map_entries(o), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
-    return table(spark, sf, "benchmark").select("item_id", F.concat_ws("\n", "text", body).alias("q"))
+    return table(spark, sf, "benchmark").select("item_id", B.question_text(F.col("text"), o).alias("q"))
 
 
 @query("anchor_score", "SELECT doc_id, round(s, 6) AS score, least(r, CASE WHEN s >= 0.6 THEN 'A' WHEN s >= 0.35 THEN 'B' ELSE 'C' END) AS final FROM (SELECT doc_id, CASE WHEN a >= 1 AND l >= 1 AND d >= 1 THEN 'A' WHEN a >= 1 OR l >= 1 THEN 'B' ELSE 'C' END AS r, least(1.0, greatest(0.0, 0.4 * least(a / 2.0, 1) + 0.4 * least(l / 2.0, 1) + 0.2 * 0.5 - 0.1 * (doc_id % 2) - 0.05 * 0.0))::DOUBLE AS s FROM (SELECT doc_id, doc_id % 3 AS a, doc_id % 4 AS l, doc_id % 5 AS d FROM documents))")
@@ -70,7 +71,9 @@ def softmax(spark, sf):
 
 @query("update_labels", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def update_labels(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    """Labels filled in by key; repeated or unknown keys are errors."""
+    rows = table(spark, sf, "documents").select("doc_id", F.lit(None).cast("long").alias("quality"))
+    return D.backfilled(rows, table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"], "quality").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 @query("first_n_nonblank", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE trim(text) <> '') WHERE rn <= 3")
@@ -86,3 +89,20 @@ def resume_progress(spark, sf):
     b = blocks(spark, sf).select("block_id", (F.col("page_idx") % 4).alias("shard"))
     x = b.join(table(spark, sf, "labels").select(F.col("doc_id").alias("block_id"), F.lit(1).alias("d")), "block_id", "left")
     return x.groupBy("shard").agg(F.count(F.lit(1)).alias("assigned"), F.count("d").alias("done")).withColumn("remaining", F.col("assigned") - F.col("done"))
+
+
+@query("label_meta", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN 'any' ELSE '' END AS main FROM documents")
+def label_meta(spark, sf):
+    """The main site: the generic tag if it is there, else the first, else empty."""
+    m = F.col("doc_id") % 3
+    t = F.when(m == 0, F.array("lang", "source")).when(m == 1, F.array(F.col("source"), F.lit("any"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "documents").select("doc_id", R.main_tag(t, "any").alias("main"))
+
+
+@query("text_functions", r"SELECT item_id, md5(trim(regexp_replace(text || chr(12288) || ' x', '[\s\x{3000}]+', ' ', 'g'))) AS clean, CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS cut, CASE WHEN length(text) > 30 THEN left(text, 27) || '...' ELSE text END AS within, regexp_extract('/a/b' || item_id || '/c.txt', '[^/]+$') AS base FROM benchmark")
+def text_functions(spark, sf):
+    """White space of all scripts collapsed; both ways to cut a text; a path's last part."""
+    from ..functions import text as T
+
+    t = F.concat("text", F.lit("\u3000 x"))
+    return table(spark, sf, "benchmark").select("item_id", F.md5(T.normalize(t)).alias("clean"), T.truncate(F.col("text"), 30).alias("cut"), T.truncate_within(F.col("text"), 30).alias("within"), T.base_name(F.concat(F.lit("/a/b"), F.col("item_id").cast("string"), F.lit("/c.txt"))).alias("base"))

@@ -24,9 +24,12 @@ def scan_replay(spark, sf):
     return io.replay(rec, b.select("item_id", F.upper("text").alias("query")).withColumn("query", F.lower("query"))).select("item_id", F.col("results").alias("hit"))
 
 
-@query("scan_pdf_text", "SELECT doc_id, 'en' AS lang FROM documents")
+@query("scan_pdf_text", "SELECT doc_id, ['en', 'ja', 'ko', 'zh', 'en'][doc_id % 5 + 1] AS lang FROM documents")
 def scan_pdf_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", io.language_of(F.substring("text", 1, 2000)).alias("lang"))
+    """The language of a sample of the first pages, by its scripts."""
+    texts = F.array(*map(F.lit, ("plain English words", "これはテストです", "한국어 문장", "这是中文文本", "mostly English with 中")))
+    t = F.concat(F.get(texts, (F.col("doc_id") % 5).cast("int")), F.repeat(F.lit(" "), 3))
+    return table(spark, sf, "documents").select("doc_id", io.language_of(F.substring(t, 1, 2000)).alias("lang"))
 
 
 @query("first_answer_letter", "SELECT doc_id, nullif(upper(chr((65 + doc_id % 7)::INT)), 'G') AS letter FROM documents")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.dataset import greedy_parts
 from ..operators.running import running_total
 
 SCHEMES = ("drop", "raise", "count")
@@ -188,21 +189,8 @@ def write_packed(lines: DataFrame, path: str, most_bytes: int) -> DataFrame:
     batches. A line longer than a part is a part of its own.
     """
 
-    def parts(key, batches):
-        import pandas as pd
-
-        part, used = 0, 0
-        for d in batches:
-            size = d["value"].str.encode("utf-8").str.len().to_numpy() + 1
-            out = []
-            for n in size:
-                if used and used + n > most_bytes:
-                    part, used = part + 1, 0
-                used += n
-                out.append(part)
-            yield pd.DataFrame({"file": d["file"], "part": out, "line": d["line"], "value": d["value"]})
-
-    placed = lines.select("file", "line", "value").groupBy("file").applyInPandas(lambda d: next(parts(None, iter([d.sort_values("line")]))), "file string, part long, line long, value string")
+    sized = lines.select("file", "line", "value", (F.octet_length("value") + 1).cast("long").alias("size"))
+    placed = greedy_parts(sized, "file", "line", "size", most_bytes).drop("size")
     placed.repartition("file", "part").sortWithinPartitions("file", "part", "line").write.partitionBy("file", "part").parquet(path)
     back = lines.sparkSession.read.parquet(path)
     body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
