@@ -75,9 +75,9 @@ def stage1_reason(blocks: DataFrame, min_length: int = 5, dedup: bool = True, pr
     return d.drop("s")
 
 
-def signals(text: Column, length: Column, version: int = 1) -> tuple[Column, Column]:
-    """(names, score) of the weighted signs that a block needs review; version 2 has three more signs and wider limits."""
-    s = T.normalize(text)
+def signals(text: Column, length: Column, version: int = 1, normal: bool = False) -> tuple[Column, Column]:
+    """(names, score) of the weighted signs that a block needs review; version 2 has three more signs and wider limits. normal: the text is normalised already."""
+    s = text if normal else T.normalize(text)
     wide = version == 2
     latin, cjk = T.count(s, "[A-Za-z]"), T.count(s, f"[{T.CJK}]")
     found = [
@@ -111,10 +111,13 @@ def review_candidates(blocks: DataFrame, min_score: int = 2, limit: int | None =
 
 def stage2_decision(blocks: DataFrame, candidate_score: int = 2) -> DataFrame:
     """Adds action (keep, drop, rewrite, llm), reason, score and quality (null for what a model decides)."""
-    s, ln = T.normalize(F.col("text")), F.col("char_length")
-    _, score = signals(F.col("text"), ln, 2)
-    cjk, latin, bad, ratio = T.count(s, f"[{T.CJK}]"), T.count(s, "[A-Za-z]"), T.count(s, BAD_CHARS), T.symbol_ratio(s)
-    medical, action, outcome, latex = holds(s, MEDICAL), holds(s, ACTION), holds(s, OUTCOME), holds(s, LATEX)
+    # what several rules look at is computed once for a row
+    blocks = blocks.withColumn("_s", T.normalize(F.col("text")))
+    s, ln = F.col("_s"), F.col("char_length")
+    counts = {"_cjk": T.count(s, f"[{T.CJK}]"), "_latin": T.count(s, "[A-Za-z]"), "_bad": T.count(s, BAD_CHARS), "_ratio": T.symbol_ratio(s), "_medical": holds(s, MEDICAL), "_action": holds(s, ACTION), "_outcome": holds(s, OUTCOME), "_latex": holds(s, LATEX)}
+    blocks = blocks.withColumns(counts)
+    _, score = signals(s, ln, 2, True)
+    cjk, latin, bad, ratio, medical, action, outcome, latex = map(F.col, counts)
     rules = [
         (s == "", "drop", "empty_text"),
         (ln <= 3, "drop", "very_short"),
@@ -136,7 +139,7 @@ def stage2_decision(blocks: DataFrame, candidate_score: int = 2) -> DataFrame:
     d = blocks.withColumn("reason", reason).withColumn("score", score).withColumn("action", act)
     low = F.col("action").isNull() & (F.col("score") < candidate_score)
     quality = F.when(F.col("action") == "drop", 5).when(F.col("reason") == "long_semantic_sentence", 85).when(low, 70)
-    return d.withColumns({"quality": quality, "reason": F.when(low, "low_risk_after_candidate_filter").otherwise(F.col("reason")), "action": F.when(low, "keep").otherwise(F.coalesce("action", F.lit("llm")))})
+    return d.withColumns({"quality": quality, "reason": F.when(low, "low_risk_after_candidate_filter").otherwise(F.col("reason")), "action": F.when(low, "keep").otherwise(F.coalesce("action", F.lit("llm")))}).drop("_s", *counts)
 
 
 def rewrite_or_keep(old: Column, new: Column) -> Column:

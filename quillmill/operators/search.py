@@ -19,12 +19,16 @@ def top_k(hits: DataFrame, k: int, keys: list[str], score: str = "score", ties:
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def corpus_stats(tokens: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row n, avgdl; token, df) of tokens(docid, token); docs: all docids, also those without tokens."""
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """docid, token, tf of tokens(docid, token): what all statistics and postings are made from. Written once, it spares them the texts."""
+    return tokens.groupBy("docid", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def corpus_stats(terms: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row n, avgdl; token, df) of terms(docid, token, tf); docs: all docids, also those without tokens."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    stats = n.crossJoin(tokens.agg(F.count(F.lit(1)).alias("total"))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    df = tokens.groupBy("token").agg(F.count_distinct("docid").alias("df"))
-    return stats, df
+    stats = n.crossJoin(terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    return stats, terms.groupBy("token").agg(F.count("docid").alias("df"))
 
 
 def idf(df: DataFrame, stats: DataFrame, least_df: int = 1, floor: float = 0.0) -> DataFrame:
@@ -33,11 +37,10 @@ def idf(df: DataFrame, stats: DataFrame, least_df: int = 1, floor: float = 0.0)
     return df.where(F.col("df") >= least_df).crossJoin(F.broadcast(stats.select("n"))).select("token", "df", F.greatest(value, F.lit(floor)).alias("idf"))
 
 
-def bm25_vectors(tokens: DataFrame, weights: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_vectors(terms: DataFrame, weights: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """docid, token, weight; zero weights go, which drops the postings of the most frequent tokens before any join."""
-    tf = tokens.groupBy("docid", "token").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tokens.groupBy("docid").agg(F.count(F.lit(1)).alias("dl"))
-    x = tf.join(weights.where("idf > 0"), "token").join(dl, "docid").crossJoin(F.broadcast(stats.select("avgdl")))
+    dl = terms.groupBy("docid").agg(F.sum("tf").alias("dl"))
+    x = terms.join(weights.where("idf > 0"), "token").join(dl, "docid").crossJoin(F.broadcast(stats.select("avgdl")))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     return x.select("docid", "token", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 

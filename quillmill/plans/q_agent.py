@@ -182,9 +182,10 @@ def hybrid_batch_override(spark, sf):
 @query("hybrid_rescore", f"WITH {QS.SPARSE}, {QS._ranked('dense', QS.DOT, 20)}, pool AS (SELECT qid, docid FROM sparse JOIN embeddings e ON e.vec_id = sparse.docid UNION SELECT qid, docid FROM dense), d AS (SELECT p.qid, p.docid, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS dense FROM pool p JOIN embeddings q ON q.vec_id = p.qid JOIN embeddings v ON v.vec_id = p.docid), s AS (SELECT d.qid, d.docid, sum(qv.weight * post.weight) AS sparse FROM d JOIN qv ON qv.qid = d.qid JOIN post ON post.docid = d.docid AND post.token = qv.token GROUP BY 1, 2) SELECT * FROM (SELECT qid, docid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS rank FROM (SELECT qid, docid, 0.75 * dense + 0.25 * coalesce(sparse, 0) AS score FROM d LEFT JOIN s USING (qid, docid))) WHERE rank <= 20")
 def hybrid_rescore(spark, sf):
     """Exact scores of both kinds over the union of both sides' candidates; weights 3 and 1 made to sum to 1."""
-    stats, w = QS.weights(spark, sf)
+    t = QS.terms(spark, sf)
+    stats, w = QS.weights(spark, sf, t)
     qv = S.query_vectors(QS.query_tokens(spark, sf), w)
-    post = S.bm25_vectors(QS.tokens(spark, sf), w, stats)
+    post = S.bm25_vectors(t, w, stats)
     sparse = QS.sparse_hits(spark, sf, 20).select("qid", "docid").join(QS.corpus(spark, sf).select("docid"), "docid", "left_semi").select("qid", "docid")
     pool = sparse.unionByName(QS.run(spark, sf, 20).select("qid", "docid"))
     got = S.rescore(pool, QS.queries(spark, sf), QS.corpus(spark, sf), qv, post, 3.0, 1.0, 20)

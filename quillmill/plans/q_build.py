@@ -146,7 +146,7 @@ def tokens_in_vocab(spark, sf):
     from ..operators import search as S
     from ..operators import validate as V
 
-    _, df = S.corpus_stats(QS.tokens(spark, sf), fixture(spark, sf, "SELECT doc_id FROM T_documents"))
+    _, df = S.corpus_stats(QS.terms(spark, sf), fixture(spark, sf, "SELECT doc_id FROM T_documents"))
     q = fixture(spark, sf, "SELECT item_id, text FROM T_benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
     return V.in_vocabulary(q, df.where("df >= 3")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("d"))
 
@@ -157,9 +157,10 @@ def sparse_rebuild(spark, sf):
     from ..operators import search as S
     from ..sources import io
 
-    stats, w = QS.weights(spark, sf)
+    t = QS.terms(spark, sf)
+    stats, w = QS.weights(spark, sf, t)
     path = io.scratch(spark, "sparse")
-    v = S.bm25_vectors(QS.tokens(spark, sf), w, stats)
+    v = S.bm25_vectors(t, w, stats)
     v.groupBy("docid").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse")).write.parquet(path)
     back = spark.read.parquet(path)
     return back.select("docid", F.size("sparse").cast("long").alias("n_terms"), F.round(F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

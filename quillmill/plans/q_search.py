@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import fuse as U
 from ..operators import search as S
+from ..sources import io
 from .base import query, table, vectors
 
 TOK = r"tok AS (SELECT doc_id AS docid, unnest(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+')) AS token FROM documents), qtok AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9’''_\-]+')) AS token FROM benchmark WHERE item_id % 50 = 0)"
@@ -39,20 +40,25 @@ def query_tokens(spark, sf):
     return table(spark, sf, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("qid"), F.explode(T.tokens_en(F.col("text"), None)).alias("token"))
 
 
-def weights(spark, sf):
-    stats, df = S.corpus_stats(tokens(spark, sf), table(spark, sf, "documents"))
+def terms(spark, sf):
+    """Term counts of all documents, written once: statistics, lengths and postings read them, not the texts."""
+    path = io.scratch(spark, "terms")
+    S.term_counts(tokens(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def weights(spark, sf, t=None):
+    stats, df = S.corpus_stats(terms(spark, sf) if t is None else t, table(spark, sf, "documents"))
     return stats, S.idf(df, stats)
 
 
 def sparse_hits(spark, sf, k=20):
-    stats, w = weights(spark, sf)
+    t = terms(spark, sf)
+    stats, w = weights(spark, sf, t)
     # only the postings of query tokens are needed, so they are weighed alone
     qv = S.query_vectors(query_tokens(spark, sf), w)
-    t = tokens(spark, sf)
-    wanted = qv.select("token").distinct()
-    dl = t.groupBy("docid").agg(F.count(F.lit(1)).alias("dl"))
-    tf = t.join(F.broadcast(wanted), "token", "left_semi").groupBy("docid", "token").agg(F.count(F.lit(1)).alias("tf"))
-    x = tf.join(qv.select("qid", "token", "weight"), "token").join(dl, "docid").crossJoin(F.broadcast(stats.select("avgdl")))
+    dl = t.groupBy("docid").agg(F.sum("tf").alias("dl"))
+    x = t.join(qv.select("qid", "token", "weight"), "token").join(dl, "docid").crossJoin(F.broadcast(stats.select("avgdl")))
     wd = F.col("weight") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     return S.top_k(x.groupBy("qid", "docid").agg(F.sum(F.col("weight") * wd).alias("score")), k, ["qid"])
 
@@ -75,7 +81,7 @@ def run(spark, sf, k=50, part=None, metric="IP"):
 def qrels(spark, sf):
     e = vectors(spark, sf)
     q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "label")
-    return e.select(F.col("vec_id").alias("docid"), "label").join(F.broadcast(q), "label").where("qid <> docid").select("qid", "docid", (1 + (F.col("qid") % 2 == F.col("docid") % 2).cast("int")).alias("rel"))
+    return e.select(F.col("vec_id").alias("docid"), "label").join(q, "label").where("qid <> docid").select("qid", "docid", (1 + (F.col("qid") % 2 == F.col("docid") % 2).cast("int")).alias("rel"))
 
 
 def signalled(spark, sf):
@@ -90,19 +96,19 @@ def r6(df, *cols):
 
 @query("agg_corpus_stats", f"WITH {STATS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_tokens, (SELECT sum(df) FROM df) AS sum_df FROM st")
 def agg_corpus_stats(spark, sf):
-    stats, df = S.corpus_stats(tokens(spark, sf), table(spark, sf, "documents"))
+    stats, df = S.corpus_stats(terms(spark, sf), table(spark, sf, "documents"))
     return stats.crossJoin(df.agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("sum_df"))).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("agg_vocab", f"WITH {STATS} SELECT token, df FROM df WHERE df >= 2 ORDER BY df DESC, token LIMIT 1000")
 def agg_vocab(spark, sf):
-    _, df = S.corpus_stats(tokens(spark, sf), table(spark, sf, "documents"))
+    _, df = S.corpus_stats(terms(spark, sf), table(spark, sf, "documents"))
     return df.where("df >= 2").orderBy(F.desc("df"), "token").limit(1000)
 
 
 @query("agg_df_realign", f"WITH {STATS}, v AS (SELECT token, (hash_id % 1000) AS token_id, df FROM (SELECT token, df, ('0x' || substr(sha1(token), 1, 8))::BIGINT AS hash_id FROM df)) SELECT token_id, max(df) AS df FROM v GROUP BY 1")
 def agg_df_realign(spark, sf):
-    _, df = S.corpus_stats(tokens(spark, sf), table(spark, sf, "documents"))
+    _, df = S.corpus_stats(terms(spark, sf), table(spark, sf, "documents"))
     return df.groupBy((F.conv(F.substring(F.sha1("token"), 1, 8), 16, 10).cast("long") % 1000).alias("token_id")).agg(F.max("df").alias("df"))
 
 
@@ -113,8 +119,9 @@ def bm25_idf(spark, sf):
 
 @query("bm25_doc_vector", f"WITH {POST} SELECT docid, count(*) AS n_terms, round(sum(weight), 4) AS total, round(max(weight), 6) AS top FROM post GROUP BY 1")
 def bm25_doc_vector(spark, sf):
-    stats, w = weights(spark, sf)
-    v = S.bm25_vectors(tokens(spark, sf), w, stats)
+    t = terms(spark, sf)
+    stats, w = weights(spark, sf, t)
+    v = S.bm25_vectors(t, w, stats)
     return v.groupBy("docid").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 

@@ -191,3 +191,36 @@ def test_strict_join_fails_on_a_miss(spark):
     assert B.strict_join(a, a.withColumn("v", F.lit(1)), "k").count() == 5
     with pytest.raises(Exception, match="no row for"):
         B.strict_join(a, a.where("k < 4").withColumn("v", F.lit(1)), "k").collect()
+
+
+def test_plug_ins(spark):
+    from quillmill.operators import plugins as P
+
+    def factory():
+        return lambda xs: [[float(len(x)), 1.0] for x in xs]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(200)], "id long, text string")
+    got = {r.id: r.vec for r in P.encoded(rows, "text", "lengths", factory, batch=7).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(200)}
+    cache = rows.where("id < 50").select("id", F.lit(0.5).alias("score"))
+    judged = P.only_missing(rows, cache, "id", lambda d: P.scored(d, "text", "judge", lambda: lambda xs: [float(len(x)) for x in xs]).select("id", "score"))
+    assert {r.id: r.score for r in judged.collect()} == {i: 0.5 if i < 50 else float(i) for i in range(200)}
+    tools = P.Registry()
+    tools.add("search", lambda q: [q])
+    tools.add("fail", lambda: 1 / 0)
+    assert tools.call("search", "a") == (True, ["a"])
+    assert tools.call("none") == (False, "unknown tool 'none'; use one of ['fail', 'search']")
+    assert tools.call("fail") == (False, "tool execution error: division by zero")
+
+
+def test_order_statistics_and_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g in ("a", "b") for x in np.round(rng.normal(0, 5, 700), 2)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    n = F.col("n")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in E.order_statistics(df, ["g"], "v", {"lo": n * 0, "mid": F.floor(n / 2), "hi": n - 1}, cells=16).collect()}
+    for g in "abc":
+        v = sorted(x for h, x in rows if h == g)
+        assert got[g] == (v[0], v[len(v) // 2], v[-1])
+    parts = D.greedy_parts(spark.createDataFrame([("f", i, n) for i, n in enumerate([5, 5, 1, 20, 2, 9, 3])], "g string, i int, n int"), "g", "i", "n", 10)
+    assert [r.part for r in parts.orderBy("i").collect()] == [0, 0, 1, 2, 3, 4, 5]
