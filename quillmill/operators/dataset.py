@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_hash
+from .running import ranked_by_hash, same
 
 
 def seeded(seed: str, key: Column) -> Column:
@@ -28,18 +29,20 @@ def split_by_digest(digest: Column) -> Column:
 
 
 def ranked(rows: DataFrame, by: list[str], key: str, seed: str, out: str = "rn") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
-    return rows.withColumn(out, F.row_number().over(w))
+    """rows with their place from 1 in their group's seeded order; a large group is ranked in cells of its hashes."""
+    return ranked_by_hash(rows.withColumn("_h", seeded(seed, F.col(key))), "_h", [key], out, by).drop("_h")
 
 
 def sample_per(rows: DataFrame, by: list[str], key: str, n: int, seed: str) -> DataFrame:
-    return ranked(rows, by, key, seed).where(F.col("rn") <= n).drop("rn")
+    """The first n of each group; the limit holds before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
 def split_stratified(rows: DataFrame, by: list[str], key: str, seed: str, share: float = 0.1) -> DataFrame:
     """Adds split: of each stratum round-half-even(share * n), 1 at least, to test and to val; strata under 3 rows all train."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    d = ranked(rows, by, key, seed).withColumn("_n", n)
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    d = ranked(rows, by, key, seed).alias("x").join(n.alias("n"), same("x", "n", by)).select("x.*", "_n")
     k = F.greatest(F.bround(F.col("_n") * share), F.lit(1))
     split = F.when(F.col("_n") < 3, "train").when(F.col("rn") <= k, "test").when(F.col("rn") <= 2 * k, "val").otherwise("train")
     return d.withColumn("split", split).drop("rn", "_n")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,24 +84,23 @@ def stars(p: Column) -> Column:
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7, strata: list[str] | None = None) -> DataFrame:
     """delta, low, high (2.5 and 97.5 percentiles) of mean(b) - mean(a) over resampled pairs.
 
-    A resample draws, for every pair, a Poisson(1) weight from a hash of (seed, resample, key): distributed, repeatable
-    and free of order. pairs: key, a, b (booleans). With strata, each stratum's share of the mean is held fixed.
+    A resample of n pairs with replacement is a draw from the multinomial distribution of how many pairs gain, lose
+    and stay; so only those counts are resampled, for each stratum with a generator of its own. pairs: key, a, b (booleans). With
+    strata, each stratum's share of the mean is held fixed.
     """
     diff = F.col("b").cast("int") - F.col("a").cast("int")
     keys = strata or []
-    cells = pairs.select(*keys, "key", diff.alias("d"))
-    draws = cells.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "key"), F.lit(1_000_003)) / 1_000_003.0
-    cuts, total, p = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = F.lit(0)
-    for c in cuts:
-        weight = weight + (u > c).cast("int")
-    sums = draws.withColumn("w", weight).groupBy("r", *keys).agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"))
-    means = sums.groupBy("r").agg((F.sum(F.col("s") / F.greatest("n", F.lit(1)) * F.col("m")) / F.sum("m")).alias("x"))
+    counts = pairs.groupBy(*keys).agg(F.count_if(diff < 0).alias("less"), F.count_if(diff == 0).alias("same"), F.count_if(diff > 0).alias("more"))
+    marked = counts.select(F.xxhash64(F.lit(seed), *keys).alias("mark"), "less", "same", "more")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for mark, *n in d.itertuples(index=False):
+                total = sum(n)
+                got = np.random.default_rng([seed, mark % (1 << 63)]).multinomial(total, np.array(n) / total, resamples)
+                yield pd.DataFrame({"r": np.arange(resamples), "s": (got[:, 2] - got[:, 0]).astype(float), "m": total})
+
+    means = marked.mapInPandas(draw, "r long, s double, m long").groupBy("r").agg((F.sum("s") / F.sum("m")).alias("x"))
     ci = means.agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
     return pairs.agg(F.avg(diff).alias("delta")).crossJoin(ci)
 

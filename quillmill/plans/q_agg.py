@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import agent as A
 from ..operators import curate as K
 from ..operators import evaluate as E
+from ..operators.running import running_total, same
 from .base import query, table
 
 RES = "res AS (SELECT d.doc_id AS qid, d.lang AS scene, d.source AS task, quality = 1 AS a, toxic = 1 AS b, d.n_chars AS n_chars, (d.doc_id * 7919 % 1000) / 1000.0::DOUBLE AS logp, ['ACCEPT', 'REWRITE', 'STOP'][1 + d.doc_id % 3] AS action FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
@@ -135,7 +136,10 @@ def agg_slope(spark, sf):
 
 @query("agg_train_log", "WITH h AS (SELECT event_type, value, ntile(2) OVER (PARTITION BY event_type ORDER BY event_id) AS half FROM events) SELECT event_type, round(avg(value) FILTER (WHERE half = 1), 6) AS early, round(avg(value) FILTER (WHERE half = 2), 6) AS late FROM h GROUP BY 1")
 def agg_train_log(spark, sf):
-    h = table(spark, sf, "events").withColumn("half", F.ntile(2).over(Window.partitionBy("event_type").orderBy("event_id")))
+    """The earlier and the later half of each type's records, parted at an order statistic (the earlier one takes the odd one)."""
+    e = table(spark, sf, "events").select("event_type", "event_id", "value")
+    cut = E.order_statistics(e, ["event_type"], "event_id", {"cut": F.floor((F.col("n") + 1) / 2) - 1})
+    h = e.join(cut, "event_type").withColumn("half", F.when(F.col("event_id") <= F.col("cut"), 1).otherwise(2))
     return h.groupBy("event_type").agg(F.round(F.avg(F.when(F.col("half") == 1, F.col("value"))), 6).alias("early"), F.round(F.avg(F.when(F.col("half") == 2, F.col("value"))), 6).alias("late"))
 
 
@@ -238,7 +242,10 @@ def win_monotone(spark, sf):
 
 @query("win_percentile_rank", f"WITH {RES} SELECT r.qid, round(100.0 * (SELECT count(*) FROM res x WHERE x.logp <= r.logp AND x.scene = r.scene) / (SELECT count(*) FROM res y WHERE y.scene = r.scene), 6) AS pct FROM res r")
 def win_percentile_rank(spark, sf):
-    return results(spark, sf).select("qid", F.round(100.0 * F.cume_dist().over(Window.partitionBy("scene").orderBy("logp")), 6).alias("pct"))
+    r = results(spark, sf).select("qid", "scene", "logp", F.lit(1).alias("one"))
+    total = r.groupBy("scene").agg(n().alias("n"))
+    upto = running_total(r, "logp", "one", "c", ["scene"])
+    return upto.alias("x").join(total.alias("t"), same("x", "t", ["scene"])).select("qid", F.round(100.0 * F.col("c") / F.col("n"), 6).alias("pct"))
 
 
 @query("win_last_wins", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")

@@ -224,3 +224,14 @@ def test_order_statistics_and_parts(spark):
         assert got[g] == (v[0], v[len(v) // 2], v[-1])
     parts = D.greedy_parts(spark.createDataFrame([("f", i, n) for i, n in enumerate([5, 5, 1, 20, 2, 9, 3])], "g string, i int, n int"), "g", "i", "n", 10)
     assert [r.part for r in parts.orderBy("i").collect()] == [0, 0, 1, 2, 3, 4, 5]
+
+
+def test_bootstrap_interval(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, bool(a), bool(b), f"s{i % 3}") for i, (a, b) in enumerate(zip(rng.random(3000) < 0.5, rng.random(3000) < 0.55, strict=True))]
+    df = spark.createDataFrame(rows, "key long, a boolean, b boolean, s string")
+    d = np.array([r[2] - 0.0 - r[1] for r in rows])
+    for strata in (None, ["s"]):
+        r = E.paired_bootstrap(df, 2000, strata=strata).first()
+        half = 1.96 * d.std() / np.sqrt(len(d))
+        assert r.delta == pytest.approx(d.mean()) and r.low == pytest.approx(d.mean() - half, abs=0.1 * half) and r.high == pytest.approx(d.mean() + half, abs=0.1 * half)
