@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .line_dedup import filter_bits, in_filter, twice_seen
 
 LEAST_TILE = 5
 COVERAGE = 0.5
-#: Characters of test items that are sent to the executors at once; more items take more passes.
+#: Characters of test items that are sent to the executors; more are joined by their seeds.
 BLOCK_CHARS = 16_000_000
 #: Seed pairs of a document held at once.
 PAIRS = 1_000_000
@@ -140,17 +142,75 @@ class Tests:
         return np.stack([item[new], shift[new], i[new], np.diff(np.append(new, len(i)))], axis=1)
 
 
-def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size, read one partition at a time."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r["text"] or "") > most_chars:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"] or ""))
-        size += len(r["text"] or "")
-    if held:
-        yield held
+def _seeds(text: str, least: int) -> np.ndarray:
+    """Distinct Karp-Rabin hashes of a text's windows of `least` words, the words taken by their own hashes."""
+    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in tokens(text)), np.uint64)
+    return np.unique(running_hashes(words, least))
+
+
+def _seeds_of(texts: list[str], least: int) -> np.ndarray:
+    # given twice, each is in the filter of what was seen twice
+    return np.repeat(np.concatenate([*(_seeds(t, least) for t in texts), np.zeros(0, np.uint64)]), 2)
+
+
+def _seed_rows(least: int, sent=None):
+    """(seed, key) of each distinct seed of a text; with a filter only of those in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.parts(batches):
+            found = [_seeds(t, least) for t in b.column(1).to_pylist()]
+            if sent is not None:
+                found = [x[in_filter(sent.value, x)] for x in found]
+            key = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(key)], ["seed", "key"])
+
+    return run
+
+
+def _tiled_pairs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, item, text, test in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += [(key, item, n, c, m) for _, n, c, m in Tests([(None, test)], least).against(text)]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "item", "n_tiles", "covered", "item_words"])
+
+    return run
+
+
+def held_pairs(docs: DataFrame, items: DataFrame, least: int, coverage: float, most_bits: int = 1 << 28) -> DataFrame:
+    """key, item, n_tiles, covered, item_words of each pair covered to at least `coverage`; docs and items: key, text.
+
+    For a benchmark that is too large to send. Seeds of the items make up a Bloom filter (at most most_bits); document seeds
+    that pass it are joined with the items' seeds, and each pair that shares one is tiled by itself. A seed that very
+    many documents hold is split by Spark, for both sides of its join are staged.
+    """
+    words = items.select("text")
+    bits = filter_bits(items.count(), 4096, most_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(words, lambda texts: _seeds_of(texts, least), bits))
+    mine = C.stage(docs.select("key", "text").mapInArrow(_seed_rows(least, sent), "seed long, key long"), "seeds")
+    theirs = C.stage(items.select("key", "text").mapInArrow(_seed_rows(least), "seed long, key long").withColumnRenamed("key", "item"), "seeds")
+    pairs = C.stage(mine.join(theirs, "seed").select("key", "item").distinct(), "pairs")
+    both = pairs.join(docs.select("key", "text"), "key").join(items.select(F.col("key").alias("item"), F.col("text").alias("test")), "item")
+    tiled = both.select("key", "item", "text", "test").mapInArrow(_tiled_pairs(least), "key long, item long, n_tiles long, covered long, item_words long")
+    return tiled.where(F.col("covered") >= F.col("item_words") * coverage)
+
+
+def keyed_rows(df: DataFrame, name: str) -> DataFrame:
+    """_row (all columns), key, text, staged, so that a row's key stays its own."""
+    packed = C.packed(df)
+    return C.stage(packed.select("_row", F.monotonically_increasing_id().alias("key"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text")), name)
+
+
+def small(benchmark: DataFrame, most_chars: int) -> bool:
+    """Whether the items' texts are few enough to be sent to the executors."""
+    return (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) <= most_chars
+
+
+def collected(benchmark: DataFrame) -> list[tuple[int | None, str]]:
+    """The items of a benchmark whose size was checked, in order."""
+    return [(r["item_id"], r["text"] or "") for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_TILE, coverage: float = COVERAGE, most_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -159,24 +219,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_
     Null and empty texts, and items of under least_tile words, match nothing. Each row of docs is
     judged alone, so rows with one doc_id give their own pairs; repeated items are items of their own. Very long texts are
     held as one array of words. Of equal matches the first in the item, then in the document, is marked. Empty tables give no pairs.
+    A benchmark of at most most_chars characters goes to the executors, and documents are read once, without a shuffle; a larger one is joined by its seeds.
     """
+    if not small(benchmark, most_chars):
+        rows, items = keyed_rows(docs, "docs"), keyed_rows(benchmark, "items")
+        found = held_pairs(rows, items, least_tile, coverage)
+        ids = found.join(rows.select("key", F.col("_row.doc_id").cast("long").alias("doc_id")), "key").join(items.select(F.col("key").alias("item"), F.col("_row.item_id").cast("long").alias("item_id")), "item")
+        return ids.select("doc_id", "item_id", "n_tiles", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, n_tiles long, covered long, item_words long, coverage double"
-    out = None
-    for items in blocks(benchmark, most_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(Tests(items, least_tile))
+    sent = docs.sparkSession.sparkContext.broadcast(Tests(collected(benchmark), least_tile))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found += [(i, sent.value.ids[k], n, c, m, c / m) for k, n, c, m in sent.value.against(text) if c >= coverage * m]
-                cols = list(zip(*found, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "item_id", "n_tiles", "covered", "item_words", "coverage"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found += [(i, sent.value.ids[k], n, c, m, c / m) for k, n, c, m in sent.value.against(text) if c >= coverage * m]
+            cols = list(zip(*found, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "item_id", "n_tiles", "covered", "item_words", "coverage"])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return rows.mapInArrow(run, schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +253,16 @@ def _holds(sent):
     return holds
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, most_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that hold no test item."""
+    if not small(benchmark, most_chars):
+        rows = keyed_rows(docs, "docs")
+        gone = held_pairs(rows, keyed_rows(benchmark, "items"), LEAST_TILE, COVERAGE).select("key").distinct()
+        return rows.join(gone, "key", "left_anti").select("_row.*")
+    holds = _holds(docs.sparkSession.sparkContext.broadcast(Tests(collected(benchmark), LEAST_TILE)))
+    return C.packed(docs).where(~holds(F.coalesce(F.col("_row.text").cast("string"), F.lit("")))).select("_row.*")
+
+
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go. No shuffle: each text is judged in place."""
-    rows = C.packed(docs)
-    for items in blocks(C.read(spark, sf_dir, "benchmark")):
-        holds = _holds(spark.sparkContext.broadcast(Tests(items, LEAST_TILE)))
-        rows = rows.where(~holds(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
-    return rows.select("_row.*")
+    """Pipeline stage: documents that hold a test item go. No shuffle while the benchmark is small enough to send: each text is judged in place."""
+    return clean_rows(docs, C.read(spark, sf_dir, "benchmark"))
