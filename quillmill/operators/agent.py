@@ -76,6 +76,14 @@ def set_utility(utilities: Column) -> Column:
     return F.when(F.size(utilities) == 0, 0.0).otherwise(0.7 * mean(top) + 0.3 * mean(utilities))
 
 
+def set_utilities(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, u: set_utility of each key's values, without gathering them; the best three are limited before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.desc(value))
+    top = rows.withColumn("_n", F.row_number().over(w)).where("_n <= 3").groupBy(key).agg(F.avg(value).alias("_t"))
+    mean = rows.groupBy(key).agg(F.avg(value).alias("_m"))
+    return top.join(mean, key).select(key, (0.7 * F.col("_t") + 0.3 * F.col("_m")).alias("u"))
+
+
 def tier(valid: Column, base_correct: Column, any_flip: Column) -> Column:
     return F.when(~valid, "bad").when(base_correct, "trivial").when(any_flip, "selection").otherwise("rewrite")
 

@@ -169,8 +169,8 @@ def reward_score(spark, sf):
 
 @query("set_utility", "SELECT user_id, round(0.7 * list_avg(list_slice(list_reverse_sort(v), 1, 3)) + 0.3 * list_avg(v), 6) AS u FROM (SELECT user_id, list(ln(value + 1)) AS v FROM events GROUP BY 1)")
 def set_utility(spark, sf):
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.log(F.col("value") + 1)).alias("v"))
-    return g.select("user_id", F.round(A.set_utility(F.col("v")), 6).alias("u"))
+    u = table(spark, sf, "events").select("user_id", F.log(F.col("value") + 1).alias("v"))
+    return A.set_utilities(u, "user_id", "v").withColumn("u", F.round("u", 6))
 
 
 @query("tier_assign", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'bad' WHEN quality = 1 AND toxic = 0 THEN 'trivial' WHEN toxic = 1 THEN 'selection' ELSE 'rewrite' END AS tier FROM labels) GROUP BY 1")

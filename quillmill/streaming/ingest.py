@@ -7,32 +7,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def merge_stream(spark: SparkSession, source: str, schema: str, key: str, order: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Ingest JSON files that arrive in `source` into Parquet versions under `target`; the latest row of a key (by order) wins.
+def merge_stream(spark: SparkSession, source: str, schema: str, key: str, order: str, target: str, checkpoint: str, compact: int = 20) -> StreamingQuery:
+    """Ingest JSON files that arrive in `source` into Parquet parts under `target`; the latest row of a key (by order, then batch) wins.
 
-    Each batch writes version=<batch id> of the whole table once, so a batch that is run again replaces its own
-    version only and leaves the same rows.
+    A batch writes its own rows alone, as delta=<batch id>, so its cost grows with the batch and not with the table; run again, it
+    replaces its own part. Every `compact` batches the parts are merged to base=<batch id>, and those before the base before it go.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = current(spark, target, before=batch_id)
-        both = batch if old is None else old.unionByName(batch)
-        best = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        _latest(batch.withColumn("_part", F.lit(batch_id)), key, order).drop("_part").write.mode("overwrite").parquet(f"{target}/delta={batch_id}")
+        if (batch_id + 1) % compact == 0:
+            bases = [b for b in _parts(spark, target, "base") if b < batch_id]
+            current(spark, target, key, order, batch_id).write.mode("overwrite").parquet(f"{target}/base={batch_id}")
+            if bases:
+                _drop(spark, target, max(bases))
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a merged table, or the newest before a batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def current(spark: SparkSession, target: str, key: str, order: str, upto: int | None = None) -> DataFrame | None:
+    """The merged rows: the newest base and the deltas after it, the latest row of each key; None if nothing was written."""
+    inside = lambda x: upto is None or x <= upto
+    base = max((b for b in _parts(spark, target, "base") if upto is None or b < upto), default=-1)
+    deltas = [d for d in _parts(spark, target, "delta") if d > base and inside(d)]
+    parts = [(f"{target}/base={base}", base)] * (base >= 0) + [(f"{target}/delta={d}", d) for d in deltas]
+    if not parts:
         return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{target}/version={max(found)}") if found else None
+    # one scan of all parts, each known by its path
+    rows = spark.read.parquet(*[p for p, _ in parts]).withColumn("_part", F.regexp_extract(F.col("_metadata.file_path"), "(?:base|delta)=([0-9]+)/", 1).cast("long"))
+    return _latest(rows, key, order).drop("_part")
+
+
+def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, "_part")).alias("r")).select("r.*")
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _parts(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """The numbers of the parts of a kind that were written whole."""
+    fs, at = _fs(spark, target)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    done = [int(n.split("=")[1]) for n in names if n.startswith(kind + "=")]
+    return [d for d in done if _fs(spark, f"{target}/{kind}={d}/_SUCCESS")[0].exists(_fs(spark, f"{target}/{kind}={d}/_SUCCESS")[1])]
+
+
+def _drop(spark: SparkSession, target: str, upto: int) -> None:
+    """Delete parts that a base has taken over: bases before it, deltas up to it."""
+    for kind, last in (("base", upto - 1), ("delta", upto)):
+        for d in _parts(spark, target, kind):
+            if d <= last:
+                fs, at = _fs(spark, f"{target}/{kind}={d}")
+                fs.delete(at, True)
 
 
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:

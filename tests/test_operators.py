@@ -98,7 +98,7 @@ def test_merge_stream_keeps_the_latest(spark, tmp_path):
     put("2.json", [{"k": 1, "v": 5, "at": 2}, {"k": 2, "v": 9, "at": 0}])
     run()
     run()
-    assert sorted((r.k, r.v) for r in ingest.current(spark, str(tmp_path / "t")).collect()) == [(1, 5), (2, 1)]
+    assert sorted((r.k, r.v) for r in ingest.current(spark, str(tmp_path / "t"), "k", "at").collect()) == [(1, 5), (2, 1)]
 
 
 def test_lag_lead_over_gaps(spark):
@@ -235,3 +235,16 @@ def test_bootstrap_interval(spark):
         r = E.paired_bootstrap(df, 2000, strata=strata).first()
         half = 1.96 * d.std() / np.sqrt(len(d))
         assert r.delta == pytest.approx(d.mean()) and r.low == pytest.approx(d.mean() - half, abs=0.1 * half) and r.high == pytest.approx(d.mean() + half, abs=0.1 * half)
+
+
+def test_stream_parts_are_compacted(spark, tmp_path):
+    src, t = tmp_path / "in", str(tmp_path / "t")
+    src.mkdir()
+    want = {}
+    for i in range(7):
+        (src / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "v": 10 * i + k, "at": i}) for k in range(i % 3, 4)))
+        want |= {k: 10 * i + k for k in range(i % 3, 4)}
+        ingest.merge_stream(spark, str(src), "k int, v int, at int", "k", "at", t, str(tmp_path / "c"), compact=2).awaitTermination()
+        assert {r.k: r.v for r in ingest.current(spark, t, "k", "at").collect()} == want
+    parts = sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
+    assert parts == ["base=3", "base=5", "delta=4", "delta=5", "delta=6"]
