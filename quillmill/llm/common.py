@@ -115,11 +115,11 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches cut to rows whose texts (of that column) have about PART_BYTES, one row at least."""
+def parts(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows whose texts (of that column) have about `most` bytes, one row at least."""
     for b in batches:
         size = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
-        ends = np.append(np.flatnonzero(np.diff(size // PART_BYTES)) + 1, b.num_rows)
+        ends = np.append(np.flatnonzero(np.diff(size // most)) + 1, b.num_rows)
         for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
             yield b.slice(int(a), int(z - a))
 

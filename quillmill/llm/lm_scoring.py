@@ -10,24 +10,24 @@ the state is carried; shards train from the same start and their parameters are
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .gru import Model
+from .gru import Model, keep_freed_memory
 
 #: Words whose counts are sent to all executors at most, tokens of the recurrent model, and its sizes.
 MOST_WORDS, TOKENS, CLASSES, WIDTH = 262_144, 4096, 64, 24
 #: Documents of a shard, its tokens at most (about), and rounds of averaging.
 PER_SHARD, SHARD_TOKENS, ROUNDS = 20_000, 16_000_000, 2
-#: Entries of a task's partial counts.
-PARTIAL = 250_000
+#: Bytes of text whose words a task holds at once.
+TEXT_BYTES = 16_000_000
 END = b""
 _state: dict = {}
 
@@ -37,22 +37,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the words of texts, and of their ends (the empty word)."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, in order, and how many each text has: runs without ASCII white space, A-Z lower-cased."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = pieces.flatten(), pieces.offsets.to_numpy()
+    ends = ends - ends[0]
+    word = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    before = np.append(0, np.cumsum(word.to_numpy(zero_copy_only=False)))
+    return flat.filter(word), np.diff(before[ends])
 
-    def batch(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    held: Counter = Counter()
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            held.update(t.lower().split())
-            if len(held) > PARTIAL:
-                yield batch(held)
-                held = Counter()
-        held[END] += b.num_rows
-    if held:
-        yield batch(held)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the words of texts, and of their ends (the empty word)."""
+    for b in C.parts(batches, 0, TEXT_BYTES):
+        found = pc.value_counts(split_words(b.column(0))[0])
+        yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([b.num_rows], pa.int64())], ["word", "n"])
 
 
 class Vocabulary:
@@ -78,15 +78,9 @@ class Vocabulary:
         cuts = np.searchsorted(mass, np.linspace(0, mass[-1], classes - 1)[1:-1]) + 3 if inside else []
         self.bounds = np.unique(np.concatenate([[0, 1], [2] if inside else [], cuts, [2 + inside]]).astype(np.int64))
 
-    def index(self) -> "_Index":
-        return _Index(zip(self.words, range(len(self.words)), strict=True))
-
-
-class _Index(dict):
-    """Places of words; all that are not listed share the place after the last."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
+    def index(self) -> pa.Array:
+        """The words, to look others up in."""
+        return pa.array(self.words, pa.binary()).cast(pa.string())
 
 
 def _local(key: str, make):
@@ -119,27 +113,25 @@ def _encoded(sent, key: str):
         # a word among all others: its own share of their mass
         more = np.where(token == 0, logs - math.log10(v.other + v.other_distinct + 1), 0.0)
         scale = math.log10(v.total + v.distinct + 1)
-        for b in C.parts(batches):
-            words, size = [], []
-            for text in b.column(1).to_pylist():
-                own = text.lower().split()
-                words += own
-                words.append(END)
-                size.append(len(own) + 1)
-            n = np.array(size, np.int64)
+        for b in C.parts(batches, 1, TEXT_BYTES // 2):
+            words, size = split_words(b.column(1))
+            n = size + 1
             ends = np.cumsum(n)
             first = ends - n
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            at[ends - 1] = many + 1
-            far = np.flatnonzero(at == many)
+            place = pc.fill_null(pc.index_in(words, value_set=index), many).to_numpy()
+            at = np.full(int(n.sum()), many + 1)
+            inner = np.ones(len(at), bool)
+            inner[ends - 1] = False
+            at[inner] = place
+            far = np.flatnonzero(place == many)
             flat = token[at].astype(np.uint16).tobytes()
             row = b.column(0)
             ids = row.field("doc_id").to_pylist()
             mark = [xxhash.xxh3_64_intdigest(str(i).encode() + b" " + flat[2 * x : 2 * y]) >> 1 for i, x, y in zip(ids, first.tolist(), ends.tolist(), strict=True)]
-            rare = np.searchsorted(far, np.append(first, len(words))).astype(np.int32)
+            rare = np.searchsorted(far, np.append(np.cumsum(size) - size, len(words))).astype(np.int32)
             cols = [
                 row, pa.array(mark, pa.int64()), _binary(2 * n, flat), pa.array(n), pa.array(np.add.reduceat(known[at], first)),
-                pa.array(np.add.reduceat(logs[at], first) - scale * n), pa.array(np.add.reduceat(more[at], first)), pa.ListArray.from_arrays(rare, pa.array([words[k] for k in far.tolist()], pa.binary())),
+                pa.array(np.add.reduceat(logs[at], first) - scale * n), pa.array(np.add.reduceat(more[at], first)), pa.ListArray.from_arrays(rare, words.take(pa.array(far)).cast(pa.binary())),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["row", *(x.split()[0] for x in _ENCODED.split(", "))])
 
@@ -160,6 +152,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
         own = part.repartitionById(shards, F.pmod("mark", F.lit(shards)).cast("int")).sortWithinPartitions("mark", "tokens").select("tokens")
 
         def train(rows, sent=sent, k=k):
+            keep_freed_memory()
             found = [np.frombuffer(r[0], np.uint16) for r in rows]
             if found:
                 m = Model.__new__(Model)
@@ -177,6 +170,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
+        keep_freed_memory()
         for b in C.parts(batches):
             got = model.score([np.frombuffer(t, np.uint16) for t in b.column(1).to_pylist()], 1) / math.log(10)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 2, 3, 4)), pa.array(got + b.column(5).to_numpy())], ["row", "n_tokens", "n_known", "base", "score"])
@@ -193,7 +187,7 @@ def score_documents(docs: DataFrame, most_words: int = MOST_WORDS, tokens: int =
     word is unknown. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").alias("doc_id"), held_out().alias("held_out"), C.text_or_empty().cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("doc_id"), held_out().alias("held_out"), C.text_or_empty().alias("text"))
     learn = texts.where(~F.col("held_out"))
     counts = C.stage(learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())

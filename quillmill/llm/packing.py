@@ -292,7 +292,7 @@ def assignment(plans: list[tuple[np.ndarray, int]], room: int) -> tuple[dict[int
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, per_rank_group: int = 2_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
-    Null and empty texts are documents of the end id alone. Rows are packed one by one, so
+    Null and empty texts are documents of the end id alone; a very long text is encoded whole and cut into full sequences and a tail. Rows are packed one by one, so
     repeated rows give repeated pieces; equal pieces are interchangeable. An empty table gives no pieces.
     """
     room = length // CLASS

@@ -46,7 +46,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", t
 
     Both sides have rows key, turn, role, text. A side without rows is a conversation without turns. Turns
     are equal if role and text are (null counts as empty). Null keys never pair; repeated rows are
-    repeated turns; empty tables give an empty table. A conversation is the unit that one task holds.
+    repeated turns, ties of turn go by role, then text; empty tables give an empty table. Very long texts are rendered whole: a conversation is the unit that one task holds.
     """
     a = conversations(chosen, key).select(F.col(key).alias("_a"), F.col("turns").alias("c"))
     b = conversations(rejected, key).select(F.col(key).alias("_b"), F.col("turns").alias("r"))

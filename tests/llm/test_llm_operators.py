@@ -657,3 +657,14 @@ def test_pipeline_run_releases_what_it_staged(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0
     assert len(common._staged) - before <= len(corpus_pipeline.STAGES) + 1
+
+
+def test_words_by_arrow_are_the_plain_words():
+    import pyarrow as pa
+
+    texts = [" a  B\t\x0bc \n", "", "   ", "É ÀB　x", "a\x1cb C\x85d", "x" * 100_000 + " Y", "ÄÖ ẞ İi"]
+    words, size = lm_scoring.split_words(pa.array(["skipped", *texts])[1:])
+    want = [WORDS.findall(lower(t)) for t in texts]
+    assert words.to_pylist() == [w for x in want for w in x] and size.tolist() == [len(x) for x in want]
+    words, size = lm_scoring.split_words(pa.array([], pa.string()))
+    assert len(words) == 0 and len(size) == 0
