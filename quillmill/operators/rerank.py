@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import dot
+from .search import dot, minmax
 
 
 def pair_similarity(cands: DataFrame) -> DataFrame:
@@ -37,6 +37,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.full(len(x), 0.5) if hi - lo < 1e-12 else (x - lo) / (hi - lo)
 
 
+def restart(cands: DataFrame, beta: float = 0.5) -> DataFrame:
+    """qid, idx, r: where walks begin anew: scaled first-stage scores and similarities to the query, mixed, summing to 1 for each query."""
+    sim = cands.select("qid", "idx", "first", F.greatest(dot(F.col("emb"), F.col("qvec")), F.lit(0.0)).alias("sim"))
+    x = minmax(minmax(sim, 0.5, "first", "_f"), 0.5, "sim", "_q")
+    raw = beta * F.col("_f") + (1 - beta) * F.col("_q")
+    return x.withColumn("r", raw / F.greatest(F.sum(raw).over(Window.partitionBy("qid")), F.lit(1e-8))).select("qid", "idx", "r")
+
+
+def mmr(cands: DataFrame, k: int, redundancy: float = 0.2, bonus: float = 0.05, least_gain: float = 0.0) -> DataFrame:
+    """qid, idx, pos: a greedy choice by score less redundancy, pairs across sources favoured; always k while there are k. cands: qid, idx, emb, source, group_id, score."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        got = greedy(g["score"].to_numpy(float), np.array(g["emb"].tolist(), float), g["source"].to_numpy(), g["group_id"].to_numpy(), k, redundancy, bonus, least_gain)
+        return pd.DataFrame({"qid": g["qid"].iloc[0], "idx": g["idx"].to_numpy()[got], "pos": range(1, len(got) + 1)})
+
+    return cands.select("qid", "idx", "emb", "source", "group_id", "score").groupBy("qid").applyInPandas(run, "qid long, idx long, pos long")
+
+
 def graph(emb: np.ndarray, source: np.ndarray, group: np.ndarray, top_m: int, boost: float, least: float) -> np.ndarray:
     """The matrix form of adjacency()."""
     sim = np.maximum(emb @ emb.T, 0)

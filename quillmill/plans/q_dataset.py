@@ -313,3 +313,22 @@ def odsc_support(spark, sf):
 @query("odsc_disc", f"WITH {_SUP} SELECT qid, idx, round(max(support) - min(support), 6) AS disc FROM s GROUP BY 1, 2")
 def odsc_disc(spark, sf):
     return R.top_two_gap(R.support(candidates(spark, sf), _options(spark, sf))).withColumn("disc", F.round("disc", 6))
+
+
+_UNIT = "CASE WHEN max({0}) OVER w - min({0}) OVER w < 1e-12 THEN 0.5 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
+
+
+@query("ppr_restart", f"WITH {_CAND}, s AS (SELECT a.qid, a.docid AS idx, a.score AS first, greatest(list_dot_product(c.emb, q.emb), 0) AS sim FROM a JOIN c ON c.qid = a.qid AND c.idx = a.docid JOIN (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS emb FROM embeddings WHERE vec_id % 50 = 0) q ON q.vec_id = a.qid), m AS (SELECT qid, idx, 0.5 * {_UNIT.format('first')} + 0.5 * {_UNIT.format('sim')} AS r FROM s WINDOW w AS (PARTITION BY qid)) SELECT qid, idx, round(r / sum(r) OVER (PARTITION BY qid), 6) AS r FROM m")
+def ppr_restart(spark, sf):
+    return R.restart(candidates(spark, sf)).withColumn("r", F.round("r", 6))
+
+
+@query("greedy_mmr")
+def greedy_mmr(spark, sf):
+    return R.mmr(candidates(spark, sf).withColumn("score", F.col("first")), 3)
+
+
+@query("join_qrels_run", f"WITH {QS.RUNS}, {QS.QRELS} SELECT qid, docid, rel, a.rank AS rank FROM qrels LEFT JOIN a USING (qid, docid)")
+def join_qrels_run(spark, sf):
+    """Every judgement with the rank that its document has, if any."""
+    return QS.qrels(spark, sf).join(QS.run(spark, sf).select("qid", "docid", "rank"), ["qid", "docid"], "left")
