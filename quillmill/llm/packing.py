@@ -214,16 +214,16 @@ def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (a * x).sum(axis=1)
 
 
-def solve(demand: np.ndarray, room: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray, float]:
+def solve(demand: np.ndarray, room: int, gap: float = GAP, most: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (rows: pieces of each class), how often each is used in the linear program's solution, and the gap reached.
 
-    Ends when no pattern prices out, when the solution is within `gap` of the best bound that any round's duals
-    gave, or after `most` rounds: then the gap reached is larger, the patterns are still whole and every piece is placed.
+    Ends when no pattern prices out, when the solution is within `gap` of the best bound (what the pieces fill, or what any round's duals
+    gave), or after `most` rounds: then the gap reached is larger, the patterns are still whole and every piece is placed.
     """
     rows = np.flatnonzero(demand)
     need = demand[rows].astype(float)
     basis = np.diag(room // (rows + 1)).astype(float)
-    bound, found = 0.0, 1.0
+    bound, found = float((need * (rows + 1)).sum() / room), 1.0  # at least what the pieces fill
     for k in range(most):
         if k % 100 == 0:
             inverse = inverted(basis)
