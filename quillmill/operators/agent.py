@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 
 def candidate_id(sample: Column, doc: Column, page: Column, block: Column, text: Column) -> Column:
     """s:sample, else d:doc:page:block, else t: and 16 digits of the text's md5, else empty."""
@@ -241,13 +243,16 @@ def solve_rounds(hits: DataFrame, decide, rounds: int = 3, per_round: int = 5, m
     before `forced` never end.
     """
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docid")
-    left = hits.select("qid", "docid", "score")
+    left = written(hits.select("qid", "docid", "score"), "left")
     retained = left.limit(0).withColumn("pos", F.lit(0).cast("long"))
     out = None
     for r in range(rounds):
+        if r and left.isEmpty() and retained.isEmpty():
+            break
         new = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_round).drop("_n")
         shown = retained.select("qid", "docid", "score").withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-        d = decide(shown.withColumn("round_idx", F.lit(r)))
+        # written, so that a later round does not run the earlier ones again
+        d = written(decide(shown.withColumn("round_idx", F.lit(r))), "round")
         ends = (~F.col("parsed") | (F.col("action") == "ACCEPT") | F.lit(r == rounds - 1)) & F.lit(r >= forced)
         done = d.where(ends)
         chosen = done.where("parsed and action = 'ACCEPT' and kept").withColumn("pos", F.row_number().over(order)).select("qid", "docid", F.col("pos").cast("long").alias("pos"), "action")
@@ -261,7 +266,8 @@ def solve_rounds(hits: DataFrame, decide, rounds: int = 3, per_round: int = 5, m
         added = going.where("kept and not old").join(new.select("qid", "docid"), ["qid", "docid"], "left_semi").withColumn("pos", F.row_number().over(order) + r * 1000).select("qid", "docid", "score", F.col("pos").cast("long").alias("pos"))
         both = retained.join(going.select("qid").distinct(), "qid", "left_semi").unionByName(added)
         retained = both.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("pos", "docid"))).where(F.col("_n") <= memory).drop("_n")
-        left = left.join(new.select("qid", "docid"), ["qid", "docid"], "left_anti").join(going.select("qid").distinct(), "qid", "left_semi")
+        retained = written(retained, "retained")
+        left = written(left.join(new.select("qid", "docid"), ["qid", "docid"], "left_anti").join(going.select("qid").distinct(), "qid", "left_semi"), "left")
     return out.select("qid", "docid", "pos", "n_rounds", "action")
 
 

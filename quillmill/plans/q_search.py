@@ -42,9 +42,7 @@ def query_tokens(spark, sf):
 
 def terms(spark, sf):
     """Term counts of all documents, written once: statistics, lengths and postings read them, not the texts."""
-    path = io.scratch(spark, "terms")
-    S.term_counts(tokens(spark, sf)).write.parquet(path)
-    return spark.read.parquet(path)
+    return io.written(S.term_counts(tokens(spark, sf)), "terms")
 
 
 def weights(spark, sf, t=None):

@@ -100,6 +100,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A DataFrame written to a fresh path of the shared folder and read back; the files go when the application ends."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of all .json and .jsonl files under a folder, or of one file, at any depth.
 
