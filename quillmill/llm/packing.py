@@ -34,6 +34,8 @@ GAP = 1e-3
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory of word pieces; the memory is emptied when full.
 MEMORY = 600_000
+#: Fixed value: the last Latin letter whose class, like those of all before it, no version of Unicode has changed.
+LATIN = "\u024f"
 _state: dict = {}
 
 
@@ -114,8 +116,8 @@ class Encoder:
     The byte-level pre-tokenizer always cuts before a space between two characters that are not white
     space, so such a text is the sequence of its words, each with its space. Words not yet known, and
     texts with other white space beside a space, are encoded by merge ranks, if any are given, which is
-    several times as fast and gives the same ids (see merge_ranks). That holds for ASCII, where pre-tokenizers agree
-    on classes of characters; all else, and texts that spell a special token, go to the tokenizer itself.
+    several times as fast and gives the same ids (see merge_ranks). That holds where pre-tokenizers agree on classes of
+    characters, up to LATIN; all else, and texts that spell a special token, go to the tokenizer itself.
     """
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None = None) -> None:
@@ -136,7 +138,7 @@ class Encoder:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        if self.by_ranks is None or not text.isascii() or any(s in text for s in self.special):
+        if self.by_ranks is None or max(text, default="") > LATIN or any(s in text for s in self.special):
             return self.by_tokenizer(text)
         return array("I", self.by_ranks(text)).tobytes()
 

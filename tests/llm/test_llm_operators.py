@@ -120,6 +120,14 @@ def test_encoder_is_the_tokenizer(text):
         assert e.encode(text) == e.by_tokenizer(text)
 
 
+def test_ranks_agree_on_latin_characters():
+    path = packing.tokenizer_path()
+    e = packing.Encoder(path, packing.merge_ranks(path))
+    for c in map(chr, [*range(1, 0x260), 0x3B1, 0x416, 0x4E2D, 0x1F600]):
+        for text in (f"a{c}a", f"1{c}1", f"x {c} y", f"{c}{c}'s", f"a{c} {c}b", f".{c}. {c}1"):
+            assert e.encode(text) == e.by_tokenizer(text), (text, c)
+
+
 def test_merge_ranks_are_proven(tmp_path):
     import json
 
