@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .packing import _Beside, _Words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: States of a transducer, pairs of tokens and pieces of text it remembers at most.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 400_000, 300_000
+#: States of a transducer, pairs of tokens, pieces and words of text it remembers at most.
+MOST_STATES, MOST_PAIRS, MOST_PIECES, MOST_WORDS = 120_000, 300_000, 150_000, 400_000
 BYTE = [bytes((x,)) for x in range(256)]
 #: Bounds of the second byte of UTF-8 after these first bytes; else 80 to BF.
 SECOND = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
@@ -182,6 +181,26 @@ class Transducer:
         yield list(state.ways[-1][0])
 
 
+class _Beside(Exception):
+    """A text has white space beside a space: its words cannot be encoded one by one."""
+
+
+class _Words(dict):
+    """Ids of words, each after `before`; encodes a word when first asked for it."""
+
+    def __init__(self, before: str, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.before, self.encode = before, encode
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Beside
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = found = self.encode(self.before + word)
+        return found
+
+
 class Encoder:
     """Ids of whole texts, little-endian 32-bit; each match of the pattern goes through the transducer by itself.
 
@@ -308,8 +327,23 @@ class _Sent:
         return self.ranks.value
 
 
-def encode_texts(texts: DataFrame, path: str | None = None) -> DataFrame:
-    """texts(row, text) with ids (array of int) in place of text; row is anything.
+def _encoded(texts: pa.Array, own: Encoder) -> pa.ListArray:
+    found = [own.encode(t) for t in texts.to_pylist()]
+    ends = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def _decoded(ids: pa.ListArray, own: Decoder) -> pa.Array:
+    found = (ids[k].values for k in range(len(ids)))
+    return pa.array([None if x is None else own.feed(x.to_numpy().tolist()) + own.end() for x in found], pa.string())
+
+
+def _type(df: DataFrame) -> str:
+    return df.schema["row"].dataType.simpleString()
+
+
+def encode_texts(texts: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """texts(row, text) with ids (array of int) in place of text; row is anything. decoded: also text, decoded from the ids in the same pass.
 
     Null and empty texts have no ids. Very long texts are encoded whole. Rows are encoded one by one, so repeated rows
     give repeated rows. An empty table gives an empty table.
@@ -318,14 +352,12 @@ def encode_texts(texts: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.parts(batches):
-            own = _local(Encoder, sent)
-            found = [own.encode(t) for t in b.column(1).to_pylist()]
-            ends = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["row", "ids"])
+            ids = _encoded(b.column(1), _local(Encoder, sent))
+            more = [_decoded(ids, _local(Decoder, sent))] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, *more], ["row", "ids", "text"][: 2 + decoded])
 
     source = texts.select("row", C.text_or_empty().alias("text"))
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(run, f"row {_type(source)}, ids array<int>" + ", text string" * decoded)
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -334,22 +366,17 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, out = _local(Decoder, sent), []
-            for k in range(b.num_rows):
-                ids = b.column(1)[k].values
-                out.append(None if ids is None else own.feed(ids.to_numpy().tolist()) + own.end())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _decoded(b.column(1), _local(Decoder, sent))], ["row", "text"])
 
-    return encoded.select("row", "ids").mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, text string")
+    return encoded.select("row", "ids").mapInArrow(run, f"row {_type(encoded)}, text string")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the text they decode to, of every row."""
     docs = C.read(spark, sf_dir, "documents")
-    encoded = encode_texts(docs.select(F.col("doc_id").alias("row"), "text"))
+    done = encode_texts(docs.select(F.col("doc_id").alias("row"), "text"), decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    facts = encoded.select(F.struct(F.col("row").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256")).alias("row"), "ids")
-    return decode_ids(facts).select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
+    return done.select(F.col("row").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 ORACLE: dict[str, str] = {}
