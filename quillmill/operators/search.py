@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of query vectors that are broadcast at a time; more are searched in further blocks.
 QUERY_BYTES = 64 << 20
+#: Bytes of a product of queries and vectors that a task holds at a time.
+PRODUCT_BYTES = 64 << 20
 
 
 def top_k(hits: DataFrame, k: int, keys: list[str], score: str = "score", ties: str = "docid", rank: str = "rank") -> DataFrame:
@@ -79,36 +81,47 @@ def query_blocks(queries: DataFrame, block: int) -> Iterator[DataFrame]:
         yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
 
 
+def nearest(ids: np.ndarray, asked: np.ndarray, docs: np.ndarray, v: np.ndarray, k: int, metric: str, not_self: bool = False, same: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries, places of vectors and scores of the k best vectors for each query, a bounded product at a time.
+
+    Equal scores (to 9 decimals) are in order of docs. same: a value of each query and of each vector that have to be equal.
+    """
+    size = (v * v).sum(axis=1)
+    step = max(1, PRODUCT_BYTES // (8 * max(1, len(v))))
+    for a in range(0, len(ids) if len(v) else 0, step):
+        part = asked[a : a + step]
+        score = part @ v.T
+        if metric == "L2":
+            score *= 2
+            score -= (part * part).sum(axis=1)[:, None]
+            score -= size
+        if not_self:
+            score[ids[a : a + step, None] == docs] = -np.inf
+        if same is not None:
+            score[same[0][a : a + step, None] != same[1]] = -np.inf
+        rounded = np.round(score, 9)
+        # all that tie with the k-th stay until the ties are settled by id
+        near = rounded >= np.partition(rounded, -k, axis=1)[:, -k, None] if len(v) > k else np.ones_like(rounded, bool)
+        q, d = np.nonzero(near & np.isfinite(rounded))
+        order = np.lexsort((docs[d], -rounded[q, d], q))
+        q, d = q[order], d[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, d = q[best], d[best]
+        yield a + q, d, score[q, d]
+
+
 def _best(sent, k: int, metric: str, not_self: bool):
     """Of each batch of vectors the k best for each query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, wanted = sent.value
-        half = (matrix * matrix).sum(axis=1)
         for b in batches:
-            many = b.num_rows
-            if not many or not len(ids):
-                continue
-            docs = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(many, -1)
-            score = matrix @ v.T
-            if metric == "L2":
-                score = 2 * score - half[:, None] - (v * v).sum(axis=1)
-            if not_self:
-                score[ids[:, None] == docs] = -np.inf
-            if wanted is not None:
-                score[wanted[:, None] != np.asarray(b.column(2).to_pylist(), object)] = -np.inf
-            rounded = np.round(score, 9)
-            q, d = [], []
-            for i in range(len(ids)):
-                # all that tie with the k-th stay until the ties are settled by id
-                near = np.flatnonzero(rounded[i] >= np.partition(rounded[i], -k)[-k]) if many > k else np.arange(many)
-                near = near[np.isfinite(rounded[i][near])]
-                near = near[np.lexsort((docs[near], -rounded[i][near]))][:k]
-                q.append(np.full(len(near), i))
-                d.append(near)
-            q, d = np.concatenate(q), np.concatenate(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(score[q, d])], ["qid", "docid", "score"])
+            if b.num_rows and len(ids):
+                docs = b.column(0).to_numpy(zero_copy_only=False)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                same = None if wanted is None else (wanted, np.asarray(b.column(2).to_pylist(), object))
+                for q, d, score in nearest(ids, matrix, docs, v, k, metric, not_self, same):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(score)], ["qid", "docid", "score"])
 
     return run
 

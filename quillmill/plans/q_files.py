@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import vector_index as V
 from ..sources import io
 from . import q_search as QS
 from .base import query, table
@@ -249,15 +250,16 @@ def resume_done(spark, sf):
 
 @query("collection_create", "SELECT count(*) AS n, 64 AS dim FROM embeddings")
 def collection_create(spark, sf):
-    """A table is made by its declared schema; vectors of another width are refused."""
+    """An index is made, found again and checked: another width is refused."""
     path = io.scratch(spark, "collection")
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    good, bad = io.split_valid(e, F.size("embedding") == 64, F.lit("dim"))
-    if not bad.isEmpty():
-        raise ValueError("vectors of another width")
-    good.write.parquet(path)
-    back = spark.read.schema("vec_id long, embedding array<float>").parquet(path)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("docid"), F.col("embedding").alias("vec"))
+    V.ensure(e, path, 64)
+    found = V.ensure(e, path, 64)
+    try:
+        V.ensure(e, path, 32)
+    except ValueError:
+        return found.rows(spark).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
+    raise AssertionError("another width was not refused")
 
 
 @query("sink_csv_json_latex", f"WITH {QS.METRICS} SELECT 'base' AS run, round(avg(ndcg), 4) AS ndcg, round(avg(mrr), 4) AS mrr, round(avg(recall), 4) AS recall FROM m")

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import fuse as U
 from ..operators import search as S
+from ..operators import vector_index as V
 from ..sources import io
 from .base import query, table, vectors
 
@@ -146,6 +147,30 @@ def orient_scores(spark, sf):
     return r6(run(spark, sf, 10, metric="L2"), "score")
 
 
+def dense_index(spark, sf, metric="IP"):
+    return V.ensure(corpus(spark, sf), io.scratch(spark, "vectors"), 64, metric)
+
+
+@query("dense_index_search", f"WITH {RUNS} SELECT qid, docid, round(score, 6) AS score, rank FROM a")
+def dense_index_search(spark, sf):
+    """All lists of the stored index probed: the exact rows."""
+    index = dense_index(spark, sf)
+    return r6(V.search(index, queries(spark, sf), 50, index.lists, not_self=True), "score")
+
+
+@query("dense_only_search", f"WITH {_ranked('l', L2, 10)} SELECT qid, docid, round(score, 6) AS score, rank FROM l")
+def dense_only_search(spark, sf):
+    """The same by distance, all lists probed."""
+    index = dense_index(spark, sf, "L2")
+    return r6(V.search(index, queries(spark, sf), 10, index.lists, not_self=True), "score")
+
+
+@query("dense_index_probed")
+def dense_index_probed(spark, sf):
+    """The calibrated number of lists probed; a test holds the recall against the exact rows."""
+    return r6(V.search(dense_index(spark, sf), queries(spark, sf), 10, not_self=True), "score")
+
+
 HYBRID = f"{SPARSE}, {_ranked('dense', DOT, 20)}, z AS (SELECT *, CASE WHEN sd < 1e-6 THEN score ELSE (score - m) / sd END AS norm FROM (SELECT *, stddev_pop(score) OVER (PARTITION BY qid) AS sd, avg(score) OVER (PARTITION BY qid) AS m FROM sparse)), f AS (SELECT qid, docid, (CASE WHEN qid IN (SELECT qid FROM sparse) THEN 0.6 ELSE 1.0 END) * coalesce(d.score, 0) AS a_score, 0.4 * coalesce(z.norm, 0) AS b_score FROM dense d FULL JOIN z USING (qid, docid))"
 
 
