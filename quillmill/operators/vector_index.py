@@ -149,11 +149,11 @@ def build(vectors: DataFrame, path: str, width: int, metric: str = "IP", lists:
     """Write the index of vectors(docid, vec) to a path and return it. metric is IP (inner product) or L2 (squared distance).
 
     lists: how many, the root of the number of vectors unless given, and no more than CENTROID_BYTES of centroids. Centroids are
-    fitted on at most about `sample` vectors, picked by a hash of docid; every vector is indexed. Null vectors are left out; one of
+    fitted on at most about `sample` vectors, picked by a hash of docid; every vector is indexed. Rows without a vector or an id are left out; a vector of
     another width is an error. Repeated ids and copies are rows of their own. No vectors make an index without lists.
     """
     spark = vectors.sparkSession
-    rows = vectors.where("vec IS NOT NULL").select("docid", F.col("vec").cast("array<float>").alias("vec"))
+    rows = vectors.where("vec IS NOT NULL AND docid IS NOT NULL").select("docid", F.col("vec").cast("array<float>").alias("vec"))
     n, other = rows.agg(F.count(F.lit(1)), F.count_if(F.size("vec") != width)).first()
     if other:
         raise ValueError(f"{other} vectors are not of width {width}")
