@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agent as A
 from ..operators import search as S
+from ..sources import io
 from . import q_search as QS
 from .base import fixture, plain, query
 
@@ -185,9 +186,10 @@ def hybrid_rescore(spark, sf):
     t = QS.terms(spark, sf)
     stats, w = QS.weights(spark, sf, t)
     qv = S.query_vectors(QS.query_tokens(spark, sf), w)
-    post = S.bm25_vectors(t, w, stats)
-    sparse = QS.sparse_hits(spark, sf, 20).select("qid", "docid").join(QS.corpus(spark, sf).select("docid"), "docid", "left_semi").select("qid", "docid")
-    pool = sparse.unionByName(QS.run(spark, sf, 20).select("qid", "docid"))
+    sparse = QS.sparse_hits(spark, sf, 20, t).select("qid", "docid").join(QS.corpus(spark, sf).select("docid"), "docid", "left_semi").select("qid", "docid")
+    pool = io.written(sparse.unionByName(QS.run(spark, sf, 20).select("qid", "docid")), "pool")
+    # only the pool's documents are weighed, by the statistics of all
+    post = S.bm25_vectors(t.join(pool.select("docid").distinct(), "docid", "left_semi"), w, stats)
     got = S.rescore(pool, QS.queries(spark, sf), QS.corpus(spark, sf), qv, post, 3.0, 1.0, 20)
     return got.select("qid", "docid", F.round("score", 6).alias("score"), "rank")
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import fuse as U
 from ..operators import search as S
+from ..operators import sparse_index as I
 from ..operators import vector_index as V
 from ..sources import io
 from .base import query, table, vectors
@@ -51,8 +52,8 @@ def weights(spark, sf, t=None):
     return stats, S.idf(df, stats)
 
 
-def sparse_hits(spark, sf, k=20):
-    t = terms(spark, sf)
+def sparse_hits(spark, sf, k=20, t=None):
+    t = terms(spark, sf) if t is None else t
     stats, w = weights(spark, sf, t)
     # only the postings of query tokens are needed, so they are weighed alone
     qv = S.query_vectors(query_tokens(spark, sf), w)
@@ -134,6 +135,13 @@ def sparse_search(spark, sf):
     return r6(sparse_hits(spark, sf), "score")
 
 
+@query("sparse_index_search", f"WITH {SPARSE} SELECT qid, docid, round(score, 6) AS score, rank FROM sparse")
+def sparse_index_search(spark, sf):
+    """The same rows from the stored index."""
+    index = I.build(terms(spark, sf), table(spark, sf, "documents"), io.scratch(spark, "postings"))
+    return r6(I.search(index, query_tokens(spark, sf), 20), "score")
+
+
 @query("dense_search", f"WITH {RUNS} SELECT qid, docid, round(score, 6) AS score, rank FROM a")
 def dense_search(spark, sf):
     return r6(run(spark, sf), "score")
