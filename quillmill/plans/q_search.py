@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import fuse as U
 from ..operators import search as S
+from ..operators import segment as G
 from ..operators import sparse_index as I
 from ..operators import vector_index as V
 from ..sources import io
@@ -130,6 +131,36 @@ def bm25_query_vector(spark, sf):
     return r6(S.query_vectors(query_tokens(spark, sf), weights(spark, sf)[1]), "weight")
 
 
+#: The letters of texts that stand for a script without spaces, and the characters in their place.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(26))
+
+
+def unspaced(spark, sf):
+    """documents as docid, text, with Latin letters as characters of a script without spaces, and no white space."""
+    text = F.regexp_replace(F.translate(F.lower("text"), LETTERS, HAN), r"\s+", "")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), text.alias("text"))
+
+
+def words_of(spark, sf):
+    return G.learn(unspaced(spark, sf))
+
+
+@query("segmented_texts")
+def segmented_texts(spark, sf):
+    """Words of texts without spaces, by a lexicon learned from them all."""
+    found = G.segmented(unspaced(spark, sf), words_of(spark, sf))
+    return found.select("docid", F.size("tokens").cast("long").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("sha256"))
+
+
+@query("segmented_stats")
+def segmented_stats(spark, sf):
+    """BM25 statistics over the learned words."""
+    texts = unspaced(spark, sf)
+    t = io.written(S.term_counts(G.segmented(texts, words_of(spark, sf)).select("docid", F.explode("tokens").alias("token"))), "terms")
+    stats, df = S.corpus_stats(t, texts)
+    return r6(S.idf(df, stats), "idf")
+
+
 @query("sparse_search", f"WITH {SPARSE} SELECT qid, docid, round(score, 6) AS score, rank FROM sparse")
 def sparse_search(spark, sf):
     return r6(sparse_hits(spark, sf), "score")
