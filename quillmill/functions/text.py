@@ -56,13 +56,22 @@ def tokens_mixed(text: Column, cap: int | None = 4000) -> Column:
     return both if cap is None else F.slice(both, 1, cap)
 
 
-def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Distinct n-grams of the text reduced to [0-9a-z] and CJK."""
-    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^0-9a-z{CJK}]", "")
+def reduced(text: Column) -> Column:
+    """The text reduced to [0-9a-z] and CJK."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^0-9a-z{CJK}]", "")
+
+
+def ngrams_of(s: Column, n: int = 3) -> Column:
+    """Distinct n-grams of a reduced text. A column of its own, not an expression: a lambda computes what it names for every gram."""
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(grams))
 
 
+def char_ngrams(text: Column, n: int = 3) -> Column:
+    """Distinct n-grams of the text reduced to [0-9a-z] and CJK."""
+    return ngrams_of(reduced(text), n)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Both empty: 1; one empty: 0."""
     union = F.size(F.array_union(a, b))

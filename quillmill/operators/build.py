@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import io
 from .records import main_tag, tag_flags
 from .running import running_total
+from .setjoin import similar
 
 #: The generic tag; pairs of level and route that go together, with their weights.
 GENERIC = "通用"
@@ -241,6 +243,28 @@ def gold_seeds(passages: DataFrame, level: str, most: int) -> DataFrame:
     return passages.where(F.col("level") == level).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("qid", "pos", "idx", "text")
 
 
+def seed_scores(seeds: DataFrame, passages: DataFrame, least: float = 0.35) -> DataFrame:
+    """qid, seed, pk, cosine, char3, contain of seeds(qid, seed, text) and the passages(pk, text) with at least that share of a seed's words.
+
+    Words and character triples are sets; cosine and contain are of words, char3 is the Jaccard similarity of triples, all to 9 decimals. Texts
+    meet only in pairs that an exact similarity join has found.
+    """
+    words = T.tokens_en(F.col("text"), None)
+    left = seeds.select(F.struct("qid", "seed").alias("id"), words.alias("items"))
+    right = passages.select(F.col("pk").alias("id"), words.alias("items"))
+    found = similar(left, right, least, "containment")
+    met = found.select(F.col("left_id.qid").alias("qid"), F.col("left_id.seed").alias("seed"), F.col("right_id").alias("pk"), "shared", "left_n", "right_n")
+    # triples are made once for each text that is in a pair
+    triples = lambda d, out: d.withColumn("_s", T.reduced(F.col("text"))).withColumn(out, T.ngrams_of(F.col("_s"))).drop("_s", "text")
+    right = io.written(triples(passages.join(met.select("pk").distinct(), "pk", "left_semi").select("pk", "text"), "b"), "triples")
+    both = met.join(triples(seeds.select("qid", "seed", "text"), "a"), ["qid", "seed"]).join(right, "pk")
+    common = F.size(F.array_intersect("a", "b"))
+    both = both.withColumn("_n", common).withColumn("_m", F.size("a") + F.size("b") - F.col("_n"))
+    char3 = F.when(F.col("_m") == 0, 1.0).otherwise(F.col("_n") / F.col("_m"))
+    scores = {"cosine": F.col("shared") / F.sqrt(F.col("left_n") * F.col("right_n").cast("double")), "char3": char3, "contain": F.col("shared") / F.col("left_n")}
+    return both.select("qid", "seed", "pk", *[F.round(x, 9).alias(n) for n, x in scores.items()])
+
+
 def align_seeds(scored: DataFrame, consensus: int = 5) -> DataFrame:
     """qid, pk, stage, reason: the corpus text that each query's seeds stand for.
 

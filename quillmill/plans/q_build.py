@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import build as B
 from ..operators import records as R
 from . import q_search as QS
-from .base import fixture, plain, query
+from .base import fixture, plain, query, table
 
 c = F.col
 
@@ -269,25 +269,64 @@ def gold_seeds(spark, sf):
     return B.gold_seeds(fixture(spark, sf, _SEEDS), "P1", 2).select("qid", "idx")
 
 
-@query("sort_consensus", f"WITH {QS.RUNS} SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY round(a.score, 2) DESC, docid % 7 DESC, docid % 3 DESC, docid) AS place FROM a")
-def sort_consensus(spark, sf):
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 2)), F.desc(c("docid") % 7), F.desc(c("docid") % 3), "docid")
-    return QS.run(spark, sf).select("qid", "docid", F.row_number().over(w).alias("place"))
+# two seeds of each benchmark item, its words by halves, against the lines of documents; words and character triples are sets
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9’''_\\-]+'))"
+_SEEDED = f"""p AS (SELECT doc_id * 100000 + i - 1 AS pk, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+pw AS (SELECT *, {_WORDS.format("text")} AS words FROM p), w AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[a-z0-9’''_\\-]+') AS w FROM benchmark),
+seed AS (SELECT qid, seed, text, list_distinct(string_split(text, ' ')) AS words FROM (SELECT qid, 0 AS seed, array_to_string(w[1:len(w) // 2], ' ') AS text FROM w UNION ALL SELECT qid, 1, array_to_string(w[len(w) // 2 + 1:], ' ') FROM w) WHERE text <> ''),
+met AS (SELECT qid, seed, pk, count(*) AS shared FROM (SELECT qid, seed, unnest(words) AS x FROM seed) JOIN (SELECT pk, unnest(words) AS x FROM pw) USING (x) GROUP BY 1, 2, 3),
+pool AS (SELECT m.*, len(s.words) AS n, len(v.words) AS o, s.text AS a, v.text AS b FROM met m JOIN seed s USING (qid, seed) JOIN pw v USING (pk) WHERE m.shared >= ceil(len(s.words) * 0.35::DOUBLE - 1e-9))"""
+_TRIPLES = "list_distinct(CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) < 3 THEN [{0}] ELSE list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)) END)"
+_SCORED = f"""{_SEEDED}, g AS (SELECT *, {_TRIPLES.format("x")} AS ga, {_TRIPLES.format("y")} AS gb FROM (SELECT *, regexp_replace(lower(a), '[^0-9a-z]', '', 'g') AS x, regexp_replace(lower(b), '[^0-9a-z]', '', 'g') AS y FROM pool)),
+k AS (SELECT qid, seed, pk, round(shared / sqrt(n * o), 9) AS cosine, round(len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))), 9) AS char3, round(shared / n, 9) AS contain FROM g)"""
+_ALIGNED = f"""{_SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY qid, seed ORDER BY cosine DESC, char3 DESC, contain DESC, pk) AS place, cosine + 0.2 * char3 + 0.1 * contain AS joint, CASE WHEN cosine >= 0.92 AND char3 >= 0.2 THEN 'strict_cos+char3' WHEN cosine >= 0.88 AND char3 >= 0.3 AND contain >= 0.6 THEN 'soft_contain+cos+char3' END AS why FROM k),
+seeds AS (SELECT qid, count(DISTINCT seed) AS seeds FROM k GROUP BY 1),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY joint DESC, pk, seed) AS r FROM x WHERE place = 1 AND why IS NOT NULL) WHERE r = 1),
+v AS (SELECT qid, pk, count(DISTINCT seed) AS votes, count(*) FILTER (WHERE place = 1) AS firsts, avg(joint) AS mean, arg_max(cosine, joint) AS c, arg_max(contain, joint) AS t FROM x WHERE place <= 5 GROUP BY 1, 2),
+one AS (SELECT v.* FROM v JOIN seeds USING (qid) WHERE seeds >= 2 AND firsts = seeds AND (c >= 0.78 OR t >= 0.35)),
+many AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean DESC, pk) AS r FROM v WHERE votes >= 2) WHERE r = 1 AND (c >= 0.78 OR t >= 0.35)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY joint DESC, pk, seed) AS r FROM x WHERE place = 1) WHERE r = 1)
+SELECT qid, pk, 'A_threshold' AS stage, why AS reason FROM a UNION ALL SELECT qid, pk, 'B_consensus', 'top1' FROM one WHERE qid NOT IN (SELECT qid FROM a)
+UNION ALL SELECT qid, pk, 'B_consensus', 'topk' FROM many WHERE qid NOT IN (SELECT qid FROM a UNION SELECT qid FROM one)
+UNION ALL SELECT qid, pk, 'C_fallback', 'best_score' FROM f WHERE qid NOT IN (SELECT qid FROM a UNION SELECT qid FROM one UNION SELECT qid FROM many)"""
+
+
+def passages(spark, sf):
+    """Lines of documents: pk, text."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return d.select((c("doc_id") * 100000 + c("i")).alias("pk"), "text")
+
+
+def seeds(spark, sf):
+    """qid, seed, text: the words of each benchmark item, by halves."""
+    w = table(spark, sf, "benchmark").select(c("item_id").alias("qid"), T.tokens_en(c("text"), None).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    both = F.posexplode(F.array(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))).alias("seed", "w")
+    return w.select("qid", both).select("qid", "seed", F.array_join("w", " ").alias("text")).where("text <> ''")
 
 
 def seed_candidates(spark, sf):
-    """Two seeds a query: the query's vector and a part of it; cosine scaled so that all stages occur."""
-    a = QS.run(spark, sf, 10).withColumn("seed", F.lit(0))
-    b = QS.run(spark, sf, 10, part=16).withColumn("seed", F.lit(1))
-    x = a.unionByName(b)
-    return x.select("qid", "seed", c("docid").alias("pk"), F.least(F.lit(1.0), c("score") + (c("qid") % 4) * 0.15).alias("cosine"), ((c("docid") % 5) / 10.0).alias("char3"), ((c("docid") % 7) / 10.0).alias("contain"))
+    """Of each seed the lines with at least 0.35 of its words: whatever passes a later threshold is among them. cosine is that of word sets."""
+    return B.seed_scores(seeds(spark, sf), passages(spark, sf))
+
+
+@query("seed_candidates", f"WITH {_SCORED} SELECT qid, seed, pk, round(cosine, 6) AS cosine, round(char3, 6) AS char3, round(contain, 6) AS contain FROM k")
+def seed_candidates_query(spark, sf):
+    return seed_candidates(spark, sf).select("qid", "seed", "pk", *[F.round(x, 6).alias(x) for x in ("cosine", "char3", "contain")])
 
 
-@query("align_seeds")
+@query("align_seeds", f"WITH {_ALIGNED}")
 def align_seeds(spark, sf):
     return B.align_seeds(seed_candidates(spark, sf))
 
 
+@query("sort_consensus", f"WITH {_SCORED} SELECT qid, seed, pk, row_number() OVER (PARTITION BY qid, seed ORDER BY cosine DESC, char3 DESC, contain DESC, pk) AS place FROM k")
+def sort_consensus(spark, sf):
+    """Candidates of each seed in order of all three scores."""
+    w = Window.partitionBy("qid", "seed").orderBy(F.desc("cosine"), F.desc("char3"), F.desc("contain"), "pk")
+    return seed_candidates(spark, sf).select("qid", "seed", "pk", F.row_number().over(w).alias("place"))
+
+
 @query("oracle_queries", "SELECT doc_id, trim('which?' || ' ' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END) AS by_answer, trim(left(text, 200)) AS by_context FROM documents")
 def oracle_queries(spark, sf):
     o = F.create_map(F.lit("A"), F.when(c("doc_id") % 2 == 0, c("lang")).otherwise(""))
