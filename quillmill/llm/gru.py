@@ -16,6 +16,8 @@ WINDOW = 32
 KEPT = 64 << 20
 #: Documents that are trained on side by side.
 LANES = 128
+#: Added to the root of the mean square of gradients: a token that occurs in few steps is not moved by the full rate in all others.
+DAMP = 1e-5
 
 
 def keep_freed_memory() -> None:
@@ -252,8 +254,12 @@ class Model:
         scale = kind.type(1 / max(1, len(at)))
         return {k: g * scale for k, g in grad.items()}, f["after"][-1].T, -float(logp.sum()) / max(1, len(at))
 
-    def train(self, docs: list[np.ndarray], start: int, lanes: int = LANES, rate: float = 0.01, window: int = WINDOW) -> int:
-        """One pass of Adam over all tokens of docs, each from a zero state carried to its end. Tokens seen."""
+    def train(self, docs: list[np.ndarray], start: int, lanes: int = LANES, rate: float = 0.02, window: int = WINDOW) -> int:
+        """One pass of Adam over all tokens of docs, each from a zero state carried to its end. Tokens seen.
+
+        A step takes half as many tokens as the first window has, at least: once the shorter lanes have ended, windows are summed
+        up, so that the ends of a few very long documents do not make most of the steps.
+        """
         now = self.flat()
         self.p = self.views(now)
         first, second, part = np.zeros_like(now), np.zeros_like(now), np.empty_like(now)
@@ -263,6 +269,8 @@ class Model:
         order, begin, long = laid_out(docs, lanes, True)
         tokens, fresh = np.concatenate([docs[d] for d in order]), starts(docs, order)
         h = np.zeros((len(long), self.width), np.float32)
+        summed, waiting = np.zeros_like(now), 0
+        enough = int(np.minimum(long, window).sum()) // 2
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
             at = begin[:live] + t + np.arange(min(window, int(long[0]) - t))[:, None]
@@ -272,9 +280,19 @@ class Model:
             target = tokens[at].astype(np.int64)
             ids = np.where(clear, start, tokens[at - 1].astype(np.int64))
             grad, h, _ = self.backward(ids, target, valid, h[:live], clear)
-            steps += 1
-            seen += int(valid.sum())
+            tokens_here = int(valid.sum())
+            seen += tokens_here
+            waiting += tokens_here
             g = np.concatenate([grad[k].ravel() for k in self.NAMES])
+            if waiting < enough or waiting > tokens_here:
+                g *= np.float32(tokens_here)
+                summed += g
+                if waiting < enough and t + window < long[0]:
+                    continue
+                g = summed / np.float32(waiting)
+                summed[:] = 0
+            waiting = 0
+            steps += 1
             np.clip(g, -1, 1, out=g)
             part = np.subtract(g, first, out=part)
             part *= np.float32(0.1)
@@ -284,7 +302,7 @@ class Model:
             g *= np.float32(0.01)
             second += g
             part = np.sqrt(second, out=part)
-            part += np.float32(1e-6)
+            part += np.float32(DAMP)
             np.divide(first, part, out=part)
             part *= np.float32(rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps))
             now -= part

@@ -25,7 +25,7 @@ from .gru import Model, keep_freed_memory
 #: Words whose counts are sent to all executors at most, tokens of the recurrent model, and its sizes.
 MOST_WORDS, TOKENS, CLASSES, WIDTH = 262_144, 4096, 64, 24
 #: Documents of a shard, its tokens at most (about), and rounds of averaging.
-PER_SHARD, SHARD_TOKENS, ROUNDS = 20_000, 16_000_000, 2
+PER_SHARD, SHARD_TOKENS, ROUNDS, RATE = 4_000, 16_000_000, 2, 0.02
 #: Bytes of text whose words a task holds at once.
 TEXT_BYTES = 16_000_000
 END = b""
@@ -138,6 +138,11 @@ def _encoded(sent, key: str):
     return run
 
 
+def round_of(shards: int, rounds: int) -> Column:
+    """The round that a document's mark puts it in, apart from its shard: an exact division, for marks have 63 bits."""
+    return F.pmod(F.expr(f"mark div {shards}"), F.lit(rounds))
+
+
 def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, width: int) -> Model:
     """Rounds of: every shard trains on its part from the same parameters, which are then averaged by tokens seen.
 
@@ -148,7 +153,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
     sc = encoded.sparkSession.sparkContext
     for k in range(rounds):
         sent = sc.broadcast(model)
-        part = encoded.where(F.pmod(F.floor(F.col("mark") / shards), F.lit(rounds)) == k)
+        part = encoded.where(round_of(shards, rounds) == k)
         own = part.repartitionById(shards, F.pmod("mark", F.lit(shards)).cast("int")).sortWithinPartitions("mark", "tokens").select("tokens")
 
         def train(rows, sent=sent, k=k):
@@ -157,7 +162,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int, wi
             if found:
                 m = Model.__new__(Model)
                 m.__dict__.update(sent.value.__dict__)
-                seen = m.train(found, 1, rate=0.01 / (k + 1))
+                seen = m.train(found, 1, rate=RATE / (k + 1))
                 yield m.flat().astype(np.float64) * seen, seen
 
         sums = own.rdd.mapPartitions(train)
