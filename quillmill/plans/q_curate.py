@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import curate as K
+from ..sources import io, relational
+from ..sources.stored import StoredTable
 from .base import BLOCKS, blocks, query, table
 
 NORM = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
@@ -49,8 +51,10 @@ def reason_examples(spark, sf):
 @query("delete_rejected", f"WITH {_STAGE1} SELECT block_id, doc, char_length FROM stage1 WHERE reason IS NULL")
 def delete_rejected(spark, sf):
     b = blocks(spark, sf)
-    gone = K.stage1_reason(b).where("reason is not null").select("block_id")
-    return b.join(gone, "block_id", "left_anti").select("block_id", "doc", "char_length")
+    stored = StoredTable(io.scratch(spark, "kept"), "block_id", "block_id long, doc string, char_length long")
+    stored.create(b.select("block_id", "doc", "char_length"))
+    stored.delete(K.stage1_reason(b).where("reason is not null").select("block_id"))
+    return stored.read(spark)
 
 
 @query("join_semi_reject", f"WITH {_STAGE1} SELECT block_id, content_hash FROM stage1 WHERE reason IS NOT NULL")
@@ -126,7 +130,11 @@ def rewrite_guard(spark, sf):
 def apply_rewrites(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     gone, new = d.where("doc_id % 5 = 0").select("doc_id"), d.where("doc_id % 7 = 1").select("doc_id", F.concat("text", F.lit("!")).alias("new"))
-    out = d.join(gone, "doc_id", "left_anti").join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "text").alias("t"))
+    stored = StoredTable(io.scratch(spark, "rewritten"), "doc_id", "doc_id long, text string")
+    stored.create(d)
+    stored.update(new, {"text": F.col("new.new")})
+    stored.delete(gone)
+    out = stored.read(spark).withColumnRenamed("text", "t")
     return out.select("doc_id", F.length("t").alias("char_length"), F.sha2("t", 256).alias("content_hash"))
 
 
@@ -160,14 +168,23 @@ def join_neighbors(spark, sf):
 
 @query("update_doc_stats", f"WITH {BLOCKS}, k AS (SELECT * FROM blocks WHERE doc <> 'src1') SELECT s.doc, count(k.block_id) AS block_count, coalesce(max(k.page_idx) + 1, 0) AS page_count FROM (SELECT DISTINCT doc FROM blocks) s LEFT JOIN k ON s.doc = k.doc GROUP BY 1")
 def update_doc_stats(spark, sf):
+    """Counts of documents are set in their stored table, once some blocks have gone."""
     b = blocks(spark, sf)
-    return K.document_stats(b.select("doc").distinct(), b.where("doc <> 'src1'"), "doc")
+    stored = StoredTable(io.scratch(spark, "documents"), "doc", "doc string, block_count long, page_count long", 16)
+    docs = b.select("doc").distinct()
+    stored.create(docs.withColumns({"block_count": F.lit(-1).cast("long"), "page_count": F.lit(-1).cast("long")}))
+    stored.update(K.document_stats(docs, b.where("doc <> 'src1'"), "doc"), {c: F.col(f"new.{c}") for c in ("block_count", "page_count")})
+    return stored.read(spark)
 
 
 @query("upsert_document", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, c_name || '*' FROM customer WHERE c_custkey % 10 = 0")
 def upsert_document(spark, sf):
     old = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return K.upsert(old, old.where("c_custkey % 10 = 0").withColumn("c_name", F.concat("c_name", F.lit("*"))), "c_custkey")
+    changed = old.where("c_custkey % 10 = 0").withColumn("c_name", F.concat("c_name", F.lit("*")))
+    stored = StoredTable(io.scratch(spark, "customers"), "c_custkey", "c_custkey long, c_name string")
+    stored.create(old.where("c_custkey % 20 <> 0"))
+    stored.upsert(changed)
+    return stored.read(spark)
 
 
 @query("append_new_only", "SELECT doc_id, lang FROM documents WHERE doc_id % 4 = 0")
@@ -190,9 +207,13 @@ def append_blocks(spark, sf):
 
 @query("scan_sqlite_blocks", f"WITH {BLOCKS}, d AS (SELECT source AS doc, count(*) AS n_blocks FROM documents GROUP BY 1) SELECT block_id, blocks.doc, n_blocks, char_length FROM blocks JOIN d ON blocks.doc = d.doc WHERE char_length BETWEEN 50 AND 4000 ORDER BY block_id")
 def scan_sqlite_blocks(spark, sf):
-    """Blocks of a length joined to their documents, in order."""
+    """Blocks of a length from a relational store, joined to their documents, in order; the length filter runs in the store."""
+    path = io.scratch(spark, "blocks")
+    stored = blocks(spark, sf).select("block_id", "doc", "page_idx", "text", "char_length")
+    relational.write_relational(stored, path, "text_blocks", "block_id")
+    found = relational.read_relational(spark, path, "text_blocks", "block_id", "block_id long, doc string, char_length long")
     d = table(spark, sf, "documents").groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("n_blocks"))
-    return K.text_blocks(blocks(spark, sf), d, least=50, most=4000).select("block_id", "doc", "n_blocks", "char_length")
+    return K.text_blocks(found, d, least=50, most=4000).select("block_id", "doc", "n_blocks", "char_length")
 
 
 @query("join_block_doc", f"WITH {BLOCKS}, d AS (SELECT source AS doc, min(lang) AS lang FROM documents WHERE lang <> 'fr' GROUP BY 1) SELECT block_id, blocks.doc, lang FROM blocks JOIN d ON blocks.doc = d.doc")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import vector_index as V
-from ..sources import io
+from ..sources import io, relational
+from ..sources.sink import insert_rows
 from . import q_search as QS
 from .base import query, table
 
@@ -184,12 +185,13 @@ def group_files_by_doc(spark, sf):
 
 @query("insert_bisect", "SELECT CASE WHEN doc_id % 11 = 0 THEN 'missing_text' WHEN n_chars > 8192 THEN 'text_too_long' ELSE 'inserted' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
 def insert_bisect(spark, sf):
-    """Bad rows of a batch are found and put aside, all others are inserted."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("text"))
-    good, bad = io.split_valid(d, F.col("text").isNotNull() & (F.col("n_chars") <= 8192), F.when(F.col("text").isNull(), "missing_text").otherwise("text_too_long"))
-    path = io.scratch(spark, "inserted")
-    good.write.parquet(path)
-    return spark.read.parquet(path).select(F.lit("inserted").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """A store with constraints refuses whole batches; each is halved until the rows at fault are found, and all others are inserted."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    path, columns = io.scratch(spark, "inserted"), '"doc_id" INTEGER, "text" TEXT NOT NULL, "n_chars" INTEGER CHECK (n_chars <= 8192)'
+    _, _, rejected = insert_rows(d, lambda partition, attempt: relational.relational_sink(path, "rows", columns, "doc_id", partition, attempt))
+    there = relational.read_relational(spark, path, "rows", "doc_id", "doc_id long").select(F.lit("inserted").alias("outcome"))
+    why = F.when(F.startswith("error", F.lit("NOT NULL")), "missing_text").otherwise("text_too_long")
+    return there.unionByName(rejected.select(why.alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("batch_ingest", "SELECT CASE WHEN n_chars > 8192 THEN 'rejected' ELSE lang END AS part, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1")
