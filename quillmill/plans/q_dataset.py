@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agent as A
 from ..operators import build as B
+from ..operators import context as X
 from ..operators import dataset as D
 from ..operators import rerank as R
 from ..operators import search as S
@@ -218,12 +219,29 @@ def density_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(D.density_score(level, raw, {"L0": 0.1, "L1": 0.3, "L2": 0.5, "L3": 0.7, "L4": 0.9}), 6).alias("score"))
 
 
-@query("page_context", f"WITH {BLOCKS} SELECT a.block_id, count(*) AS n_items, sum(b.char_length) AS chars FROM blocks a JOIN blocks b ON a.doc = b.doc AND b.page_idx BETWEEN a.page_idx AND a.page_idx + 1 GROUP BY 1")
+_CLEAN = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+_CUT = "CASE WHEN length({0}) > {1} THEN rtrim(substr({0}, 1, {1} - 3)) || '...' ELSE {0} END"
+_ITEMS = f"{BLOCKS}, i AS (SELECT doc, page_idx AS page, block_id AS pos, {_CLEAN.format('text')} AS t FROM blocks)"
+
+
+def items(spark, sf):
+    """Blocks as items of their document, block_id being their place."""
+    return blocks(spark, sf).select("doc", F.col("page_idx").alias("page"), F.col("block_id").alias("pos"), "text")
+
+
+@query("page_context", f"WITH {_ITEMS}, there AS (SELECT DISTINCT doc, page FROM i), c AS (SELECT DISTINCT doc, page FROM i), p AS (SELECT c.doc, c.page, t.page AS p FROM c JOIN there t ON t.doc = c.doc AND (t.page IN (c.page, c.page + 1) OR t.page = c.page - 1 AND NOT EXISTS (SELECT 1 FROM there n WHERE n.doc = c.doc AND n.page = c.page + 1))), x AS (SELECT p.doc, p.page, string_agg('[page ' || p.p || '] ' || t, ' ' ORDER BY pos) AS text FROM p JOIN i ON i.doc = p.doc AND i.page = p.p WHERE t <> '' GROUP BY 1, 2) SELECT id, pages, {_CUT.format('text', 3000)} AS text FROM (SELECT DISTINCT i.doc || ':' || i.page AS id, (SELECT list(p.p ORDER BY p.p) FROM p WHERE p.doc = i.doc AND p.page = i.page) AS pages, coalesce(x.text, '') AS text FROM i LEFT JOIN x USING (doc, page))")
 def page_context(spark, sf):
-    b = blocks(spark, sf)
-    # an equi-join on the page, each item standing on its own page and on the one before
-    near = b.select("doc", F.explode(F.array(F.col("page_idx"), F.col("page_idx") - 1)).alias("page_idx"), F.col("char_length").alias("c"))
-    return b.select("block_id", "doc", "page_idx").join(near, ["doc", "page_idx"]).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("c").alias("chars"))
+    """The text of every page and the next, or the one before."""
+    own = items(spark, sf)
+    centers = own.select("doc", "page").distinct().withColumn("id", F.concat_ws(":", "doc", F.col("page").cast("string")))
+    return X.page_contexts(centers, own, 3000)
+
+
+@query("item_context", f"WITH {_ITEMS}, w AS (SELECT c.pos AS id, count(*) AS n, string_agg('[item ' || i.pos || ' page ' || i.page || '] ' || i.t, ' ' ORDER BY i.pos) AS text FROM i c JOIN i ON i.doc = c.doc AND i.pos BETWEEN c.pos - 8 AND c.pos + 8 WHERE i.t <> '' GROUP BY 1) SELECT i.pos AS id, coalesce(n, 0) AS n, coalesce({_CUT.format('text', 1500)}, '') AS text FROM i LEFT JOIN w ON w.id = i.pos")
+def item_context(spark, sf):
+    """The items around every block."""
+    own = items(spark, sf)
+    return X.item_windows(own.select(F.col("pos").alias("id"), "doc", "pos"), own, most=1500)
 
 
 @query("sanitize_keep_drop", "SELECT doc_id, list_filter([0, 1, 2, 3], lambda i: i < n AND (i = k1 OR i = k2)) AS keep, list_filter([0, 1, 2, 3], lambda i: i < n AND i <> k1 AND i <> k2) AS dropped FROM (SELECT doc_id, 2 + doc_id % 3 AS n, doc_id % 4 AS k1, doc_id % 5 AS k2 FROM documents)")

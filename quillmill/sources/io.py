@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,29 @@ def read_json(spark: SparkSession, path: str, schema: str, bad: str = "drop", re
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, value: lines with their number from 0 in each file."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
-    w = Window.partitionBy("file").orderBy("_b", "_i")
-    return raw.select("file", (F.row_number().over(w) - 1).alias("line"), "value")
+    """file, line, value: lines with their number from 0 in each file.
+
+    Lines are counted in each split of a file; the splits before give a split's offset. Both passes read the same splits, and
+    no task holds more than its own.
+    """
+    where = "file string, at long, line long, value string"
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    inside = raw.mapInArrow(_numbered, where)
+    lines = inside.groupBy("file", "at").agg((F.max("line") + 1).alias("n"))
+    before = lines.select("file", "at", (F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")).alias("before"))
+    return inside.join(before, ["file", "at"]).select("file", (F.col("line") + F.col("before")).alias("line"), "value")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task, which reads split after split, with their number in their split."""
+    now, n = None, 0
+    for b in batches:
+        out = []
+        for split in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            n = n + 1 if split == now else 0
+            now = split
+            out.append(n)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64()), b.column(2)], ["file", "at", "line", "value"])
 
 
 def parse_run(lines: DataFrame) -> DataFrame:
