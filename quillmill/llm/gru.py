@@ -15,7 +15,7 @@ WINDOW = 32
 #: Bytes of freed memory that a worker keeps.
 KEPT = 64 << 20
 #: Documents that are trained on side by side.
-LANES = 128
+LANES = 256
 #: Added to the root of the mean square of gradients: a token that occurs in few steps is not moved by the full rate in all others.
 DAMP = 1e-5
 
@@ -195,13 +195,16 @@ class Model:
         back[:, order] = dh
         return out, back
 
-    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window (steps x lanes) from state h (lanes x width) on, which is zero again where fresh; the state after it; the loss per token."""
+    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, sums: dict | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients over one window (steps x lanes) from state h (lanes x width) on, which is zero again where fresh; the state after it; the loss per token.
+
+        Gradients are per token; with sums, those of all tokens are added to it.
+        """
         p, w = self.p, self.width
         steps, lanes = ids.shape
         fresh = np.zeros((steps, lanes), bool) if fresh is None else fresh
         f = self.run(ids, h.T, fresh)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        grad = {k: np.zeros_like(v) for k, v in p.items()} if sums is None else sums
         states = f["after"].transpose(1, 0, 2).reshape(w, -1)
         at = np.flatnonzero(valid.ravel())
         if len(at) == valid.size:
@@ -252,7 +255,7 @@ class Model:
         each = np.matmul(p["wx"], into).transpose(0, 2, 1).reshape(-1, w)
         grad["embed"][found[starts]] += np.add.reduceat(each[order], starts, axis=0)
         scale = kind.type(1 / max(1, len(at)))
-        return {k: g * scale for k, g in grad.items()}, f["after"][-1].T, -float(logp.sum()) / max(1, len(at))
+        return grad if sums is not None else {k: g * scale for k, g in grad.items()}, f["after"][-1].T, -float(logp.sum()) / max(1, len(at))
 
     def train(self, docs: list[np.ndarray], start: int, lanes: int = LANES, rate: float = 0.02, window: int = WINDOW) -> int:
         """One pass of Adam over all tokens of docs, each from a zero state carried to its end. Tokens seen.
@@ -269,7 +272,8 @@ class Model:
         order, begin, long = laid_out(docs, lanes, True)
         tokens, fresh = np.concatenate([docs[d] for d in order]), starts(docs, order)
         h = np.zeros((len(long), self.width), np.float32)
-        summed, waiting = np.zeros_like(now), 0
+        summed, g, waiting = np.zeros_like(now), np.empty_like(now), 0
+        sums = self.views(summed)
         enough = int(np.minimum(long, window).sum()) // 2
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
@@ -279,18 +283,14 @@ class Model:
             clear = fresh[at] & valid
             target = tokens[at].astype(np.int64)
             ids = np.where(clear, start, tokens[at - 1].astype(np.int64))
-            grad, h, _ = self.backward(ids, target, valid, h[:live], clear)
+            _, h, _ = self.backward(ids, target, valid, h[:live], clear, sums)
             tokens_here = int(valid.sum())
             seen += tokens_here
             waiting += tokens_here
-            g = np.concatenate([grad[k].ravel() for k in self.NAMES])
-            if waiting < enough or waiting > tokens_here:
-                g *= np.float32(tokens_here)
-                summed += g
-                if waiting < enough and t + window < long[0]:
-                    continue
-                g = summed / np.float32(waiting)
-                summed[:] = 0
+            if waiting < enough and t + window < long[0]:
+                continue
+            g = np.divide(summed, np.float32(waiting), out=g)
+            summed[:] = 0
             waiting = 0
             steps += 1
             np.clip(g, -1, 1, out=g)

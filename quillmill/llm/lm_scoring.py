@@ -25,7 +25,7 @@ from .gru import Model, keep_freed_memory
 #: Words whose counts are sent to all executors at most, tokens of the recurrent model, and its sizes.
 MOST_WORDS, TOKENS, CLASSES, WIDTH = 262_144, 4096, 64, 24
 #: Documents of a shard, its tokens at most (about), and rounds of averaging.
-PER_SHARD, SHARD_TOKENS, ROUNDS, RATE = 4_000, 16_000_000, 2, 0.02
+PER_SHARD, SHARD_TOKENS, ROUNDS, RATE = 20_000, 6_000_000, 2, 0.02
 #: Bytes of text whose words a task holds at once.
 TEXT_BYTES = 16_000_000
 END = b""
