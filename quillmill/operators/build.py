@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import io
 from .records import main_tag, tag_flags
-from .running import running_total
+from .running import running_total, same, total_by_hash
 from .setjoin import similar
 
 #: The generic tag; pairs of level and route that go together, with their weights.
@@ -350,11 +350,11 @@ def group_split(rows: DataFrame, share: float, seed: str) -> DataFrame:
     """rows with split: whole groups (equal text) go to test, by label, in hash order, until the label's share of rows is reached. rows: id, group, label."""
     g = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min_by("label", "id").alias("label"))
     h = F.sha1(F.concat_ws(":", F.lit(seed), F.col("group")))
-    w = Window.partitionBy("label").orderBy("_h", "group")
-    g = g.withColumn("_h", h).withColumn("before", F.sum("n").over(w) - F.col("n"))
-    total = F.sum("n").over(Window.partitionBy("label"))
-    g = g.withColumn("split", F.when(F.col("before") < F.bround(total * share), "test").otherwise("train"))
-    return rows.join(g.select("group", "split"), "group")
+    upto = total_by_hash(g.withColumn("_h", h), "_h", ["group"], "n", "_upto", ["label"])
+    totals = upto.groupBy("label").agg(F.sum("n").alias("_total"))
+    both = upto.alias("x").join(totals.alias("t"), same("x", "t", ["label"])).select("x.*", "_total")
+    done = both.withColumn("split", F.when(F.col("_upto") - F.col("n") < F.bround(F.col("_total") * share), "test").otherwise("train"))
+    return rows.join(done.select("group", "split"), "group")
 
 
 def task_quota(sources: DataFrame, quota: dict[str, int], seed: str, most: int) -> DataFrame:

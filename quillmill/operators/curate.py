@@ -205,16 +205,17 @@ def neighbours(blocks: DataFrame) -> DataFrame:
 def lag_lead(rows: DataFrame, order: str, value: str, width: int = 10_000) -> DataFrame:
     """prev and next of value in the global order, '' at the ends, without one global partition.
 
-    Rows fall in ranges of `width` keys; the edges of each range, one row a range, are ordered among themselves
-    and joined back.
+    Rows fall in ranges of `width` keys, whole numbers without equals. The numbers of the ranges and of their first and last keys are ordered among
+    themselves; values are joined to them by key, so that no task holds the edges of all ranges.
     """
-    part = F.floor(F.col(order) / width)
-    d = rows.withColumn("_part", part)
-    edges = d.groupBy("_part").agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
-    all_edges = Window.orderBy("_part")
-    edges = edges.select("_part", F.lag("_last").over(all_edges).alias("_before"), F.lead("_first").over(all_edges).alias("_after"))
+    d = rows.withColumn("_part", F.expr(f"`{order}` div {width}"))
+    all_parts = Window.orderBy("_part")
+    ends = d.groupBy("_part").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    edges = ends.select("_part", F.lag("_hi").over(all_parts).alias("_prev"), F.lead("_lo").over(all_parts).alias("_next"))
+    of = lambda key, out: rows.select(F.col(order).alias(key), F.col(value).alias(out))
+    edges = edges.join(of("_prev", "_before"), "_prev", "left").join(of("_next", "_after"), "_next", "left").select("_part", "_before", "_after")
     w = Window.partitionBy("_part").orderBy(order)
-    out = d.join(edges, "_part").withColumns({"prev": F.lag(value).over(w), "next": F.lead(value).over(w), "_rank": F.row_number().over(w)})
+    out = d.join(edges, "_part").withColumns({"prev": F.lag(value).over(w), "next": F.lead(value).over(w)})
     return out.select(*rows.columns, F.coalesce("prev", "_before", F.lit("")).alias("prev"), F.coalesce("next", "_after", F.lit("")).alias("next"))
 
 

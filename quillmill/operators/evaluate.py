@@ -68,8 +68,10 @@ def exact_p(b: int, c: int) -> float:
     n = int(b) + int(c)
     if n == 0:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(min(b, c) + 1)]
-    return min(1.0, 2 * sum(map(math.exp, log)))
+    # logs of the binomial coefficients up to the smaller count, each from the one before
+    i = np.arange(1, min(b, c) + 1)
+    log = np.append(0.0, np.cumsum(np.log(n - i + 1) - np.log(i))) - n * math.log(2)
+    return min(1.0, 2 * float(np.exp(log).sum()))
 
 
 @F.pandas_udf(DoubleType())

@@ -36,6 +36,11 @@ def ranked_by_hash(rows: DataFrame, digest: str, ties: list[str], out: str, by:
     return _summed(dealt, [F.col(digest), *map(F.col, ties)], "_one", out, by, rows_apart=True).drop("_one")
 
 
+def total_by_hash(rows: DataFrame, digest: str, ties: list[str], value: str, out: str, by: list[str]) -> DataFrame:
+    """rows with the sum of value over the rows of their group up to their own, in order of a hex digest and then ties."""
+    return _summed(rows.withColumn("_cell", F.substring(digest, 1, 3)), [F.col(digest), *map(F.col, ties)], value, out, by, rows_apart=True)
+
+
 def _summed(dealt: DataFrame, order: list, value: str, out: str, by: list[str], rows_apart: bool) -> DataFrame:
     sums = dealt.groupBy(*by, "_cell").agg(F.sum(value).alias("_s"))
     before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_s")).drop("_s")

@@ -111,14 +111,22 @@ def write_shards(rows: DataFrame, path: str, per_file: int) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); on a single machine without one, a temporary folder."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir), or in a temporary folder on a single machine without one.
+
+    What is written there goes when the application ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/quillmill/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/data"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -126,8 +134,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
