@@ -232,9 +232,13 @@ def agg_db_stats(spark, sf):
     return blocks(spark, sf).agg(F.count(F.lit(1)).alias("n_blocks"), F.count_distinct("doc").alias("n_docs"), F.sum("char_length").alias("chars"), F.round(F.avg("char_length"), 2).alias("avg_chars"))
 
 
-@query("agg_type_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("agg_type_counts", "SELECT source, sum(n)::BIGINT AS n, string_agg(lang || ':' || n, ',' ORDER BY lang) AS types FROM (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
 def agg_type_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of each document's types of blocks, in all and by type."""
+    d = table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+    one = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    types = F.array_sort(F.collect_list(F.struct("lang", "n")))
+    return one.groupBy("source").agg(F.sum("n").alias("n"), F.array_join(F.transform(types, lambda x: F.concat_ws(":", x["lang"], x["n"].cast("string"))), ",").alias("types"))
 
 
 @query("distinct_count", f"WITH {BLOCKS} SELECT count(DISTINCT content_hash) AS n_hash, count(DISTINCT text) AS n_text FROM blocks")
