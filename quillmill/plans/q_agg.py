@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import agent as A
 from ..operators import curate as K
 from ..operators import evaluate as E
+from ..operators import summary as Y
 from ..operators.running import running_total, same
 from .base import query, table
 
@@ -45,6 +46,33 @@ def agg_weight_summary(spark, sf):
     return E.by_sets(results(spark, sf), [["action"], ["scene"], ["action", "scene"]], [n().alias("n")]).drop("level")
 
 
+_ROWS = "SELECT d.doc_id, lang, source, quality, toxic, n_chars // 1000 AS band, length(text) = 0 AS blank, split_part(text, chr(10), 1) AS head, n_chars FROM documents d LEFT JOIN labels USING (doc_id)"
+_SIX = ("lang", "source", "quality", "toxic", "band", "blank")
+
+
+def summary_rows(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return d.select("lang", "source", "quality", "toxic", F.expr("n_chars div 1000").alias("band"), (F.length("text") == 0).alias("blank"), F.split("text", "\n")[0].alias("head"), "n_chars")
+
+
+@query("summary_distributions", f"WITH r AS ({_ROWS}) " + " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::VARCHAR AS value, count(*) AS n FROM r GROUP BY {c}" for c in _SIX))
+def summary_distributions(spark, sf):
+    """Six distributions in one pass."""
+    return Y.distributions(summary_rows(spark, sf), list(_SIX))
+
+
+@query("summary_top20", f"SELECT head, count(*) AS n FROM ({_ROWS}) WHERE head IS NOT NULL GROUP BY 1 ORDER BY n DESC, head LIMIT 20")
+def summary_top20(spark, sf):
+    """The first lines that most documents have: a top-k report."""
+    return Y.most_common(summary_rows(spark, sf), "head", 20)
+
+
+@query("summary_quantiles")
+def summary_quantiles(spark, sf):
+    """Quantiles by language, by source and of all, from sketches; a test holds the error of their ranks."""
+    return Y.over_sets(summary_rows(spark, sf), ["lang", "source"], [["lang"], ["source"], []], "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
 @query("agg_query_summary", f"WITH {RES} SELECT scene, min(n_chars) AS lo, max(n_chars) AS hi, round(median(n_chars), 6) AS med, (list_sort(list(n_chars)))[1 + least(count(*) - 1, floor(0.9 * count(*))::INT)::INT] AS p90, count(DISTINCT n_chars) AS distinct_n FROM res GROUP BY 1")
 def agg_query_summary(spark, sf):
     r, c = results(spark, sf), F.col("n")
