@@ -60,6 +60,8 @@ def starts(docs: list[np.ndarray], order: list[int]) -> np.ndarray:
 class Model:
     """Tokens 0..n-1 in order of class; bounds: the first token of each class, and n."""
 
+    #: Where training sums up gradients.
+    sums: dict | None = None
     NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "wo", "bo")
 
     def __init__(self, counts: np.ndarray, bounds: np.ndarray, width: int, seed: int = 1) -> None:
@@ -195,12 +197,12 @@ class Model:
         back[:, order] = dh
         return out, back
 
-    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, sums: dict | None = None) -> tuple[dict, np.ndarray, float]:
+    def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
         """Gradients over one window (steps x lanes) from state h (lanes x width) on, which is zero again where fresh; the state after it; the loss per token.
 
-        Gradients are per token; with sums, those of all tokens are added to it.
+        Gradients are per token; while there are sums, those of all tokens are added to them.
         """
-        p, w = self.p, self.width
+        p, w, sums = self.p, self.width, self.sums
         steps, lanes = ids.shape
         fresh = np.zeros((steps, lanes), bool) if fresh is None else fresh
         f = self.run(ids, h.T, fresh)
@@ -273,7 +275,7 @@ class Model:
         tokens, fresh = np.concatenate([docs[d] for d in order]), starts(docs, order)
         h = np.zeros((len(long), self.width), np.float32)
         summed, g, waiting = np.zeros_like(now), np.empty_like(now), 0
-        sums = self.views(summed)
+        self.sums = self.views(summed)
         enough = int(np.minimum(long, window).sum()) // 2
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
@@ -283,7 +285,7 @@ class Model:
             clear = fresh[at] & valid
             target = tokens[at].astype(np.int64)
             ids = np.where(clear, start, tokens[at - 1].astype(np.int64))
-            _, h, _ = self.backward(ids, target, valid, h[:live], clear, sums)
+            _, h, _ = self.backward(ids, target, valid, h[:live], clear)
             tokens_here = int(valid.sum())
             seen += tokens_here
             waiting += tokens_here
@@ -306,6 +308,7 @@ class Model:
             np.divide(first, part, out=part)
             part *= np.float32(rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps))
             now -= part
+        self.sums = None
         return seen
 
     def score(self, docs: list[np.ndarray], start: int, lanes: int = 512, window: int = WINDOW) -> np.ndarray:
