@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +14,17 @@ from ..functions import text as T
 from ..sources import io
 from .records import main_tag, tag_flags
 from .running import running_total, same, total_by_hash
-from .setjoin import similar
+from .setjoin import SLACK, similar
 
 #: The generic tag; pairs of level and route that go together, with their weights.
 GENERIC = "通用"
 PAIRS = (("L0", "R3", 10), ("L1", "R3", 12), ("L1", "R2", 8), ("L2", "R1", 9), ("L2", "R2", 10), ("L3", "R1", 10), ("L3", "R2", 12), ("L3", "R3", 4), ("L4", "R1", 9), ("L4", "R2", 12))
 
+#: Seeds times their characters for which seeds are sent to tasks; above that they are joined.
+SENT_CELLS = 50_000_000
+#: Cells, texts and pairs that a task works on at a time; no character of a reduced text has a code from REDUCED on.
+CELLS_HELD, TEXTS, PAIRS_HELD, REDUCED = 8_000_000, 65_536, 16_384, 0xA000
+
 
 def text_of(c: Column) -> Column:
     return F.trim(F.coalesce(c.cast("string"), F.lit("")))
@@ -243,28 +253,112 @@ def gold_seeds(passages: DataFrame, level: str, most: int) -> DataFrame:
     return passages.where(F.col("level") == level).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("qid", "pos", "idx", "text")
 
 
-def seed_scores(seeds: DataFrame, passages: DataFrame, least: float = 0.35) -> DataFrame:
+def seed_scores(seeds: DataFrame, passages: DataFrame, least: float = 0.35, most: int = SENT_CELLS) -> DataFrame:
     """qid, seed, pk, cosine, char3, contain of seeds(qid, seed, text) and the passages(pk, text) with at least that share of a seed's words.
 
-    Words and character triples are sets; cosine and contain are of words, char3 is the Jaccard similarity of triples, all to 9 decimals. Texts
-    meet only in pairs that an exact similarity join has found.
+    Words and character triples are sets; cosine and contain are of words, char3 is the Jaccard similarity of triples, all to 9 decimals. Seeds that
+    fit into `most` cells (seeds by their characters) are sent to the passages, which are read once and not shuffled; more seeds meet only in pairs
+    that an exact similarity join has found. Both give the same rows.
     """
-    words = T.tokens_en(F.col("text"), None)
-    left = seeds.select(F.struct("qid", "seed").alias("id"), words.alias("items"))
-    right = passages.select(F.col("pk").alias("id"), words.alias("items"))
-    found = similar(left, right, least, "containment")
-    met = found.select(F.col("left_id.qid").alias("qid"), F.col("left_id.seed").alias("seed"), F.col("right_id").alias("pk"), "shared", "left_n", "right_n")
-    # triples are made once for each text that is in a pair
-    triples = lambda d, out: d.withColumn("_s", T.reduced(F.col("text"))).withColumn(out, T.ngrams_of(F.col("_s"))).drop("_s", "text")
-    right = io.written(triples(passages.join(met.select("pk").distinct(), "pk", "left_semi").select("pk", "text"), "b"), "triples")
-    both = met.join(triples(seeds.select("qid", "seed", "text"), "a"), ["qid", "seed"]).join(right, "pk")
-    common = F.size(F.array_intersect("a", "b"))
-    both = both.withColumn("_n", common).withColumn("_m", F.size("a") + F.size("b") - F.col("_n"))
+    words = lambda d: d.withColumn("items", T.tokens_en(F.col("text"), None)).withColumn("_s", T.reduced(F.col("text")))
+    n, chars = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    both = _sent_scores(words(seeds), words(passages), least) if n * chars <= most else _joined_scores(words(seeds), words(passages), least)
     char3 = F.when(F.col("_m") == 0, 1.0).otherwise(F.col("_n") / F.col("_m"))
     scores = {"cosine": F.col("shared") / F.sqrt(F.col("left_n") * F.col("right_n").cast("double")), "char3": char3, "contain": F.col("shared") / F.col("left_n")}
     return both.select("qid", "seed", "pk", *[F.round(x, 9).alias(n) for n, x in scores.items()])
 
 
+def _joined_scores(seeds: DataFrame, passages: DataFrame, least: float) -> DataFrame:
+    """Pairs of seeds(qid, seed, items, _s) and passages(pk, items, _s) with their counts, by a join."""
+    found = similar(seeds.select(F.struct("qid", "seed").alias("id"), "items"), passages.select(F.col("pk").alias("id"), "items"), least, "containment")
+    met = found.select(F.col("left_id.qid").alias("qid"), F.col("left_id.seed").alias("seed"), F.col("right_id").alias("pk"), "shared", "left_n", "right_n")
+    # triples are made once for each text that is in a pair
+    triples = lambda d, out: d.withColumn(out, T.ngrams_of(F.col("_s"))).drop("_s")
+    right = io.written(triples(passages.join(met.select("pk").distinct(), "pk", "left_semi").select("pk", "_s"), "b"), "triples")
+    both = met.join(triples(seeds.select("qid", "seed", "_s"), "a"), ["qid", "seed"]).join(right, "pk")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.withColumn("_n", common).withColumn("_m", F.size("a") + F.size("b") - F.col("_n"))
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of a text and code of each of its distinct character triples (a shorter text is one), for at most 65,536 reduced texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))
+    code = np.append(code, [0, 0])
+    # reduced texts have no character from REDUCED on; where a text ends, nothing follows
+    packed = ((row * REDUCED + code[:-2]) * REDUCED + np.where(left > 1, code[1:-1], 0)) * REDUCED + np.where(left > 2, code[2:], 0)
+    packed = np.sort(packed[(left > 2) | (left == np.repeat(sizes, sizes))])
+    packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
+    return packed // REDUCED**3, packed % REDUCED**3
+
+
+def _bits(row: np.ndarray, at: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    flags = np.zeros((rows, -(-max(width, 1) // 64) * 64), bool)
+    flags[row, at] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
+def _sent_scores(seeds: DataFrame, passages: DataFrame, least: float) -> DataFrame:
+    """What _joined_scores gives, by tables of all seeds in each task: words by seeds, and seeds by bits of triples."""
+    kinds = dict(seeds.dtypes) | dict(passages.dtypes)
+    got = seeds.where("qid IS NOT NULL AND seed IS NOT NULL").select("qid", "seed", F.array_distinct("items").alias("items"), "_s").where(F.size("items") > 0).toArrow().combine_chunks()
+    sent = seeds.sparkSession.sparkContext.broadcast(got)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        items = own["items"].combine_chunks()
+        n = pc.list_value_length(items).to_numpy()
+        need = np.ceil(n * least - SLACK).astype(np.int64)
+        known = pc.unique(items.flatten())
+        has = np.zeros((len(known), len(n)), np.min_scalar_type(int(n.max(initial=0))))
+        has[pc.index_in(items.flatten(), known).to_numpy(), np.repeat(np.arange(len(n)), n)] = 1
+        strings = own["_s"].to_pylist()
+        found = [_grams(strings[a : a + TEXTS]) for a in range(0, len(n), TEXTS)]
+        row, code = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([r + TEXTS * i for i, (r, _) in enumerate(found)], [c for _, c in found]))
+        codes, at = np.unique(code, return_inverse=True)
+        theirs, sizes = _bits(row, at, len(n), len(codes)), np.bincount(row, minlength=len(n))
+        step = max(1, CELLS_HELD // max(1, len(n)))
+        for b in batches:
+            words, reduced = b.column(1), b.column(2)
+            counts = pc.list_value_length(words).to_numpy()
+            of, word = np.repeat(np.arange(b.num_rows), counts), pc.index_in(words.flatten(), known)
+            keep = word.is_valid().to_numpy(zero_copy_only=False)
+            of, word = of[keep], word.drop_null().to_numpy()
+            # so many passages at a time, and so many of their words
+            ends = np.searchsorted(of, np.arange(b.num_rows), "right")
+            a = 0
+            while a < b.num_rows:
+                first = ends[a - 1] if a else 0
+                z = min(a + min(step, TEXTS), max(a + 1, int(np.searchsorted(ends, first + step, "right"))), b.num_rows)
+                inside = slice(first, ends[z - 1])
+                starts = np.flatnonzero(np.append(True, of[inside][1:] != of[inside][:-1])) if ends[z - 1] > first else np.zeros(0, int)
+                if len(starts):
+                    here = of[inside][starts]
+                    shared = np.add.reduceat(has[word[inside]], starts, axis=0, dtype=has.dtype)
+                    p, q = np.nonzero(shared >= need)
+                    if len(p):
+                        count, place = shared[p, q].astype(np.int32), here[p]
+                        texts, which = np.unique(place, return_inverse=True)
+                        r, code = _grams(reduced.take(pa.array(texts)).to_pylist())
+                        many = np.bincount(r, minlength=len(texts))
+                        spot = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                        hit = codes[spot] == code if len(codes) else np.zeros(len(code), bool)
+                        ours = _bits(r[hit], spot[hit], len(texts), len(codes))
+                        for c in range(0, len(p), PAIRS_HELD):
+                            o, w = q[c : c + PAIRS_HELD], which[c : c + PAIRS_HELD]
+                            common = np.bitwise_count(ours[w] & theirs[o]).sum(axis=1, dtype=np.int32)
+                            total = (sizes[o] + many[w]).astype(np.int32) - common
+                            seed, pk = pa.array(o), pa.array(place[c : c + PAIRS_HELD])
+                            arrays = [own["qid"].combine_chunks().take(seed), own["seed"].combine_chunks().take(seed), b.column(0).take(pk), *map(pa.array, (count[c : c + PAIRS_HELD], n[o].astype(np.int32), counts[pk.to_numpy()].astype(np.int32), common, total))]
+                            yield pa.RecordBatch.from_arrays(arrays, ["qid", "seed", "pk", "shared", "left_n", "right_n", "_n", "_m"])
+                a = z
+
+    rows = passages.where("pk IS NOT NULL").select("pk", F.array_distinct("items").alias("items"), "_s")
+    return rows.mapInArrow(run, f"qid {kinds['qid']}, seed {kinds['seed']}, pk {kinds['pk']}, shared int, left_n int, right_n int, _n int, _m int")
+
+
 def align_seeds(scored: DataFrame, consensus: int = 5) -> DataFrame:
     """qid, pk, stage, reason: the corpus text that each query's seeds stand for.
 
@@ -278,9 +372,10 @@ def align_seeds(scored: DataFrame, consensus: int = 5) -> DataFrame:
     x = x.withColumn("joint", c("cosine") + 0.2 * c("char3") + 0.1 * c("contain"))
     strict = (c("cosine") >= 0.92) & (c("char3") >= 0.20)
     soft = (c("cosine") >= 0.88) & (c("char3") >= 0.30) & (c("contain") >= 0.60)
-    x = x.withColumn("why", F.when(strict, "strict_cos+char3").when(soft, "soft_contain+cos+char3"))
-    seeds = scored.groupBy("qid").agg(F.count_distinct("seed").alias("seeds"))
+    # a few rows a seed, which all that follows reads; each seed with candidates has one that is first
+    x = io.written(x.withColumn("why", F.when(strict, "strict_cos+char3").when(soft, "soft_contain+cos+char3")), "best")
     tops = x.where("place = 1")
+    seeds = tops.groupBy("qid").agg(F.count_distinct("seed").alias("seeds"))
     best = lambda d, keys: d.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(*keys, "pk", "seed"))).where("_n = 1")
     a = best(tops.where("why is not null"), [F.desc("joint")]).select("qid", "pk", F.lit("A_threshold").alias("stage"), c("why").alias("reason"))
     votes = x.groupBy("qid", "pk").agg(F.count_distinct("seed").alias("votes"), F.count_if(c("place") == 1).alias("firsts"), F.avg("joint").alias("mean"), F.max_by(F.struct("cosine", "contain"), "joint").alias("rep")).join(seeds, "qid")

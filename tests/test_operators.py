@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -248,3 +249,21 @@ def test_stream_parts_are_compacted(spark, tmp_path):
         assert {r.k: r.v for r in ingest.current(spark, t, "k", "at").collect()} == want
     parts = sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
     assert parts == ["base=3", "base=5", "delta=4", "delta=5", "delta=6"]
+
+
+def test_seed_scores_sent_and_joined(spark, monkeypatch):
+    """Seeds that are sent to the passages give what the join gives, in one pass without a shuffle."""
+    from quillmill.operators import build as B
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "ab", "cde", "fghi", "éa", "x-y", "胃镜", "jk", "lmn", "o’p"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    seeds = spark.createDataFrame([(q, s, text(rng.randint(0, 6))) for q in range(20) for s in range(2)] + [(90, 0, "- ’"), (91, 0, "")], "qid long, seed int, text string")
+    lines = [(i, text(rng.randint(0, 9))) for i in range(300)] + [(500, None), (501, "’ - _"), (502, text(4000))]
+    passages = spark.createDataFrame(lines, "pk long, text string").repartition(3)
+    joined = sorted(map(tuple, B.seed_scores(seeds, passages, most=0).collect()))
+    monkeypatch.setattr(B, "CELLS_HELD", 500)
+    monkeypatch.setattr(B, "PAIRS_HELD", 7)
+    sent = B.seed_scores(seeds, passages)
+    assert sorted(map(tuple, sent.collect())) == joined and len(joined) > 1000
+    assert "Join" not in sent._jdf.queryExecution().executedPlan().toString()
