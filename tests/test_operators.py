@@ -267,3 +267,24 @@ def test_seed_scores_sent_and_joined(spark, monkeypatch):
     sent = B.seed_scores(seeds, passages)
     assert sorted(map(tuple, sent.collect())) == joined and len(joined) > 1000
     assert "Join" not in sent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bisect_ranges_with_crowded_keys(spark):
+    """Ranges of keys that crowd together are those of halving one by one, without a job for each."""
+    keys = [10**15 + i for i in range(3000)] + [-(10**15), 5, 5, 5]
+    want, todo = [], [(min(keys), max(keys))]
+    while todo:
+        a, z = todo.pop()
+        n = sum(a <= k <= z for k in keys)
+        if n > 40 and a < z:
+            todo += [(a, (a + z) // 2), ((a + z) // 2 + 1, z)]
+        elif n:
+            want.append((a, z, n))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bisect", "bisect")
+    try:
+        got = [tuple(r) for r in io.bisect_ranges(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 40).collect()]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(want)
+    assert 0 < len(tracker.getJobIdsForGroup("bisect")) < 80
