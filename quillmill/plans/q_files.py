@@ -33,14 +33,15 @@ def scan_json_any(spark, sf):
     keep = lines.withColumn("h", F.pmod(F.xxhash64("value"), F.lit(3)))
     # Spark names its text files .txt: each shape is written under the name that the reader looks for
     _named(keep.where("h = 0").select("value"), path + "/in/a", "jsonl")
-    _named(keep.where("h = 1").groupBy(F.spark_partition_id()).agg(F.concat(F.lit("["), F.array_join(F.filter(F.collect_list("value"), lambda v: ~F.startswith(v, F.lit("{b"))), ",\n"), F.lit("]")).alias("value")).select("value"), path + "/in/b", "json")
+    # a list is a file of its own, however many the writer's tasks have
+    _named(keep.where("h = 1").groupBy(F.spark_partition_id()).agg(F.concat(F.lit("["), F.array_join(F.filter(F.collect_list("value"), lambda v: ~F.startswith(v, F.lit("{b"))), ",\n"), F.lit("]")).alias("value")).select("value"), path + "/in/b", "json", 1)
     _named(keep.where("h = 2").select("value"), path + "/in/deep/c", "json")
     return io.read_json_any(spark, path + "/in", _REC)
 
 
-def _named(df, path, suffix):
-    """Write text files with a suffix of their own."""
-    df.write.option("fileExtension", suffix).text(path)
+def _named(df, path, suffix, most=0):
+    """Write text files with a suffix of their own, of at most so many rows (0: any)."""
+    df.write.option("fileExtension", suffix).option("maxRecordsPerFile", most).text(path)
     fs_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
     for f in fs.listStatus(fs_path(path)):

@@ -288,3 +288,11 @@ def test_bisect_ranges_with_crowded_keys(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == sorted(want)
     assert 0 < len(tracker.getJobIdsForGroup("bisect")) < 80
+
+
+def test_json_values_one_after_another(spark, tmp_path):
+    """Several lists in a file, and lines of which the first is broken: nothing that parses is lost."""
+    (tmp_path / "lists.json").write_text('[{"a": 1},\n{"a": 2}]\n[{"a": 3}]\n[]\n')
+    (tmp_path / "first.json").write_text('{broken\n{"a": 4}\n{"a": 5}\n[broken\n{"a": 6}\n')
+    (tmp_path / "one.json").write_text('{\n "b": [\n  [1]\n ],\n "a":\n 7\n}\n')
+    assert sorted(r.a for r in io.read_json_any(spark, str(tmp_path), "a long").collect()) == [1, 2, 3, 4, 5, 6, 7]
