@@ -132,3 +132,20 @@ def test_query_recall(spark):
     exact = QS.run(spark, SF, 10)
     found = QS.dense_index_probed(spark, SF)
     assert len(pairs(exact) & pairs(found)) >= 0.95 * exact.count()
+
+
+def test_products_are_small():
+    """Many queries against a whole batch of vectors: what a task holds is bounded well under a product of them all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    asked, v = rng.normal(size=(3000, 8)), rng.normal(size=(10_000, 8))
+    ids, docs = np.arange(3000), np.arange(10_000)
+    tracemalloc.start()
+    got = list(S.nearest(ids, asked, docs, v, 3, "IP"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    q, d = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+    assert (q == np.repeat(ids, 3)).all()
+    assert all((d[3 * i : 3 * i + 3] == np.argsort(-np.round(asked[i] @ v.T, 9), kind="stable")[:3]).all() for i in range(0, 3000, 500))
