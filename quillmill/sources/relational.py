@@ -144,7 +144,7 @@ def read_relational(spark: SparkSession, path: str, table: str, key: str, schema
 
 @contextmanager
 def relational_sink(path: str, table: str, columns: str, key: str, partition: int, attempt: int) -> Iterator[Callable[[pa.RecordBatch], None]]:
-    """Inserts batches into a file of its own, each in one transaction; columns: what stands between the parentheses of CREATE TABLE.
+    """Inserts batches into a file of its own, each whole or not at all; columns: what stands between the parentheses of CREATE TABLE.
 
     The file is written under a name of its attempt and renamed at the end, so that a task that runs again leaves one file.
     """
@@ -152,18 +152,29 @@ def relational_sink(path: str, table: str, columns: str, key: str, partition: in
     os.makedirs(folder, exist_ok=True)
     done = os.path.join(folder, f"part-{partition:05d}.db")
     own = f"{done}.{attempt}"
-    with closing(sqlite3.connect(own)) as db:
+    # the file counts only once it is renamed: until then a batch is a savepoint of one transaction, and nothing waits for the disk
+    with closing(sqlite3.connect(own, isolation_level=None)) as db:
+        db.execute("PRAGMA journal_mode = MEMORY")
+        db.execute("PRAGMA synchronous = OFF")
+        db.execute("BEGIN")
         db.execute(f"CREATE TABLE {named(table)} ({columns})")
-        db.commit()
 
         def insert(batch: pa.RecordBatch) -> None:
             marks = ", ".join("?" * batch.num_columns)
-            with db:
+            db.execute("SAVEPOINT batch")
+            try:
                 db.executemany(f"INSERT INTO {named(table)} VALUES ({marks})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            except BaseException:
+                db.execute("ROLLBACK TO batch")
+                raise
+            finally:
+                db.execute("RELEASE batch")
 
         yield insert
         db.execute(f"CREATE INDEX {named(f'{table}_{key}')} ON {named(table)} ({named(key)})")
-        db.commit()
+        db.execute("COMMIT")
+    with open(own, "rb") as f:
+        os.fsync(f.fileno())
     os.replace(own, done)
 
 

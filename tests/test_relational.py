@@ -69,3 +69,29 @@ def test_odd_stores(spark, tmp_path):
     assert [len(r.text) for r in R.read_relational(spark, path, "t", "id", KIND).collect()] == [3_000_000]
     with pytest.raises(ValueError, match="mounted"):
         R.local("s3a://bucket/x")
+
+
+def test_sink_commits_once(tmp_path, monkeypatch):
+    """Batches, also refused ones, wait for no commit of their own; a file holds what was accepted."""
+    import sqlite3
+
+    import pyarrow as pa
+
+    from quillmill.sources import relational, sink
+
+    said, connect = [], sqlite3.connect
+
+    def traced(*a, **k):
+        db = connect(*a, **k)
+        db.set_trace_callback(said.append)
+        return db
+
+    monkeypatch.setattr(relational.sqlite3, "connect", traced)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([None if i % 9 == 0 else "x" for i in range(200)])], ["k", "t"])
+    with relational.relational_sink(str(tmp_path), "rows", '"k" INTEGER, "t" TEXT NOT NULL', "k", 0, 1) as insert:
+        failed, _ = sink.bisected(batch, insert)
+    monkeypatch.undo()
+    assert [a for a, _ in sorted(failed)] == [i for i in range(200) if i % 9 == 0]
+    assert sum(x.strip().upper() == "COMMIT" for x in said) == 1
+    with sqlite3.connect(tmp_path / "part-00000.db") as db:
+        assert [r[0] for r in db.execute("SELECT k FROM rows ORDER BY k")] == [i for i in range(200) if i % 9]
