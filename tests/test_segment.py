@@ -144,3 +144,23 @@ def test_statistics_of_the_given_texts(spark):
     assert all(abs(r.idf - max(math.log((n - r.df + 0.5) / (r.df + 0.5)), 0)) < 1e-5 for r in rows)
     terms = io.written(S.term_counts(G.segmented(texts, own).select("docid", F.explode("tokens").alias("token"))), "terms")
     assert terms.agg(F.sum("tf")).first()[0] == sum(r.n for r in QUERIES["segmented_texts"](spark, SF).collect())
+
+
+@pytest.mark.parametrize(("kinds", "cells"), [(6, 4_000_000), (26, 10), (20_000, 10)])
+def test_many_stretches_at_a_time(monkeypatch, kinds, cells):
+    """Paths, cuts and runs of many stretches together are those of each by itself, by tables, by search and without either."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(G, "CELLS", cells)
+    rng = random.Random(kinds)
+    han = [chr(0x4E00 + i) for i in range(kinds)]
+    words = {"".join(rng.choice(han) for _ in range(rng.randint(1, 4))): -rng.choice([1.0, 2.0, 2.5, 4.0]) for _ in range(300)}
+    own = G.Lexicon(words, -9.0, {"B": -0.5, "S": -0.7}, {a + t: -0.3 for a in "BMES" for t in G.AFTER_TAG[a]}, {}, dict.fromkeys("BMES", -5.0), 4)
+    stretches = ["".join(rng.choice(list(words)) if rng.random() < 0.7 else rng.choice([*han, "鿾"]) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    total = lambda parts: sum((Counter(dict(zip(w, n, strict=True))) for w, n in parts), Counter())
+    many = G.Paths(own)
+    assert total(many.counts(stretches)) == Counter(w for s in stretches for w in G.path(s, own))
+    assert many.cuts(stretches) == [G.cut(s, own) for s in stretches]
+    marked = [G.BEFORE + s + G.AFTER for s in stretches]
+    assert total(G._run_counts(stretches, 4)) == Counter(s[i : i + m] for s in marked for m in range(1, 6) for i in range(len(s) - m + 1))
