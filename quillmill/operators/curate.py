@@ -69,8 +69,10 @@ def stage1_reason(blocks: DataFrame, min_length: int = 5, dedup: bool = True, pr
         lower = F.lower("s")
         safe = (n <= 12) & reduce(lambda a, b: a | b, [lower.contains(k.lower()) for k in protected])
         counts = F.col("reason").isNull() & ~safe & (F.coalesce("content_hash", F.lit("")) != "")
-        firsts = d.where(counts).groupBy("content_hash").agg(F.min("block_id").alias("first_block"))
-        d = d.withColumn("counts", counts).join(firsts, "content_hash", "left")
+        d = d.withColumn("counts", counts)
+        # not by a filter: one would be pushed below and normalise the text anew for every rule
+        firsts = d.groupBy("content_hash").agg(F.min(F.when(F.col("counts"), F.col("block_id"))).alias("first_block"))
+        d = d.join(firsts, "content_hash", "left")
         d = d.withColumn("reason", F.when(F.col("counts") & (F.col("block_id") > F.col("first_block")), "duplicate_content_hash").otherwise(F.col("reason"))).drop("counts", "first_block")
     return d.drop("s")
 

@@ -32,6 +32,13 @@ def test_stage1_reasons(spark):
     assert [got[i] for i in range(len(texts))] == ["empty_text", "empty_text", "pure_number", "chapter_only_heading", "catalog_slash_page", "only_symbols", "figure_table_short_caption", "short_label_with_number", "publication_meta", None, None, None, "duplicate_content_hash"]
 
 
+def test_stage1_normalises_a_text_once_a_branch(spark):
+    """A filter on the reason does not bring the text's normalising into every rule."""
+    blocks = spark.createDataFrame([(1, "a text", 6, "h")], "block_id long, text string, char_length long, content_hash string")
+    plan = K.stage1_reason(blocks).where("reason is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_replace") <= 2
+
+
 def test_language_and_ngrams(spark):
     d = spark.createDataFrame([("中文内容很多",), ("plain English",), ("",), ("12345",)], "t string")
     assert [r[0] for r in d.select(T.detect_lang(F.col("t"))).collect()] == ["zh", "en", "mix", "mix"]
