@@ -160,7 +160,7 @@ def sparse_rebuild(spark, sf):
     t = QS.terms(spark, sf)
     stats, w = QS.weights(spark, sf, t)
     path = io.scratch(spark, "sparse")
-    v = S.bm25_vectors(t, w, stats)
+    v = S.bm25_vectors(t, w, stats).repartition("docid")
     v.groupBy("docid").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse")).write.parquet(path)
     back = spark.read.parquet(path)
     return back.select("docid", F.size("sparse").cast("long").alias("n_terms"), F.round(F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
