@@ -102,7 +102,7 @@ class Model:
         """
         p, w = self.p, self.width
         steps, lanes = ids.shape
-        x = np.ascontiguousarray(p["embed"][ids].transpose(0, 2, 1))
+        x = np.ascontiguousarray(p["embed"].take(ids, axis=0).transpose(0, 2, 1))
         gates = np.matmul(p["wx"].T, x)
         gates += p["b"][:, None]
         # what is not kept shares one step's room
@@ -134,21 +134,26 @@ class Model:
             return {"after": after}
         return {"x": x, "before": before, "z": zr[:, :w], "r": zr[:, w:], "n": n, "rec": rec, "after": after}
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    def outputs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of classes and of tokens with their biases, and whether they are small: states lie within (-1, 1), so then no exponential overflows or vanishes."""
+        p = self.p
+        outer, inner = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wo"], p["bo"][:, None]], axis=1)
+        return outer, inner, float(max(np.abs(outer).sum(axis=0).max(), np.abs(inner).sum(axis=1).max())) < 75
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None, outputs: tuple[np.ndarray, np.ndarray, bool] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets at states h (width x targets); with grad, also adds the loss's gradients and gives that of h.
 
-        Targets are handled in order of their class, so that each class has a slice of them.
+        Targets are handled in order of their class, so that each class has a slice of them. outputs: those of the model, if they are at hand.
         """
         p, n = self.p, len(target)
         own = self.of[target]
         order = np.argsort(own, kind="stable")
-        # a row of ones takes the biases into the products
-        ones = np.ones((1, n), h.dtype)
-        h, target, own = np.concatenate([h[:, order], ones]), target[order], own[order]
+        # a row of ones takes the biases into the products; taking columns is several times as fast as indexing them
+        put = np.ones((len(h) + 1, n), h.dtype)
+        np.take(h, order, axis=1, out=put[:-1], mode="clip")
+        h, target, own = put, target[order], own[order]
         every = np.arange(n)
-        outer, inner = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wo"], p["bo"][:, None]], axis=1)
-        # states lie within (-1, 1): with small weights no exponential overflows or vanishes
-        small = float(max(np.abs(outer).sum(axis=0).max(), np.abs(inner).sum(axis=1).max())) < 75
+        outer, inner, small = outputs or self.outputs()
         e = outer.T @ h
         if not small:
             e -= e.max(axis=0)
@@ -193,9 +198,9 @@ class Model:
         out[order] = found
         if dh is None:
             return out, None
-        back = np.empty_like(dh)
-        back[:, order] = dh
-        return out, back
+        back = np.empty_like(order)
+        back[order] = every
+        return out, dh.take(back, axis=1)
 
     def backward(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
         """Gradients over one window (steps x lanes) from state h (lanes x width) on, which is zero again where fresh; the state after it; the loss per token.
@@ -212,7 +217,7 @@ class Model:
         if len(at) == valid.size:
             logp, direct = self.log_probs(states, target.ravel(), grad)
         else:
-            logp, dh = self.log_probs(states[:, at], target.ravel()[at], grad)
+            logp, dh = self.log_probs(states.take(at, axis=1), target.ravel()[at], grad)
             direct = np.zeros((w, steps * lanes), dh.dtype)
             direct[:, at] = dh
         kind = direct.dtype
@@ -248,14 +253,14 @@ class Model:
         turned = into.transpose(0, 2, 1)
         grad["wh"][:, : 2 * w] += np.matmul(f["before"], turned[:, :, : 2 * w]).sum(axis=0)
         grad["wh"][:, 2 * w :] += np.matmul(f["before"], gated.transpose(0, 2, 1)).sum(axis=0)
-        grad["b"] += into.sum(axis=2).sum(axis=0)
+        grad["b"] += np.matmul(into, np.ones(lanes, kind)).sum(axis=0)
         grad["wx"] += np.matmul(f["x"], turned).sum(axis=0)
         found = ids.ravel().astype(np.uint16 if len(p["embed"]) <= 65536 else np.int64)
         order = np.argsort(found, kind="stable")
         found = found[order]
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         each = np.matmul(p["wx"], into).transpose(0, 2, 1).reshape(-1, w)
-        grad["embed"][found[starts]] += np.add.reduceat(each[order], starts, axis=0)
+        grad["embed"][found[starts]] += np.add.reduceat(each.take(order, axis=0), starts, axis=0)
         scale = kind.type(1 / max(1, len(at)))
         return grad if sums is not None else {k: g * scale for k, g in grad.items()}, f["after"][-1].T, -float(logp.sum()) / max(1, len(at))
 
@@ -326,7 +331,7 @@ class Model:
         fresh = starts(docs, order)
         ids = np.append(start, target[:-1])
         ids[fresh] = start
-        h = np.zeros((self.width, len(long)), np.float32)
+        h, outputs = np.zeros((self.width, len(long)), np.float32), self.outputs()
         for t in range(0, int(long[0]), window):
             live = int(np.searchsorted(-long, -t, "left"))
             at = begin[:live] + t + np.arange(min(window, int(long[0]) - t))[:, None]
@@ -336,7 +341,7 @@ class Model:
             h = states[-1]
             pick, states = at.ravel(), states.transpose(1, 0, 2).reshape(self.width, -1)
             if not valid.all():
-                pick, states = pick[valid], states[:, valid]
-            logp, _ = self.log_probs(states, target[pick])
+                pick, states = pick[valid], states.take(np.flatnonzero(valid), axis=1)
+            logp, _ = self.log_probs(states, target[pick], outputs=outputs)
             out += np.bincount(owner[pick], logp, len(docs))
         return out

@@ -79,3 +79,25 @@ def test_few_long_documents_do_not_make_most_steps():
     before = m.score(test, 1).sum()
     m.train(docs, 1)
     assert m.score(test, 1).sum() > before + 20 * math.log(1.2)
+
+
+def test_scoring_lays_its_weights_out_once(monkeypatch):
+    """Weights with their biases are put together once for all windows, and the scores are those of plain softmaxes."""
+    rng = np.random.default_rng(5)
+    bounds = np.array([0, 1, 2, 7, 20])
+    m = Model(rng.integers(1, 50, 20).astype(np.float64), bounds, 6)
+    m.load(m.flat() + rng.normal(size=m.flat().size) * 0.3)
+    calls, made = [], Model.outputs
+    monkeypatch.setattr(Model, "outputs", lambda self: calls.append(1) or made(self))
+    docs = [rng.integers(0, 20, n).astype(np.uint16) for n in (70, 3, 40)]
+    got = m.score(docs, 1, window=8)
+    assert len(calls) == 1
+    for d, found in zip(docs, got, strict=True):
+        states = m.run(np.append(1, d[:-1])[:, None].astype(np.int64), np.zeros((6, 1), np.float32), np.zeros((len(d), 1), bool))["after"][:, :, 0].astype(np.float64)
+        want = 0.0
+        for h, t in zip(states, d, strict=True):
+            c = int(m.of[t])
+            over = h @ m.p["wc"] + m.p["bc"]
+            own = m.p["wo"][bounds[c] : bounds[c + 1]] @ h + m.p["bo"][bounds[c] : bounds[c + 1]]
+            want += over[c] - np.log(np.exp(over).sum()) + own[t - bounds[c]] - np.log(np.exp(own).sum())
+        assert found == pytest.approx(want, rel=1e-4)
