@@ -164,3 +164,57 @@ def test_many_stretches_at_a_time(monkeypatch, kinds, cells):
     assert many.cuts(stretches) == [G.cut(s, own) for s in stretches]
     marked = [G.BEFORE + s + G.AFTER for s in stretches]
     assert total(G._run_counts(stretches, 4)) == Counter(s[i : i + m] for s in marked for m in range(1, 6) for i in range(len(s) - m + 1))
+
+
+def test_long_stretches_are_parted(monkeypatch):
+    """A long stretch takes as many steps as its longest part, and its path and cut are the same."""
+    monkeypatch.setattr(G, "LONG", 8)
+    rng = random.Random(5)
+    words = {"".join(rng.choice(HAN[:6]) for _ in range(rng.randint(1, 4))): -rng.choice([1.0, 2.0, 2.5, 4.0]) for _ in range(60)}
+    own = G.Lexicon(words, -9.0, {"B": -0.5, "S": -0.7}, {a + t: -0.3 for a in "BMES" for t in G.AFTER_TAG[a]}, {}, dict.fromkeys("BMES", -5.0), 4)
+    stretches = ["".join(rng.choice(HAN[:9]) for _ in range(n)) for n in (1, 7, 8, 9, 40, 3000)]
+    many = G.Paths(own)
+    code = G._laid(stretches)
+    begin, end = many._parted(many.ids(code), *G._bounds(code))
+    assert (end - begin).max() < 100 and (end - begin).sum() == sum(map(len, stretches))
+    assert many.cuts(stretches) == [G.cut(s, own) for s in stretches]
+    counts = sum((Counter(dict(zip(w, n, strict=True))) for w, n in many.counts(stretches)), Counter())
+    assert counts == Counter(w for s in stretches for w in G.path(s, own))
+
+
+def test_of_equal_paths_the_longest_first(spark):
+    """Equal paths stay equal however long the text behind them is."""
+    a = HAN[0]
+    for n in range(3, 12):
+        own = lexicon(spark, {a: 3, a * 2: n, HAN[1]: 1})
+        for size in (3, 5, 7, 31, 99, 501):
+            want = [a * 2] * (size // 2) + [a]
+            assert G.path(a * size, own) == want and G.Paths(own).cuts([a * size]) == [want]
+
+
+ODD = ["", None, "A’b-C_9 KELVIN İx", f"{HAN[0]}{HAN[1]}\x00{HAN[2]}{HAN[2]}a\x00b", f"é{HAN[30]}{HAN[31]}\U0001f600{HAN[3]}z", f"x{HAN[0]}", f"{HAN[1]}y", f"Y{HAN[33]}", HAN[1] + HAN[34] * 20]
+
+
+def test_counts_of_each_text(spark, small):
+    """Tokens of odd texts, and their counts in each docid, are the plain ones."""
+    rows = [(k // 2 if k < 6 else None, t) for k, t in enumerate(ODD)]
+    texts = spark.createDataFrame(rows, "docid long, text string")
+    want = [(d, G.tokens(t or "", small)) for d, t in rows]
+    key = lambda r: (r[0] is None, *map(str, r))
+    for n in (1, 3):
+        assert sorted(((r.docid, r.tokens) for r in G.segmented(texts.repartition(n), small).collect()), key=key) == sorted(want, key=key)
+        counts = {(r.docid, r.token): r.tf for r in G.segmented_counts(texts.repartition(n), small).collect()}
+        assert counts == Counter((d, w) for d, words in want for w in words)
+    assert G.segmented_counts(texts.limit(0), small).collect() == []
+
+
+def test_unspaced_texts(spark, tmp_path, monkeypatch):
+    """Texts without spaces are those of plain expressions, and are dealt out though they lie in one piece."""
+    monkeypatch.setattr(G, "CHARS", 40)
+    rows = [(k, t) for k, t in enumerate([*ODD, "Ab c\td\x0b\x0c\r\ne　f\xa0", " \n", *(f"Text {k}, of WORDS." for k in range(200))])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QS.unspaced(spark, str(tmp_path))
+    text = F.regexp_replace(F.translate(F.lower("text"), QS.LETTERS, QS.HAN), r"\s+", "")
+    plain = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", text)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
