@@ -208,6 +208,22 @@ def test_counts_of_each_text(spark, small):
     assert G.segmented_counts(texts.limit(0), small).collect() == []
 
 
+def test_lines_are_the_tokens(spark, small):
+    texts = spark.createDataFrame(list(enumerate(ODD)), "docid long, text string")
+    want = [(k, len(w), " ".join(w)) for k, w in enumerate(G.tokens(t or "", small) for t in ODD)]
+    assert sorted(map(tuple, G.segmented_lines(texts, small).collect())) == want
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """Both queries make their texts without spaces once, whatever the number of passes over them."""
+    made = []
+    monkeypatch.setattr(QS, "unspaced", lambda *a, f=QS.unspaced: made.append(1) or f(*a))
+    n = QUERIES["segmented_texts"](spark, SF).count()
+    assert n == spark.read.parquet(f"{SF}/documents.parquet").count() and len(made) == 1
+    QUERIES["segmented_stats"](spark, SF).count()
+    assert len(made) == 2
+
+
 def test_unspaced_texts(spark, tmp_path, monkeypatch):
     """Texts without spaces are those of plain expressions, and are dealt out though they lie in one piece."""
     monkeypatch.setattr(G, "CHARS", 40)
